@@ -1,21 +1,25 @@
-"""Comparable forms of column values.
+"""Comparable forms of column values, generated from a schema as SQL expressions.
 
 Two forms with the same notion of equality are used:
 
-* ``canonical_text`` renders a value as text that is comparable across column types.
+* ``text_form`` renders a value as text that is comparable across column types.
 * ``hash_arguments`` feeds values to a hash in their own type, with no text at all for
   flat columns. It is used wherever both sides of a comparison have the same type, which
   is the normal case, and costs a fraction of rendering every value.
 
 Both keep NULL apart from every real value, ``-0.0`` apart from ``0.0``, keep
 microseconds at any depth, and ignore the order of map entries.
+
+Expressions refer to columns by position, as ``by_position`` names them, so no column name
+can be mistaken for a table or a struct. A wide table is one expression text, not thousands
+of column objects.
 """
 
 from __future__ import annotations
 
 from collections.abc import Collection, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,7 +28,7 @@ FLOAT_FORMAT = "%.17g"
 TIMESTAMP_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 TIMESTAMP_NTZ_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 
-# One mask column carries the NULL flags of this many values; bit 63 is the sign bit.
+# One mask carries the NULL flags of this many values; bit 63 is the sign bit.
 _MASK_BITS = 63
 
 _FLOATING = (T.FloatType, T.DoubleType)
@@ -34,10 +38,24 @@ _HASHED_AS_IS = (
     T.DateType, T.TimestampType, T.TimestampNTZType, T.DayTimeIntervalType, T.YearMonthIntervalType,
 )
 
+_JSON_OPTIONS = (
+    "map('ignoreNullFields', 'false', "
+    f'\'timestampFormat\', "{TIMESTAMP_FORMAT}", \'timestampNTZFormat\', "{TIMESTAMP_NTZ_FORMAT}")'
+)
+
+
+def quote(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
 
 def column(name: str) -> Column:
     """A column by its exact name, whatever characters the name holds."""
-    return F.col("`" + name.replace("`", "``") + "`")
+    return F.col(quote(name))
+
+
+def by_position(df: DataFrame) -> DataFrame:
+    """The same rows with columns named ``_0``, ``_1``, …"""
+    return df.toDF(*[f"_{position}" for position in range(len(df.columns))])
 
 
 def _holds_map(dtype: T.DataType) -> bool:
@@ -50,114 +68,109 @@ def _holds_map(dtype: T.DataType) -> bool:
     return False
 
 
-def order_maps(value: Column, dtype: T.DataType) -> Column:
+def order_maps(value: str, dtype: T.DataType, depth: int = 0) -> str:
     """Replace each map, at any depth, by its entries as an array sorted by key."""
     if not _holds_map(dtype):
         return value
+    item = f"x{depth}"
     if isinstance(dtype, T.MapType):
-        return F.transform(
-            F.array_sort(F.map_keys(value)),
-            lambda key: F.struct(
-                key.alias("key"),
-                order_maps(value.getItem(key), dtype.valueType).alias("value"),
-            ),
-        )
+        inner = order_maps(f"{value}[{item}]", dtype.valueType, depth + 1)
+        entry = f"struct({item} AS key, {inner} AS value)"
+        return f"transform(array_sort(map_keys({value})), {item} -> {entry})"
     if isinstance(dtype, T.ArrayType):
-        return F.transform(value, lambda item: order_maps(item, dtype.elementType))
-    members = [order_maps(value.getField(f.name), f.dataType).alias(f.name) for f in dtype]
-    return F.when(value.isNotNull(), F.struct(*members))
+        return f"transform({value}, {item} -> {order_maps(item, dtype.elementType, depth + 1)})"
+    members = [
+        f"{order_maps(f'{value}.{quote(f.name)}', f.dataType, depth)} AS {quote(f.name)}" for f in dtype
+    ]
+    return f"CASE WHEN {value} IS NOT NULL THEN struct({', '.join(members)}) END"
 
 
-def canonical_text(value: Column, dtype: T.DataType) -> Column:
+def text_form(value: str, dtype: T.DataType) -> str:
     """Text that is equal exactly where two values are equal; NULL stays NULL."""
     if isinstance(dtype, (T.StructType, T.ArrayType, T.MapType)):
-        return F.to_json(
-            order_maps(value, dtype),
-            {
-                "ignoreNullFields": "false",
-                "timestampFormat": TIMESTAMP_FORMAT,
-                "timestampNTZFormat": TIMESTAMP_NTZ_FORMAT,
-            },
-        )
+        return f"to_json({order_maps(value, dtype)}, {_JSON_OPTIONS})"
     if isinstance(dtype, _FLOATING):
-        return F.when(value.isNotNull(), F.format_string(FLOAT_FORMAT, value.cast("double")))
+        printed = f"format_string('{FLOAT_FORMAT}', CAST({value} AS DOUBLE))"
+        return f"CASE WHEN {value} IS NOT NULL THEN {printed} END"
     if isinstance(dtype, T.TimestampType):
-        return F.date_format(value, TIMESTAMP_FORMAT)
-    return value.cast("string")
+        return f'date_format({value}, "{TIMESTAMP_FORMAT}")'
+    return f"CAST({value} AS STRING)"
 
 
-def canonical_columns(schema: T.StructType) -> list[Column]:
+def canonical_rows(df: DataFrame) -> DataFrame:
     """Every column of a table as comparable text under its own name."""
-    return [canonical_text(column(f.name), f.dataType).alias(f.name) for f in schema]
+    return by_position(df).selectExpr(
+        *[
+            f"{text_form(f'_{position}', field.dataType)} AS {quote(field.name)}"
+            for position, field in enumerate(df.schema)
+        ]
+    )
 
 
-def _signed_zero(value: Column) -> Column:
+def _zero_text(value: str) -> str:
     """Text for zeros only: the hash itself does not see the sign of a zero."""
-    return F.when(value == 0, value.cast("string"))
+    return f"CASE WHEN {value} = 0 THEN CAST({value} AS STRING) END"
 
 
-def _array_parts(value: Column, element: T.DataType) -> list[Column]:
+def _array_parts(value: str, element: T.DataType) -> list[str]:
     """Length, then which places hold NULL or a zero (only if any does), then the elements."""
     if isinstance(element, _FLOATING):
-        zero = F.lit(0.0).cast(element)
         # False only if the array holds neither NULL nor zero: one cheap pass over the array.
-        marked = F.coalesce(F.array_contains(value, zero), F.lit(True))
-        marks = F.transform(
-            value,
-            lambda item: F.when(item.isNull(), "null").otherwise(F.coalesce(_signed_zero(item), F.lit(""))),
-        )
+        zero = f"CAST(0 AS {element.simpleString()})"
+        marked = f"coalesce(array_contains({value}, {zero}), true)"
+        mark = f"CASE WHEN x IS NULL THEN 'null' ELSE coalesce({_zero_text('x')}, '') END"
     else:
-        marked = F.exists(value, lambda item: item.isNull())
-        marks = F.transform(value, lambda item: F.when(item.isNull(), "null").otherwise(""))
-    return [F.size(value), marked, F.when(marked, marks), value]
+        marked = f"exists({value}, x -> x IS NULL)"
+        mark = "CASE WHEN x IS NULL THEN 'null' ELSE '' END"
+    marks = f"CASE WHEN {marked} THEN transform({value}, x -> {mark}) END"
+    return [f"size({value})", marked, marks, value]
 
 
-def _parts(value: Column, dtype: T.DataType) -> tuple[list[Column], list[Column]]:
-    """NULL flags and hashable parts of one value, in its own type."""
-    flags = [value.isNull()]
+def _parts(value: str, dtype: T.DataType) -> tuple[list[str], list[str]]:
+    """Values to flag if NULL, and hashable parts of one value in its own type."""
     if isinstance(dtype, _FLOATING):
-        return flags, [value, _signed_zero(value)]
+        return [value], [value, _zero_text(value)]
     if isinstance(dtype, _SMALL_INTEGERS):
-        return flags, [value.cast("int")]
+        return [value], [f"CAST({value} AS INT)"]
     if isinstance(dtype, _HASHED_AS_IS):
-        return flags, [value]
+        return [value], [value]
     if isinstance(dtype, T.StructType):
-        values: list[Column] = []
+        flagged, values = [value], []
         for member in dtype:
-            inner_flags, inner_values = _parts(value.getField(member.name), member.dataType)
-            flags += inner_flags
+            inner_flagged, inner_values = _parts(f"{value}.{quote(member.name)}", member.dataType)
+            flagged += inner_flagged
             values += inner_values
-        return flags, values
+        return flagged, values
     if isinstance(dtype, T.ArrayType) and isinstance(dtype.elementType, _HASHED_AS_IS + _FLOATING):
-        return flags, _array_parts(value, dtype.elementType)
-    return flags, [canonical_text(value, dtype)]
+        return [value], _array_parts(value, dtype.elementType)
+    return [value], [text_form(value, dtype)]
 
 
-def hash_arguments(schema: T.StructType, as_text: Collection[int] = ()) -> list[Column]:
+def hash_arguments(schema: T.StructType, as_text: Collection[int] = ()) -> list[str]:
     """Arguments for a row hash: NULL masks of fixed length first, then the values.
 
     The hash skips NULL arguments, so the masks are what tells ``(NULL, 1)`` from ``(1, NULL)``.
     ``as_text`` lists positions whose type differs on the other side of a comparison.
     """
-    flags: list[Column] = []
-    values: list[Column] = []
+    flagged: list[str] = []
+    values: list[str] = []
     for position, field in enumerate(schema):
-        value = column(field.name)
+        value = f"_{position}"
         if position in as_text:
-            flags.append(value.isNull())
-            values.append(canonical_text(value, field.dataType))
+            flagged.append(value)
+            values.append(text_form(value, field.dataType))
         else:
-            inner_flags, inner_values = _parts(value, field.dataType)
-            flags += inner_flags
+            inner_flagged, inner_values = _parts(value, field.dataType)
+            flagged += inner_flagged
             values += inner_values
-    return _masks(flags) + values
+    return _masks(flagged) + values
 
 
-def _masks(flags: Sequence[Column]) -> list[Column]:
-    masks = []
-    for start in range(0, len(flags), _MASK_BITS):
-        mask = F.lit(0).cast("long")
-        for bit, flag in enumerate(flags[start : start + _MASK_BITS]):
-            mask = mask.bitwiseOR(F.when(flag, F.lit(1 << bit)).otherwise(F.lit(0)).cast("long"))
-        masks.append(mask)
-    return masks
+def _masks(flagged: Sequence[str]) -> list[str]:
+    return [
+        " | ".join(
+            f"CASE WHEN {value} IS NULL THEN {1 << bit}L ELSE 0L END"
+            for bit, value in enumerate(flagged[start : start + _MASK_BITS])
+        )
+        for start in range(0, len(flagged), _MASK_BITS)
+    ]

@@ -1,9 +1,7 @@
-"""Rules over declared column types, as text."""
+"""Rules over declared column types, as SQL over their text."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Declared types that are widened, and type texts that cannot be converted.
@@ -12,24 +10,28 @@ WIDENED_TO_STRING = ("char(", "varchar(")
 UNSUPPORTED = ("uniontype<", "interval ")
 
 
-def _any(tests: list[Column]) -> Column:
-    result = tests[0]
-    for test in tests[1:]:
-        result = result | test
-    return result
+def _either(tests: list[str]) -> str:
+    return f"({' OR '.join(tests)})"
 
 
-def _widened_to_string(dtype: Column) -> Column:
-    return _any([dtype.startswith(prefix) for prefix in WIDENED_TO_STRING])
+def _is_small_integer(dtype: str) -> str:
+    return f"{dtype} IN ({', '.join(map(repr, WIDENED_TO_INT))})"
 
 
-def normalized_type(dtype: Column) -> Column:
+def _is_sized_text(dtype: str) -> str:
+    return _either([f"startswith({dtype}, '{prefix}')" for prefix in WIDENED_TO_STRING])
+
+
+def _mentions(dtype: str, texts: tuple[str, ...]) -> str:
+    return _either([f"contains({dtype}, '{text}')" for text in texts])
+
+
+def normalized_type(dtype: str) -> str:
     """The type a column has after a rewrite; used to compare schemas."""
-    lowered = F.lower(dtype)
+    lowered = f"lower({dtype})"
     return (
-        F.when(lowered.isin(*WIDENED_TO_INT), "int")
-        .when(_widened_to_string(lowered), "string")
-        .otherwise(lowered)
+        f"CASE WHEN {_is_small_integer(lowered)} THEN 'int' "
+        f"WHEN {_is_sized_text(lowered)} THEN 'string' ELSE {lowered} END"
     )
 
 
@@ -38,33 +40,32 @@ def normalized_field(dtype: T.DataType) -> str:
     return "int" if isinstance(dtype, (T.ByteType, T.ShortType)) else dtype.simpleString().lower()
 
 
-def cast_target(dtype: Column) -> Column:
+def cast_target(dtype: str) -> str:
     """The type a column must be cast to, or NULL where it stays as it is."""
-    lowered = F.trim(F.lower(dtype))
-    return F.when(lowered.isin(*WIDENED_TO_INT), "int").when(_widened_to_string(lowered), "string")
+    lowered = f"lower(trim({dtype}))"
+    return (
+        f"CASE WHEN {_is_small_integer(lowered)} THEN 'int' "
+        f"WHEN {_is_sized_text(lowered)} THEN 'string' END"
+    )
 
 
-def type_blocker(name: Column, dtype: Column) -> Column:
+def type_blocker(name: str, dtype: str) -> str:
     """Why a column cannot be converted, or NULL where it can."""
-    lowered = F.trim(F.lower(dtype))
-    nested = _any([lowered.contains(text) for text in WIDENED_TO_INT + WIDENED_TO_STRING])
-    label = F.concat(name, F.lit(":"), dtype)
-    return (
-        F.when(cast_target(dtype).isNotNull(), F.lit(None).cast("string"))
-        .when(_any([lowered.contains(text) for text in UNSUPPORTED]), label)
-        .when(nested, F.concat(F.lit("nested conversion required for "), label))
-    )
+    lowered = f"lower(trim({dtype}))"
+    label = f"concat({name}, ':', {dtype})"
+    return f"""CASE
+        WHEN {_is_small_integer(lowered)} OR {_is_sized_text(lowered)} THEN NULL
+        WHEN {_mentions(lowered, UNSUPPORTED)} THEN {label}
+        WHEN {_mentions(lowered, WIDENED_TO_INT + WIDENED_TO_STRING)}
+        THEN concat('nested conversion required for ', {label}) END"""
 
 
-def column_casts(columns: Column) -> Column:
+def column_casts(columns: str) -> str:
     """``array<struct<name,dtype>>`` of the needed casts, in column order."""
-    needed = F.filter(columns, lambda c: cast_target(c["dtype"]).isNotNull())
-    return F.transform(
-        needed, lambda c: F.struct(c["name"].alias("name"), cast_target(c["dtype"]).alias("dtype"))
-    )
+    cast = f"struct(c.name AS name, {cast_target('c.dtype')} AS dtype)"
+    return f"filter(transform({columns}, c -> {cast}), c -> c.dtype IS NOT NULL)"
 
 
-def column_blockers(columns: Column) -> Column:
+def column_blockers(columns: str) -> str:
     """``array<string>`` of the reasons that forbid an automatic conversion, in column order."""
-    reasons = F.transform(columns, lambda c: type_blocker(c["name"], c["dtype"]))
-    return F.filter(reasons, lambda reason: reason.isNotNull())
+    return f"array_compact(transform({columns}, c -> {type_blocker('c.name', 'c.dtype')}))"

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Collection, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relayout.functions.canonical import column, hash_arguments
+from relayout.functions.canonical import by_position, hash_arguments, quote
 
 _SALT = "relayout-second-hash"
 _HASHES = ("hash_a", "hash_b")
@@ -21,27 +21,27 @@ _PIECES = 64 // _PIECE_BITS
 
 def row_hashes(df: DataFrame, keys: Sequence[str] = (), as_text: Collection[int] = ()) -> DataFrame:
     """The key columns and both hashes of every row."""
-    arguments = hash_arguments(df.schema, as_text)
-    return df.select(
-        *[column(key).alias(key) for key in keys],
-        F.xxhash64(*arguments).alias("hash_a"),
-        F.xxhash64(F.lit(_SALT), *arguments).alias("hash_b"),
+    arguments = ", ".join(hash_arguments(df.schema, as_text))
+    return by_position(df).selectExpr(
+        *[f"_{df.columns.index(key)} AS {quote(key)}" for key in keys],
+        f"xxhash64({arguments}) AS hash_a",
+        f"xxhash64('{_SALT}', {arguments}) AS hash_b",
     )
 
 
-def _piece(value: Column, index: int) -> Column:
+def _piece(name: str, index: int) -> str:
     """Piece ``index``, counted from the low end; the top piece keeps the sign."""
-    shifted = F.shiftright(value, index * _PIECE_BITS)
-    return shifted if index == _PIECES - 1 else shifted.bitwiseAND((1 << _PIECE_BITS) - 1)
+    shifted = f"shiftright({name}, {index * _PIECE_BITS})"
+    return shifted if index == _PIECES - 1 else f"{shifted} & {(1 << _PIECE_BITS) - 1}"
 
 
-def _joined(name: str) -> Column:
+def _joined(name: str) -> str:
     """The exact sum of a hash, put together from the sums of its pieces."""
-    total = F.lit(0).cast("decimal(38,0)")
-    for index in range(_PIECES):
-        weight = F.lit(str(1 << (index * _PIECE_BITS))).cast("decimal(15,0)")
-        total = total + column(f"{name}_{index}").cast("decimal(20,0)") * weight
-    return total.cast("decimal(38,0)").alias(name)
+    weighted = [
+        f"CAST({name}_{index} AS DECIMAL(20,0)) * CAST({1 << (index * _PIECE_BITS)}L AS DECIMAL(15,0))"
+        for index in range(_PIECES)
+    ]
+    return f"CAST({' + '.join(weighted)} AS DECIMAL(38,0)) AS {name}"
 
 
 def fingerprint(df: DataFrame, keys: Sequence[str] = (), as_text: Collection[int] = ()) -> DataFrame:
@@ -49,20 +49,21 @@ def fingerprint(df: DataFrame, keys: Sequence[str] = (), as_text: Collection[int
 
     An empty table gives zero rows and NULL sums.
     """
+    key_names = [quote(key) for key in keys]
     sums = [
-        F.sum(_piece(F.col(name), index)).alias(f"{name}_{index}")
+        F.expr(f"sum({_piece(name, index)}) AS {name}_{index}")
         for name in _HASHES
         for index in range(_PIECES)
     ]
-    grouped = row_hashes(df, keys, as_text).groupBy(*[column(key) for key in keys])
-    return grouped.agg(F.count(F.lit(1)).alias("row_count"), *sums).select(
-        *[column(key) for key in keys], "row_count", *[_joined(name) for name in _HASHES]
+    return (
+        row_hashes(df, keys, as_text)
+        .groupBy(*key_names)
+        .agg(F.expr("count(1) AS row_count"), *sums)
+        .selectExpr(*key_names, "row_count", *map(_joined, _HASHES))
     )
 
 
 def total_fingerprint(per_key: DataFrame) -> DataFrame:
     """Fingerprint of the whole table from the fingerprints of its parts; reads no data again."""
-    return per_key.agg(
-        F.coalesce(F.sum("row_count"), F.lit(0)).cast("long").alias("row_count"),
-        *[F.sum(name).cast("decimal(38,0)").alias(name) for name in _HASHES],
-    )
+    sums = [F.expr(f"CAST(sum({name}) AS DECIMAL(38,0)) AS {name}") for name in _HASHES]
+    return per_key.agg(F.expr("coalesce(sum(row_count), 0L) AS row_count"), *sums)

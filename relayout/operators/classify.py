@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from relayout.functions.datatypes import column_blockers, column_casts
 
@@ -29,71 +28,57 @@ TARGET_VERSION = "2"
 _NUMERIC_PLAN_FIELDS = {"size_gb": "double", "files": "bigint", "avg_file_mb": "double"}
 
 
-def _text(name: str) -> Column:
-    return F.coalesce(F.col(name), F.lit(""))
+def _first_true(rules: list[tuple[str, str]], otherwise: str) -> str:
+    cases = " ".join(f"WHEN {condition} THEN {value}" for condition, value in rules)
+    return f"CASE {cases} ELSE {otherwise} END"
 
 
-def source_kind() -> Column:
-    raw = F.upper(_text("type_raw"))
-    kind = F.when(raw == "", "UNKNOWN").otherwise(raw)
-    for known in ("VIEW", "MANAGED", "EXTERNAL"):
-        kind = F.when(raw.contains(known), known).otherwise(kind)
-    return kind
+def source_kind() -> str:
+    raw = "upper(coalesce(type_raw, ''))"
+    known = [(f"contains({raw}, '{kind}')", f"'{kind}'") for kind in ("EXTERNAL", "MANAGED", "VIEW")]
+    return _first_true(known + [(f"{raw} = ''", "'UNKNOWN'")], raw)
 
 
-def source_format() -> Column:
-    described = F.lower(
-        F.concat_ws(" ", _text("provider"), _text("serde"), _text("input_format"))
-    )
-    found = F.lit("other")
-    for fmt in reversed(FORMATS):
-        found = F.when(described.contains(fmt), fmt).otherwise(found)
-    return found
+def source_format() -> str:
+    described = "lower(concat_ws(' ', provider, serde, input_format))"
+    return _first_true([(f"contains({described}, '{f}')", f"'{f}'") for f in FORMATS], "'other'")
 
 
-def _strategy(allow_avro_migrate: bool) -> Column:
+def _strategy(allow_avro_migrate: bool) -> str:
     """The ordered rules: the first that holds gives the strategy and its note."""
-    properties = F.lower(_text("table_properties"))
-    buckets = _text("num_buckets")
-    bucketed = buckets.rlike(r"\A[0-9]+\z") & (buckets.try_cast("decimal(38,0)") > 0)
-    rules: list[tuple[Column, str, Column | str]] = [
-        (F.col("source_type") == "VIEW", "skip", NOTE_VIEW),
+    properties = "lower(coalesce(table_properties, ''))"
+    bucketed = r"rlike(num_buckets, '^[0-9]+$') AND try_cast(num_buckets AS DECIMAL(38,0)) > 0"
+    rules = [
+        ("source_type = 'VIEW'", "skip", f"'{NOTE_VIEW}'"),
         (
-            (F.lower(_text("provider")) == "iceberg") | properties.contains("table_type=iceberg"),
+            f"lower(provider) = 'iceberg' OR contains({properties}, 'table_type=iceberg')",
             "skip",
-            NOTE_ALREADY,
-        ),
-        (properties.contains("transactional=true"), "hive_ctas", NOTE_ACID),
-        (F.size("blockers") > 0, "manual", F.array_join("blockers", "; ")),
-        (bucketed, "ctas", NOTE_BUCKETS),
-        (
-            F.col("source_type") != "EXTERNAL",
-            "ctas",
-            F.concat("source_type", F.lit(NOTE_KIND)),
+            f"'{NOTE_ALREADY}'",
         ),
-        (F.size("casts") > 0, "ctas", NOTE_CASTS),
-    ]
-    if not allow_avro_migrate:
-        rules.append((F.col("format") == "avro", "ctas", NOTE_AVRO))
-    rules += [
-        (F.col("format") == "other", "ctas", NOTE_FORMAT),
-        (properties.contains("translated_to_external=true"), "manual", NOTE_TRANSLATED),
+        (f"contains({properties}, 'transactional=true')", "hive_ctas", f"'{NOTE_ACID}'"),
+        ("size(blockers) > 0", "manual", "array_join(blockers, '; ')"),
+        (bucketed, "ctas", f"'{NOTE_BUCKETS}'"),
+        ("source_type <> 'EXTERNAL'", "ctas", f"concat(source_type, '{NOTE_KIND}')"),
+        ("size(casts) > 0", "ctas", f"'{NOTE_CASTS}'"),
+        (f"format = 'avro' AND {not allow_avro_migrate}", "ctas", f"'{NOTE_AVRO}'"),
+        ("format = 'other'", "ctas", f"'{NOTE_FORMAT}'"),
+        (f"contains({properties}, 'translated_to_external=true')", "manual", f"'{NOTE_TRANSLATED}'"),
     ]
 
-    def outcome(strategy: str, note: Column | str) -> Column:
-        note = F.lit(note) if isinstance(note, str) else note
-        return F.struct(F.lit(strategy).alias("strategy"), note.alias("note"))
+    def outcome(strategy: str, note: str) -> str:
+        return f"struct('{strategy}' AS strategy, {note} AS note)"
 
-    decided = outcome("migrate", NOTE_ELIGIBLE)
-    for condition, strategy, note in reversed(rules):
-        decided = F.when(condition, outcome(strategy, note)).otherwise(decided)
-    return decided
+    cases = [(condition, outcome(strategy, note)) for condition, strategy, note in rules]
+    failed = outcome("manual", "concat('inventory error: ', error)")
+    return _first_true(
+        [("error IS NOT NULL", failed), *cases], outcome("migrate", f"'{NOTE_ELIGIBLE}'")
+    )
 
 
 def type_actions(catalog: DataFrame) -> DataFrame:
     """Add the casts a table needs and the reasons that forbid converting it."""
-    return catalog.withColumns(
-        {"casts": column_casts(F.col("columns")), "blockers": column_blockers(F.col("columns"))}
+    return catalog.selectExpr(
+        "*", f"{column_casts('columns')} AS casts", f"{column_blockers('columns')} AS blockers"
     )
 
 
@@ -102,74 +87,55 @@ def classify(catalog: DataFrame, allow_avro_migrate: bool = False) -> DataFrame:
 
     A row whose inspection failed keeps its error and is left to manual review.
     """
-    prepared = type_actions(catalog).withColumns(
-        {"source_type": source_kind(), "format": source_format()}
+    prepared = type_actions(catalog).selectExpr(
+        "*", f"{source_kind()} AS source_type", f"{source_format()} AS format"
     )
-    decided = prepared.withColumn("decided", _strategy(allow_avro_migrate))
-    failed = F.col("error").isNotNull()
-    return decided.withColumns(
-        {
-            "strategy": F.when(failed, "manual").otherwise(F.col("decided.strategy")),
-            "note": F.when(
-                failed, F.concat(F.lit("inventory error: "), F.col("error"))
-            ).otherwise(F.col("decided.note")),
-        }
-    ).drop("decided")
+    decided = prepared.selectExpr("*", f"{_strategy(allow_avro_migrate)} AS decided")
+    return decided.selectExpr("* EXCEPT (decided)", "decided.strategy", "decided.note")
 
 
 def plan_rows(classified: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
     """Shape classified tables into plan rows; every row starts unapproved.
 
     ``sizes`` is ``(table_name, size_gb, files, avg_file_mb, compact)``. Only tables with work to
-    do carry sizes.
+    do carry sizes. A table that could not be inspected has blanks but for its note.
     """
-    ok = F.col("error").isNull()
-    joined_casts = F.array_join(
-        F.transform("casts", lambda c: F.concat(c["name"], F.lit(":"), c["dtype"])), ";"
-    )
-    partitions = F.array_join("partitions", ";")
-    shaped = classified.select(
-        F.col("table_name").alias("table"),
-        F.when(ok, F.col("source_type")).alias("source_type"),
+    inspected = {
+        "source_type": "source_type",
+        "format": "format",
+        "schema_compatible": "if(size(blockers) = 0, 'Y', 'N')",
+        "cast_columns": "array_join(transform(casts, c -> concat(c.name, ':', c.dtype)), ';')",
+        "partitions": "array_join(partitions, ';')",
+        "target_partition_spec": "array_join(partitions, ';')",
+        "location": "location",
+        "target_format_version": f"'{TARGET_VERSION}'",
+    }
+    shaped = classified.selectExpr(
+        "table_name AS table",
         "strategy",
-        F.lit("N").alias("approved"),
-        F.lit("").alias("writer_freeze_ticket"),
-        F.when(ok, F.col("format")).alias("format"),
-        F.when(ok, F.when(F.size("blockers") == 0, "Y").otherwise("N")).alias("schema_compatible"),
-        F.when(ok, joined_casts).alias("cast_columns"),
-        F.when(ok, partitions).alias("partitions"),
-        F.when(ok, partitions).alias("target_partition_spec"),
-        F.when(ok, F.col("location")).alias("location"),
-        F.lit("").alias("target_location"),
-        F.when(ok, F.lit(TARGET_VERSION)).alias("target_format_version"),
+        "'N' AS approved",
         "note",
+        *[f"CASE WHEN error IS NULL THEN {value} END AS {name}" for name, value in inspected.items()],
     )
     if sizes is not None:
-        measured = (F.coalesce("location", F.lit("")) != "") & ~F.col("strategy").isin("skip", "manual")
-        sized = sizes.select(
-            F.col("table_name").alias("table"), "size_gb", "files", "avg_file_mb", "compact"
-        )
-        shaped = shaped.join(sized, "table", "left").withColumns(
-            {
-                name: F.when(measured, F.col(name))
-                for name in ("size_gb", "files", "avg_file_mb", "compact")
-            }
+        measured = "location <> '' AND strategy NOT IN ('skip', 'manual')"
+        columns = ("size_gb", "files", "avg_file_mb", "compact")
+        sized = sizes.selectExpr("table_name AS table", *columns)
+        shaped = shaped.join(sized, "table", "left").selectExpr(
+            f"* EXCEPT ({', '.join(columns)})",
+            *[f"CASE WHEN {measured} THEN {name} END AS {name}" for name in columns],
         )
     return plan_fields(shaped)
 
 
 def plan_fields(rows: DataFrame) -> DataFrame:
     """Exactly the plan columns, in order; absent text is blank, absent numbers are NULL."""
-    return rows.select(
-        *[
-            _plan_value(rows, name).alias(name)
-            for name in PLAN_FIELDS
-        ]
-    )
-
-
-def _plan_value(rows: DataFrame, name: str) -> Column:
-    number = _NUMERIC_PLAN_FIELDS.get(name)
-    if number:
-        return F.col(name).cast(number) if name in rows.columns else F.lit(None).cast(number)
-    return F.coalesce(F.col(name).cast("string"), F.lit("")) if name in rows.columns else F.lit("")
+
+    def value(name: str) -> str:
+        present = name if name in rows.columns else "NULL"
+        number = _NUMERIC_PLAN_FIELDS.get(name)
+        if number:
+            return f"CAST({present} AS {number}) AS {name}"
+        return f"coalesce(CAST({present} AS STRING), '') AS `{name}`"
+
+    return rows.selectExpr(*map(value, PLAN_FIELDS))

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from relayout.functions.canonical import column
+from relayout.functions.canonical import column, quote
 from relayout.functions.datatypes import normalized_field, normalized_type
 from relayout.functions.fingerprint import MEASURES, fingerprint
 
@@ -48,41 +48,33 @@ def schema_diff(source: DataFrame, target: DataFrame) -> DataFrame:
     Both sides are ``(table_name, pos, name, dtype)``. Names are compared without case and by
     position; types are judged only for tables whose names agree. One row per position.
     """
-    left = source.select(
-        "table_name", "pos", F.col("name").alias("source_name"), F.col("dtype").alias("source_type")
+    left = source.selectExpr(
+        "table_name", "pos", "name AS source_name", "dtype AS source_type"
     )
-    right = target.select(
-        "table_name", "pos", F.col("name").alias("target_name"), F.col("dtype").alias("target_type")
+    right = target.selectExpr(
+        "table_name", "pos", "name AS target_name", "dtype AS target_type"
     )
-    paired = left.join(right, ["table_name", "pos"], "full_outer")
-    same_name = F.lower("source_name").eqNullSafe(F.lower("target_name"))
-    same_type = normalized_type(F.col("source_type")).eqNullSafe(
-        normalized_type(F.col("target_type"))
+    return left.join(right, ["table_name", "pos"], "full_outer").selectExpr(
+        "*",
+        "lower(source_name) <=> lower(target_name) AS name_ok",
+        f"{normalized_type('source_type')} <=> {normalized_type('target_type')} AS type_ok",
     )
-    return paired.withColumns({"name_ok": same_name, "type_ok": same_type})
 
 
 def schema_verdicts(diff: DataFrame) -> DataFrame:
-    """One verdict per table from ``schema_diff``; a name difference hides type differences."""
-    names_ok = F.bool_and("name_ok")
-    mismatches = F.array_agg(
-        F.when(
-            ~F.col("type_ok"),
-            F.struct(
-                "pos",
-                F.concat(
-                    F.lit("type mismatch "), "source_name", F.lit(": "), "source_type",
-                    F.lit(" -> "), "target_type",
-                ).alias("text"),
-            ),
-        )
-    )
-    found = diff.groupBy("table_name").agg(names_ok.alias("names_ok"), mismatches.alias("found"))
-    details = F.when(
-        F.col("names_ok"), F.transform(F.array_sort("found"), lambda item: item["text"])
-    ).otherwise(F.array(F.lit("column names/order differ")))
-    return found.select(
-        "table_name", (F.size(details) == 0).alias("schema_ok"), details.alias("details")
+    """One verdict per table from ``schema_diff``; a name difference hides type differences.
+
+    What is gathered per table is bounded by its number of columns.
+    """
+    mismatch = "concat('type mismatch ', source_name, ': ', source_type, ' -> ', target_type)"
+    found = diff.groupBy("table_name").agg(
+        F.expr("bool_and(name_ok) AS names_ok"),
+        F.expr(f"array_agg(CASE WHEN NOT type_ok THEN struct(pos, {mismatch} AS text) END) AS found"),
+    )
+    details = """CASE WHEN names_ok THEN transform(array_sort(found), f -> f.text)
+                 ELSE array('column names/order differ') END"""
+    return found.selectExpr("table_name", f"{details} AS details").selectExpr(
+        "table_name", "size(details) = 0 AS schema_ok", "details"
     )
 
 
@@ -95,38 +87,33 @@ def compare_fingerprints(source: DataFrame, target: DataFrame, keys: Sequence[st
     A side without the key has NULL measures. The union form needs no join, so NULL keys pair up
     and no key value is ever matched against another.
     """
-    types = [
+    key_types = [
         (key, source.schema[source.columns.index(key)], target.schema[target.columns.index(key)])
         for key in keys
     ]
-    retyped = {k for k, s, t in types if normalized_field(s.dataType) != normalized_field(t.dataType)}
+    retyped = {
+        key
+        for key, s, t in key_types
+        if normalized_field(s.dataType) != normalized_field(t.dataType)
+    }
     keyed = [
-        (column(key).cast("string") if key in retyped else column(key)).alias(key) for key in keys
-    ]
-    present = [F.col(name) for name in MEASURES]
-    absent = [F.lit(None).cast(_measure_type(name)) for name in MEASURES]
-    left = source.select(*keyed, *_named(present, "source"), *_named(absent, "target"))
-    right = target.select(*keyed, *_named(absent, "source"), *_named(present, "target"))
-    measured = [
-        F.max(f"{side}_{name}").alias(f"{side}_{name}") for side in _SIDES for name in MEASURES
+        f"CAST({quote(key)} AS STRING) AS {quote(key)}" if key in retyped else quote(key)
+        for key in keys
     ]
-    paired = left.union(right).groupBy(*map(column, keys)).agg(*measured)
-    return paired.withColumn("matches", _same_measures())
-
-
-def _measure_type(name: str) -> str:
-    return "bigint" if name == "row_count" else "decimal(38,0)"
-
-
-def _named(columns: Sequence[Column], side: str) -> list[Column]:
-    return [value.alias(f"{side}_{name}") for value, name in zip(columns, MEASURES)]
 
+    def placed(side: str) -> list[str]:
+        return keyed + [
+            f"{name if s == side else 'NULL'} AS {s}_{name}" for s in _SIDES for name in MEASURES
+        ]
 
-def _same_measures() -> Column:
-    both = F.col("source_row_count").isNotNull() & F.col("target_row_count").isNotNull()
-    for name in MEASURES:
-        both = both & F.col(f"source_{name}").eqNullSafe(F.col(f"target_{name}"))
-    return both
+    both = source.selectExpr(*placed("source")).union(target.selectExpr(*placed("target")))
+    measured = [F.expr(f"max({s}_{name}) AS {s}_{name}") for s in _SIDES for name in MEASURES]
+    same = " AND ".join(
+        ["source_row_count IS NOT NULL", "target_row_count IS NOT NULL"]
+        + [f"source_{name} <=> target_{name}" for name in MEASURES]
+    )
+    paired = both.groupBy(*map(quote, keys)).agg(*measured)
+    return paired.withColumn("matches", F.expr(same))
 
 
 def compare_contents(source: DataFrame, target: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -152,28 +139,18 @@ def content_totals(compared: DataFrame) -> DataFrame:
     """Totals of both sides and the number of groups and mismatches, from the paired fingerprints."""
     totals = []
     for side in _SIDES:
-        rows = F.col(f"{side}_row_count")
+        rows = f"{side}_row_count"
+        totals += [f"coalesce(sum({rows}), 0L) AS {side}_rows", f"count({rows}) AS {side}_groups"]
         totals += [
-            F.coalesce(F.sum(rows), F.lit(0)).cast("long").alias(f"{side}_rows"),
-            F.count(rows).alias(f"{side}_groups"),
-            *[
-                F.sum(f"{side}_{name}").cast("decimal(38,0)").alias(f"{side}_{name}")
-                for name in MEASURES[1:]
-            ],
+            f"CAST(sum({side}_{name}) AS DECIMAL(38,0)) AS {side}_{name}" for name in MEASURES[1:]
         ]
-    return compared.agg(*totals, F.count_if(~F.col("matches")).alias("mismatching_groups"))
-
-
-def totals_match() -> Column:
-    """Equality of both sides over the columns of ``content_totals``; two empty tables are equal."""
-    same = F.col("source_rows") == F.col("target_rows")
-    for name in MEASURES[1:]:
-        same = same & F.col(f"source_{name}").eqNullSafe(F.col(f"target_{name}"))
-    return same
+    return compared.agg(*map(F.expr, totals), F.expr("count_if(NOT matches) AS mismatching_groups"))
 
 
-def too_many_groups(max_partitions: int) -> Column:
-    return F.greatest("source_groups", "target_groups") > max_partitions
+# Equality over the columns of ``content_totals``; two empty tables are equal.
+TOTALS_MATCH = " AND ".join(
+    ["source_rows = target_rows"] + [f"source_{name} <=> target_{name}" for name in MEASURES[1:]]
+)
 
 
 # -- verdict ---------------------------------------------------------------------------------
@@ -195,58 +172,42 @@ def validate(
     grouped = bool(keys) and not missing
     compared = compare_contents(source, target, keys if grouped else ())
     totals = content_totals(compared)
-
-    def text(*parts: str | Column) -> Column:
-        return F.concat(*[
-            F.lit(p) if isinstance(p, str) else F.coalesce(p.cast("string"), F.lit("None"))
-            for p in parts
-        ])
-
-    no_text = F.lit(None).cast("string")
     if grouped:
-        refused = too_many_groups(max_partitions)
-        partition_ok = ~refused & (F.col("mismatching_groups") == 0)
         # A scalar subquery over the same fingerprints; at most MAX_EXAMPLES rows.
-        examples = (
-            mismatch_examples(compared, keys)
-            .agg(F.to_json(F.collect_list(F.struct(*map(column, compared.columns)))).alias("shown"))
-            .scalar()
+        shown = ", ".join(map(quote, compared.columns))
+        examples = mismatch_examples(compared, keys).agg(
+            F.expr(f"to_json(collect_list(struct({shown})))")
         )
-        totals = totals.withColumn("examples", examples)
-        partition_text = F.when(
-            refused,
-            text(
-                "partition validation refused: ", F.col("source_groups"), "/", F.col("target_groups"),
-                f" partitions exceed limit {max_partitions}",
-            ),
-        ).when(
-            F.col("mismatching_groups") > 0,
-            text("partition mismatches=", F.col("mismatching_groups"), "; examples=", F.col("examples")),
-        )
-    elif missing:
-        partition_ok = F.lit(False)
-        partition_text = F.lit(f"partition column missing from data: {missing[0]}")
+        totals = totals.withColumn("examples", examples.scalar())
+        refused = f"greatest(source_groups, target_groups) > {max_partitions}"
+        partition_ok = f"NOT ({refused}) AND mismatching_groups = 0"
+        partition_detail = f"""CASE
+            WHEN {refused} THEN concat('partition validation refused: ', source_groups, '/',
+                target_groups, ' partitions exceed limit {max_partitions}')
+            WHEN mismatching_groups > 0 THEN concat('partition mismatches=', mismatching_groups,
+                '; examples=', examples) END"""
     else:
-        partition_ok = F.lit(None).cast("boolean")
-        partition_text = no_text
-    global_text = F.when(
-        ~totals_match(),
-        text(
-            "global mismatch rows ", F.col("source_rows"), "/", F.col("target_rows"),
-            "; hash_a ", F.col("source_hash_a"), "/", F.col("target_hash_a"),
-            "; hash_b ", F.col("source_hash_b"), "/", F.col("target_hash_b"),
-        ),
-    )
-    details = F.filter(
-        F.array(*map(F.lit, schema_found), partition_text, global_text), lambda d: d.isNotNull()
+        partition_ok = "false" if missing else "CAST(NULL AS BOOLEAN)"
+        partition_detail = "CAST(NULL AS STRING)"
+    fixed = schema_found + [f"partition column missing from data: {key}" for key in missing[:1]]
+    global_detail = f"""CASE WHEN NOT ({TOTALS_MATCH}) THEN concat(
+        'global mismatch rows ', source_rows, '/', target_rows,
+        '; hash_a ', coalesce(source_hash_a, 'None'), '/', coalesce(target_hash_a, 'None'),
+        '; hash_b ', coalesce(source_hash_b, 'None'), '/', coalesce(target_hash_b, 'None')) END"""
+    found = f"array_compact(array({partition_detail}, {global_detail}))"
+    verdict = totals.selectExpr(
+        "source_rows",
+        "target_rows",
+        f"{TOTALS_MATCH} AS global_hash_ok",
+        f"{partition_ok} AS partition_ok",
+        f"{found} AS found",
     )
-    schema_ok = F.lit(not schema_found)
-    return totals.select(
-        (schema_ok & totals_match() & F.coalesce(partition_ok, F.lit(True))).alias("ok"),
+    return verdict.select(
+        F.expr("global_hash_ok AND coalesce(partition_ok, true)" + " AND false" * bool(schema_found)).alias("ok"),
         "source_rows",
         "target_rows",
-        schema_ok.alias("schema_ok"),
-        totals_match().alias("global_hash_ok"),
-        partition_ok.alias("partition_ok"),
-        details.alias("details"),
+        F.lit(not schema_found).alias("schema_ok"),
+        "global_hash_ok",
+        "partition_ok",
+        F.concat(F.array(*map(F.lit, fixed)).cast("array<string>"), "found").alias("details"),
     )

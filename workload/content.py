@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relayout.functions.canonical import canonical_columns
+from relayout.functions.canonical import canonical_rows as as_text
 from relayout.functions.fingerprint import row_hashes
 from relayout.operators import compare as C
 from workload.fixtures import as_sql, load
@@ -25,7 +25,7 @@ def _verdict(scenario: str, source: DataFrame, target: DataFrame) -> DataFrame:
         F.lit(scenario).alias("scenario"),
         "source_rows",
         "target_rows",
-        C.totals_match().alias("equal"),
+        F.expr(C.TOTALS_MATCH).alias("equal"),
     )
 
 
@@ -124,9 +124,10 @@ def canonical_rows(spark: SparkSession, sf: str) -> DataFrame:
 
     def counted(scenario: str, df: DataFrame) -> DataFrame:
         """Distinct rows by text and by value; 16 bytes per row are shuffled, not the rows."""
-        texts = canonical_columns(df.schema)
-        marked = [F.coalesce(text, F.lit("")) for text in texts] + [text.isNull() for text in texts]
-        by_text = df.select(
+        texts = as_text(df)
+        marked = [F.coalesce(name, F.lit("")) for name in texts.columns]
+        marked += [F.col(name).isNull() for name in texts.columns]
+        by_text = texts.select(
             F.xxhash64(*marked).alias("hash_a"), F.xxhash64(F.lit("text"), *marked).alias("hash_b")
         )
         sides = [by_text.withColumn("side", F.lit("text")), row_hashes(df).withColumn("side", F.lit("value"))]

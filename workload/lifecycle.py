@@ -338,7 +338,7 @@ def _run_sql(split: tuple[str, ...], small: tuple[str, ...], mode: str) -> str:
     return as_sql(
         f"""SELECT 'external_split' AS "table", 'migrate' AS strategy, '{mode}' AS mode,
             '{split[0]}' AS status, '{split[1]}' AS state, count(*) AS source_rows,
-            count(*) AS target_rows, '{split[1]}' AS last_state, {split[2]} AS validations,
+            count(*) AS target_rows, '{split[1]}' AS last_state, CAST({split[2]} AS BIGINT) AS validations,
             true AS all_ok
         FROM {{lineitem}}
         UNION ALL
