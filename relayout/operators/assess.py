@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Risk points per strategy, additions, bands and reasons.
@@ -16,41 +16,30 @@ REASON_NO_FACTS = "HDFS metadata collection failed"
 REWRITE_STRATEGIES = ("ctas", "hive_ctas")
 REWRITE_GIB_PER_HOUR = 250.0
 
-_GIB = 1024.0 * 1024.0 * 1024.0
+def risk(rows: DataFrame) -> DataFrame:
+    """Add ``risk_score``, ``risk_band`` and ``risk_reasons`` to plan rows with location ``facts``.
 
-
-def risk(classified: DataFrame) -> DataFrame:
-    """Add ``risk_score``, ``risk_band`` and ``risk_reasons``.
-
-    Needs ``strategy``, ``note``, ``compact`` and ``error`` (of the location). A view has no
-    location, so it scores the addition too.
+    A view has no location, so it scores that addition too.
     """
-    base = F.lit(UNKNOWN_RISK)
-    for strategy, points in BASE_RISK.items():
-        base = F.when(F.col("strategy") == strategy, points).otherwise(base)
-    small = F.coalesce(F.col("compact") == "Y", F.lit(False))
-    failed = F.coalesce("error", F.lit("")) != ""
-    added = lambda condition: F.when(condition, ADDED_RISK).otherwise(0)
-    score = F.least(base + added(small) + added(failed), F.lit(100))
-    band: Column = F.lit(NO_BAND)
-    for floor, name in reversed(BANDS):
-        band = F.when(F.col("risk_score") >= floor, name).otherwise(band)
-    reasons = F.array(
-        F.coalesce("note", F.lit("")),
-        F.when(small, REASON_SMALL_FILES).otherwise(""),
-        F.when(failed, REASON_NO_FACTS).otherwise(""),
+    bases = " ".join(f"WHEN '{strategy}' THEN {points}" for strategy, points in BASE_RISK.items())
+    bands = " ".join(f"WHEN risk_score >= {floor} THEN '{band}'" for floor, band in BANDS)
+    small, failed = "compact = 'Y'", "coalesce(facts.error, '') <> ''"
+    score = (
+        f"least(100, CASE strategy {bases} ELSE {UNKNOWN_RISK} END"
+        f" + if({small}, {ADDED_RISK}, 0) + if({failed}, {ADDED_RISK}, 0))"
     )
-    return (
-        classified.withColumn("risk_score", score)
-        .withColumn("risk_band", band)
-        .withColumn("risk_reasons", F.filter(reasons, lambda reason: reason != ""))
+    reasons = f"array(note, if({small}, '{REASON_SMALL_FILES}', ''), if({failed}, '{REASON_NO_FACTS}', ''))"
+    return rows.selectExpr("*", f"{score} AS risk_score").selectExpr(
+        "*",
+        f"CASE {bands} ELSE '{NO_BAND}' END AS risk_band",
+        f"filter({reasons}, reason -> reason <> '') AS risk_reasons",
     )
 
 
 def ranked(assessed: DataFrame) -> DataFrame:
     """Highest risk first, then by table, with the reasons as one text."""
     return assessed.withColumn("finding", F.array_join("risk_reasons", "; ")).orderBy(
-        F.desc("risk_score"), F.asc("table_name")
+        F.desc("risk_score"), F.asc("table")
     )
 
 
@@ -60,20 +49,18 @@ def strategy_counts(assessed: DataFrame) -> DataFrame:
 
 def summary(assessed: DataFrame, gib_per_hour: float = REWRITE_GIB_PER_HOUR) -> DataFrame:
     """One row of estate totals; tables that share a directory each count its bytes."""
-    rewritten = F.col("strategy").isin(*REWRITE_STRATEGIES)
+    rewritten = ", ".join(map(repr, REWRITE_STRATEGIES))
     totals = assessed.agg(
-        F.count(F.lit(1)).alias("objects_scanned"),
-        F.coalesce(F.sum("bytes"), F.lit(0)).cast("bigint").alias("total_bytes"),
-        F.coalesce(F.sum(F.when(rewritten, F.col("bytes"))), F.lit(0))
-        .cast("bigint")
-        .alias("rewrite_bytes"),
+        F.expr("count(1) AS objects_scanned"),
+        F.expr("coalesce(sum(facts.bytes), 0L) AS total_bytes"),
+        F.expr(f"coalesce(sum(facts.bytes) FILTER (WHERE strategy IN ({rewritten})), 0L) AS rewrite_bytes"),
     )
-    gib = lambda name: F.col(name).cast("double") / F.lit(_GIB).cast("double")
-    hours = F.round(gib("rewrite_bytes") / F.lit(float(gib_per_hour)), 1)
-    return totals.withColumns(
-        {
-            "total_gb": F.round(gib("total_bytes"), 2),
-            "rewrite_gb": F.round(gib("rewrite_bytes"), 2),
-            "estimated_rewrite_hours": hours if gib_per_hour > 0 else F.lit(None).cast("double"),
-        }
+    gib = "CAST({} AS DOUBLE) / 1073741824D"
+    hours = f"round({gib.format('rewrite_bytes')} / {float(gib_per_hour)}D, 1)"
+    return totals.selectExpr(
+        "*",
+        f"round({gib.format('total_bytes')}, 2) AS total_gb",
+        f"round({gib.format('rewrite_bytes')}, 2) AS rewrite_gb",
+        f"{hours if gib_per_hour > 0 else 'CAST(NULL AS DOUBLE)'} AS estimated_rewrite_hours",
+        f"{float(gib_per_hour)}D AS assumed_gib_per_hour",
     )

@@ -26,6 +26,7 @@ NOTE_ELIGIBLE = "external non-ACID table eligible for pilot validation"
 TARGET_VERSION = "2"
 
 _NUMERIC_PLAN_FIELDS = {"size_gb": "double", "files": "bigint", "avg_file_mb": "double"}
+_SIZE_FIELDS = (*_NUMERIC_PLAN_FIELDS, "compact")
 
 
 def _first_true(rules: list[tuple[str, str]], otherwise: str) -> str:
@@ -94,11 +95,10 @@ def classify(catalog: DataFrame, allow_avro_migrate: bool = False) -> DataFrame:
     return decided.selectExpr("* EXCEPT (decided)", "decided.strategy", "decided.note")
 
 
-def plan_rows(classified: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
-    """Shape classified tables into plan rows; every row starts unapproved.
+def plan_rows(classified: DataFrame) -> DataFrame:
+    """Shape classified tables into plan rows without sizes; every row starts unapproved.
 
-    ``sizes`` is ``(table_name, size_gb, files, avg_file_mb, compact)``. Only tables with work to
-    do carry sizes. A table that could not be inspected has blanks but for its note.
+    A table that could not be inspected has blanks but for its note.
     """
     inspected = {
         "source_type": "source_type",
@@ -117,17 +117,31 @@ def plan_rows(classified: DataFrame, sizes: DataFrame | None = None) -> DataFram
         "note",
         *[f"CASE WHEN error IS NULL THEN {value} END AS {name}" for name, value in inspected.items()],
     )
-    if sizes is not None:
-        measured = "location <> '' AND strategy NOT IN ('skip', 'manual')"
-        columns = ("size_gb", "files", "avg_file_mb", "compact")
-        sized = sizes.selectExpr("table_name AS table", *columns)
-        shaped = shaped.join(sized, "table", "left").selectExpr(
-            f"* EXCEPT ({', '.join(columns)})",
-            *[f"CASE WHEN {measured} THEN {name} END AS {name}" for name in columns],
-        )
     return plan_fields(shaped)
 
 
+def with_sizes(plan: DataFrame, sizes: DataFrame, every_table: bool = False) -> DataFrame:
+    """Fill in ``size_gb``, ``files``, ``avg_file_mb`` and ``compact`` by ``table_name``.
+
+    Only tables with work to do carry sizes, unless every table with a location should.
+    """
+    return plan_fields(join_sizes(plan, sizes.select("table_name", *_SIZE_FIELDS), every_table))
+
+
+def join_sizes(plan: DataFrame, sizes: DataFrame, every_table: bool) -> DataFrame:
+    """Plan rows with sizes and with whatever else ``sizes`` tells about a table."""
+    measured = "location <> ''"
+    if not every_table:
+        measured += " AND strategy NOT IN ('skip', 'manual')"
+    numbers = [f"CASE WHEN {measured} THEN {name} END AS {name}" for name in _NUMERIC_PLAN_FIELDS]
+    judged = f"CASE WHEN {measured} THEN coalesce(compact, '') ELSE '' END AS compact"
+    return (
+        plan.drop(*_SIZE_FIELDS)
+        .join(sizes.withColumnRenamed("table_name", "table"), "table", "left")
+        .selectExpr(f"* EXCEPT ({', '.join(_SIZE_FIELDS)})", *numbers, judged)
+    )
+
+
 def plan_fields(rows: DataFrame) -> DataFrame:
     """Exactly the plan columns, in order; absent text is blank, absent numbers are NULL."""
 

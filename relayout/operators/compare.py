@@ -190,10 +190,11 @@ def validate(
         partition_ok = "false" if missing else "CAST(NULL AS BOOLEAN)"
         partition_detail = "CAST(NULL AS STRING)"
     fixed = schema_found + [f"partition column missing from data: {key}" for key in missing[:1]]
+    printed = "coalesce(CAST({} AS STRING), 'None')".format
     global_detail = f"""CASE WHEN NOT ({TOTALS_MATCH}) THEN concat(
         'global mismatch rows ', source_rows, '/', target_rows,
-        '; hash_a ', coalesce(source_hash_a, 'None'), '/', coalesce(target_hash_a, 'None'),
-        '; hash_b ', coalesce(source_hash_b, 'None'), '/', coalesce(target_hash_b, 'None')) END"""
+        '; hash_a ', {printed('source_hash_a')}, '/', {printed('target_hash_a')},
+        '; hash_b ', {printed('source_hash_b')}, '/', {printed('target_hash_b')}) END"""
     found = f"array_compact(array({partition_detail}, {global_detail}))"
     verdict = totals.selectExpr(
         "source_rows",

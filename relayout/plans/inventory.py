@@ -1,4 +1,4 @@
-"""Inventory and assessment of whole databases."""
+"""Inventory and assessment of whole databases. Nothing here changes a table."""
 
 from __future__ import annotations
 
@@ -9,9 +9,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relayout.operators import assess as A
-from relayout.operators.classify import classify, plan_rows
+from relayout.operators.classify import PLAN_FIELDS, classify, join_sizes, plan_fields, plan_rows, with_sizes
 from relayout.sources.catalog import scan_catalog
 from relayout.sources.files import measure_locations, table_sizes
+from relayout.sources.plan_file import write_plan
+
+# Fixed value: layout version of a written assessment.
+ASSESSMENT_VERSION = 1
+
+
+def plan_with_sizes(catalog: DataFrame, facts: DataFrame, allow_avro_migrate: bool = False) -> DataFrame:
+    """Plan rows with the sizes of the tables that have work to do.
+
+    A table whose directory could not be measured is left to manual review, like one that could
+    not be described.
+    """
+    failed = facts.where("error IS NOT NULL AND location <> ''").selectExpr(
+        "table_name", "error AS size_error"
+    )
+    merged = catalog.join(failed, "table_name", "left").selectExpr(
+        "* EXCEPT (error, size_error)", "coalesce(error, size_error) AS error"
+    )
+    return with_sizes(plan_rows(classify(merged, allow_avro_migrate)), table_sizes(facts))
 
 
 def inventory(
@@ -20,40 +39,53 @@ def inventory(
     with_size: bool = False,
     allow_avro_migrate: bool = False,
 ) -> DataFrame:
-    """One editable, unapproved plan row per table. Changes nothing."""
-    classified = classify(scan_catalog(spark, databases), allow_avro_migrate)
+    """One editable, unapproved plan row per table."""
+    catalog = scan_catalog(spark, databases)
+    classified = classify(catalog, allow_avro_migrate)
     if not with_size:
         return plan_rows(classified)
-    work = classified.where(~F.col("strategy").isin("skip", "manual"))
+    work = classified.where("strategy NOT IN ('skip', 'manual')")
     facts = measure_locations(spark, work.select("table_name", "location"))
-    return plan_rows(classified, table_sizes(facts))
+    return plan_with_sizes(catalog, facts, allow_avro_migrate)
 
 
 @dataclass(frozen=True)
 class Assessment:
+    """``tables`` ranked by risk, estate totals, objects per strategy, and an editable plan."""
+
     tables: DataFrame
     summary: DataFrame
     strategies: DataFrame
+    plan: DataFrame
 
-    def write(self, folder: str) -> None:
-        """The report as JSON: one folder each for tables, totals and strategy counts."""
-        for name in ("tables", "summary", "strategies"):
-            getattr(self, name).write.mode("errorifexists").json(f"{folder}/{name}")
+    def write(self, folder: str, databases: str = "") -> None:
+        """The report as JSON below ``folder``, and the plan as CSV."""
+        stamped = self.summary.selectExpr(
+            f"{ASSESSMENT_VERSION} AS assessment_version", "current_timestamp() AS generated_at", "*"
+        ).withColumn("databases", F.lit(databases))
+        stamped.write.mode("errorifexists").json(f"{folder}/summary")
+        self.tables.write.mode("errorifexists").json(f"{folder}/tables")
+        self.strategies.write.mode("errorifexists").json(f"{folder}/strategies")
+        write_plan(self.plan, f"{folder}/plan")
 
 
-def assess_tables(
-    classified: DataFrame, facts: DataFrame, gib_per_hour: float = A.REWRITE_GIB_PER_HOUR
+def assess_plan(
+    plan: DataFrame, facts: DataFrame, gib_per_hour: float = A.REWRITE_GIB_PER_HOUR
 ) -> Assessment:
-    """Rank classified tables by risk. All tables with a location are sized, whatever their strategy."""
-    sized = table_sizes(facts).withColumnRenamed("error", "location_error").drop("location")
-    joined = classified.withColumnRenamed("error", "inventory_error").join(
-        sized, "table_name", "left"
-    )
-    scored = A.risk(joined.withColumn("error", F.col("location_error")))
+    """Rank plan rows by risk. Every table with a location is sized, whatever its strategy."""
+    sizes = table_sizes(facts).selectExpr(
+        "table_name", "size_gb", "files", "avg_file_mb", "compact",
+        "struct(location, bytes, files, average_file_mb, error) AS facts",
+    )
+    sized = join_sizes(plan, sizes, every_table=True)
+    scored = A.risk(sized)
     return Assessment(
-        tables=A.ranked(scored),
+        tables=A.ranked(scored).select(
+            *PLAN_FIELDS, "facts", "risk_band", "risk_score", "risk_reasons", "finding"
+        ),
         summary=A.summary(scored, gib_per_hour),
-        strategies=A.strategy_counts(scored),
+        strategies=A.strategy_counts(plan),
+        plan=plan_fields(sized),
     )
 
 
@@ -63,7 +95,7 @@ def assess(
     gib_per_hour: float = A.REWRITE_GIB_PER_HOUR,
     allow_avro_migrate: bool = False,
 ) -> Assessment:
-    """Read-only readiness assessment of whole databases."""
-    classified = classify(scan_catalog(spark, databases), allow_avro_migrate)
-    facts = measure_locations(spark, classified.select("table_name", "location"))
-    return assess_tables(classified, facts, gib_per_hour)
+    """Readiness assessment of whole databases."""
+    plan = plan_rows(classify(scan_catalog(spark, databases), allow_avro_migrate))
+    facts = measure_locations(spark, plan.selectExpr("table AS table_name", "location"))
+    return assess_plan(plan, facts, gib_per_hour)

@@ -6,7 +6,6 @@ import time
 import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
-from datetime import datetime, timezone
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,7 +33,7 @@ RESULT_SCHEMA = (
 
 
 def new_run_id() -> str:
-    return f"{datetime.now(timezone.utc):%Y%m%dT%H%M%SZ}-{uuid.uuid4().hex[:8]}"
+    return f"run-{uuid.uuid4().hex[:12]}"
 
 
 @dataclass(frozen=True)
@@ -233,6 +232,18 @@ def _checked(plan: DataFrame, options: RunOptions) -> DataFrame:
     )
 
 
+def select_plan(spark: SparkSession, plan: DataFrame, only: str = "") -> DataFrame:
+    """The plan rows of a comma-separated list of tables; all rows if the list is empty."""
+    wanted = sorted({name.strip() for name in only.split(",")} - {""})
+    if not wanted:
+        return plan
+    names = spark.createDataFrame([(name,) for name in wanted], "table string")
+    missing = [row["table"] for row in G.missing_rows(plan, names).collect()]
+    if missing:
+        raise ValueError(f"tables not found in plan: {missing}")
+    return G.select_rows(plan, names)
+
+
 def run_plan(spark: SparkSession, plan: DataFrame, options: RunOptions) -> DataFrame:
     """Run the rows one after another and return one result row per table.
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
@@ -56,22 +57,22 @@ def describe_table(spark: SparkSession, table: str) -> dict:
     }
 
 
-def scan_catalog(spark: SparkSession, databases: Iterable[str] | str) -> DataFrame:
-    """Describe every table of the databases; a table that cannot be described carries its error."""
-    rows = []
-    for found in list_tables(spark, databases).toLocalIterator():
+def scan_catalog(spark: SparkSession, databases: Iterable[str] | str, calls: int = 8) -> DataFrame:
+    """Describe every table of the databases; a table that cannot be described carries its error.
+
+    The work is metastore calls, ``calls`` of them at a time.
+    """
+
+    def described(table: str) -> dict:
         try:
-            rows.append(describe_table(spark, found["table_name"]))
+            return describe_table(spark, table)
         except (PySparkException, ValueError) as failure:
-            rows.append(
-                {"table_name": found["table_name"], "columns": [], "partitions": [],
-                 "error": str(failure).splitlines()[0]}
-            )
-    return spark.createDataFrame(rows, CATALOG_SCHEMA)
-
+            error = str(failure).splitlines()[0]
+            return {"table_name": table, "columns": [], "partitions": [], "error": error}
 
-def partition_columns(spark: SparkSession, table: str) -> list[str]:
-    return describe_table(spark, table)["partitions"]
+    names = [row["table_name"] for row in list_tables(spark, databases).collect()]
+    with ThreadPoolExecutor(calls) as pool:
+        return spark.createDataFrame(list(pool.map(described, names)), CATALOG_SCHEMA)
 
 
 def table_exists(spark: SparkSession, table: str) -> bool:

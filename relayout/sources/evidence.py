@@ -67,8 +67,9 @@ def read_validations(spark: SparkSession, path: str) -> DataFrame:
 def malformed_lines(spark: SparkSession, path: str) -> DataFrame:
     """The journal lines that cannot be read, for repair."""
     schema = f"{JOURNAL_SCHEMA}, _corrupt_record string"
-    lines = spark.read.schema(schema).option("mode", "PERMISSIVE").json(path)
-    return lines.where(F.col("_corrupt_record").isNotNull()).select("_corrupt_record")
+    parsed = F.from_json("value", schema, {"mode": "PERMISSIVE"})
+    broken = spark.read.text(path).select(parsed["_corrupt_record"].alias("line"))
+    return broken.where(F.col("line").isNotNull())
 
 
 def latest_state(journal: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -21,6 +22,7 @@ _LISTING_SETTINGS = {
     "spark.sql.files.maxPartitionBytes": str(1 << 50),
     "spark.sql.files.openCostInBytes": "1",
 }
+_FILESYSTEM = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?(?=/)")
 _FILES_SCHEMA = "path string, length bigint"
 
 
@@ -61,17 +63,26 @@ def measure_locations(spark: SparkSession, tables: DataFrame, tasks: int = 200)
     lengths are read; that setting must hold while the job runs, so the result, which has one row
     per table like the catalogue itself, is computed here.
     """
-    located = tables.where(F.coalesce("location", F.lit("")) != "")
-    locations = [row[0] for row in located.select("location").distinct().collect()]
+    located = tables.where("location <> ''").select("location").distinct()
+    locations = [row["location"] for row in located.collect()]
     files, failed = list_files(spark, locations)
     errors = spark.createDataFrame(list(failed.items()), "location string, message string")
     with sql_settings(
         spark, {**_LISTING_SETTINGS, "spark.sql.files.minPartitionNum": str(tasks)}
     ):
-        facts = location_facts(tables, files, errors)
+        bare = [name for name in locations if not _FILESYSTEM.match(name) and name not in failed]
+        facts = location_facts(tables, files, errors, _default_filesystem(spark, bare))
         return spark.createDataFrame(facts.collect(), facts.schema)
 
 
+def _default_filesystem(spark: SparkSession, bare: list[str]) -> str:
+    """Where locations without a file system live, as seen on one of their files."""
+    if not bare:
+        return ""
+    seen = list_files(spark, bare)[0].select("path").first()
+    return _FILESYSTEM.match(seen["path"])[0] if seen else ""
+
+
 def normalized_location(location: Column) -> Column:
     """One spelling per directory: no trailing slash, one slash after ``file:``."""
     trimmed = F.regexp_replace(location, r"/+\z", "")
@@ -102,15 +113,19 @@ def directory_totals(files: DataFrame) -> DataFrame:
     )
 
 
-def location_facts(tables: DataFrame, files: DataFrame, errors: DataFrame | None = None) -> DataFrame:
+def location_facts(
+    tables: DataFrame, files: DataFrame, errors: DataFrame | None = None, filesystem: str = ""
+) -> DataFrame:
     """Bytes, files and average size for each ``(table_name, location)``, or an ``error`` text.
 
     Tables that share a directory each get its full size. ``errors`` is ``(location, message)``; without
-    it a directory in which no file was found counts as not found.
+    it a directory in which no file was found counts as not found. ``filesystem`` is where
+    locations that start with a slash live.
     """
-    named = tables.select("table_name", "location").withColumn(
-        "directory", normalized_location(F.col("location"))
-    )
+    full = F.when(
+        F.col("location").startswith("/"), F.concat(F.lit(filesystem), "location")
+    ).otherwise(F.col("location"))
+    named = tables.select("table_name", "location", normalized_location(full).alias("directory"))
     blank = F.coalesce("location", F.lit("")) == ""
     joined = named.join(directory_totals(files), "directory", "left")
     if errors is None:

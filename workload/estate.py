@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from relayout.operators import assess as A
 from relayout.operators import classify as K
 from relayout.operators import compare as C
-from relayout.plans.inventory import Assessment, assess_tables
+from relayout.plans.inventory import Assessment, assess_plan
 from relayout.sources import files as S
 from workload.fixtures import as_sql, load
 
@@ -30,13 +30,17 @@ def _catalog(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _plan(spark: SparkSession, sf: str) -> DataFrame:
+    return K.plan_rows(K.classify(_catalog(spark, sf)))
+
+
 def _facts(spark: SparkSession, sf: str) -> DataFrame:
-    tables = load(spark, sf, "estate").select("table_name", "location")
+    tables = _plan(spark, sf).selectExpr("table AS table_name", "location")
     return S.location_facts(tables, load(spark, sf, "files"))
 
 
 def _assessment(spark: SparkSession, sf: str) -> Assessment:
-    return assess_tables(K.classify(_catalog(spark, sf)), _facts(spark, sf))
+    return assess_plan(_plan(spark, sf), _facts(spark, sf))
 
 
 def _column_lists(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -91,7 +95,7 @@ def classify_tables(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def build_plan(spark: SparkSession, sf: str) -> DataFrame:
-    return K.plan_rows(K.classify(_catalog(spark, sf)), S.table_sizes(_facts(spark, sf)))
+    return K.with_sizes(_plan(spark, sf), S.table_sizes(_facts(spark, sf)))
 
 
 def file_inventory(spark: SparkSession, sf: str) -> DataFrame:
@@ -109,12 +113,12 @@ def assess_locations(spark: SparkSession, sf: str) -> DataFrame:
 
 def assess_risk(spark: SparkSession, sf: str) -> DataFrame:
     return _assessment(spark, sf).tables.select(
-        "table_name", "strategy", "risk_score", "risk_band", F.size("risk_reasons").alias("n_reasons")
+        "table", "strategy", "risk_score", "risk_band", F.size("risk_reasons").alias("n_reasons")
     )
 
 
 def assess_ranked(spark: SparkSession, sf: str) -> DataFrame:
-    return _assessment(spark, sf).tables.select("table_name", "risk_band", "risk_score", "finding")
+    return _assessment(spark, sf).tables.select("table", "risk_band", "risk_score", "finding")
 
 
 def assess_summary(spark: SparkSession, sf: str) -> DataFrame:
@@ -202,7 +206,8 @@ _SIZES = """,
             round(l.bytes / greatest(l.files, 1) / 1048576, 2) AS average_file_mb,
             round(CAST(l.bytes AS DOUBLE) / CAST(1073741824 AS DOUBLE), 2) AS size_gb,
             round(CAST(l.bytes AS DOUBLE) / l.files / CAST(1048576 AS DOUBLE), 1) AS avg_file_mb
-        FROM {estate} e LEFT JOIN listed l ON l.directory = e.location
+        FROM (SELECT table_name, CASE WHEN error IS NULL THEN location ELSE '' END AS location
+              FROM {estate}) e LEFT JOIN listed l ON l.directory = e.location
     )"""
 
 _SCORED = (
@@ -276,9 +281,9 @@ _ORACLE = {
     + _SIZES
     + " SELECT table_name, location, bytes, files, error, average_file_mb FROM facts",
     "assess_risk": _SCORED
-    + " SELECT table_name, strategy, risk_score, risk_band, n_reasons FROM banded",
+    + ''' SELECT table_name AS "table", strategy, risk_score, risk_band, n_reasons FROM banded''',
     "assess_ranked": _SCORED
-    + """ SELECT table_name, risk_band, risk_score, finding FROM banded
+    + """ SELECT table_name AS "table", risk_band, risk_score, finding FROM banded
           ORDER BY risk_score DESC, table_name""",
     "assess_summary": _SCORED
     + """, totals AS (
@@ -288,7 +293,8 @@ _ORACLE = {
     )
     SELECT *, round(CAST(total_bytes AS DOUBLE) / CAST(1073741824 AS DOUBLE), 2) AS total_gb,
         round(CAST(rewrite_bytes AS DOUBLE) / CAST(1073741824 AS DOUBLE), 2) AS rewrite_gb,
-        round(CAST(rewrite_bytes AS DOUBLE) / CAST(1073741824 AS DOUBLE) / 250, 1) AS estimated_rewrite_hours
+        round(CAST(rewrite_bytes AS DOUBLE) / CAST(1073741824 AS DOUBLE) / 250, 1) AS estimated_rewrite_hours,
+        CAST(250 AS DOUBLE) AS assumed_gib_per_hour
     FROM totals""",
     "strategy_counts": _CLASSIFIED
     + " SELECT strategy, count(*) AS objects FROM classified GROUP BY strategy ORDER BY strategy",
