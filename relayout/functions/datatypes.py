@@ -36,8 +36,12 @@ def normalized_type(dtype: str) -> str:
 
 
 def normalized_field(dtype: T.DataType) -> str:
-    """The same rule for a type of a DataFrame schema, where char and varchar are already string."""
-    return "int" if isinstance(dtype, (T.ByteType, T.ShortType)) else dtype.simpleString().lower()
+    """The same rule for a type of a DataFrame schema."""
+    if isinstance(dtype, (T.ByteType, T.ShortType)):
+        return "int"
+    if isinstance(dtype, (T.CharType, T.VarcharType)):
+        return "string"
+    return dtype.simpleString().lower()
 
 
 def cast_target(dtype: str) -> str:
