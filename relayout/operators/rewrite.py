@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 
 from relayout.functions.canonical import column
 from relayout.functions.layout import layout_columns
@@ -20,6 +21,8 @@ COMPRESSION = "zstd"
 
 # A reader task takes at most target / _OPEN_COST_BYTES files.
 _OPEN_COST_BYTES = 64 * 1024
+# Partitions compacted in one job; bounds the size of its plan.
+_SCANS_PER_JOB = 64
 # More shuffle partitions than this cost more in block fetches than they help.
 _MAX_SHUFFLE_PARTITIONS = 20_000
 
@@ -58,6 +61,11 @@ def clustered(
     return df.hint("rebalance", *([wanted] if wanted > 1 else []), *map(column, keys))
 
 
+def keeps_partitions(keys: Sequence[str], derived: Sequence[str], stored_by: Sequence[str]) -> bool:
+    """True if each file of the source already lies within one partition of the target."""
+    return not derived and {k.lower() for k in keys} <= {name.lower() for name in stored_by}
+
+
 def _write_settings(target_file_bytes: int) -> dict[str, str]:
     return {
         "spark.sql.adaptive.enabled": "true",
@@ -88,22 +96,31 @@ def rewrite_table(
     fmt: str = "parquet",
     size_bytes: int = 0,
     target_file_bytes: int = TARGET_FILE_BYTES,
+    small_files: bool = True,
 ) -> list[str]:
     """Copy ``source`` into the new table ``target``; returns the derived partition columns.
 
-    Refuses to overwrite. ``size_bytes``, where known, sets how finely partitions are shuffled.
+    Refuses to overwrite. ``size_bytes``, where known, sets how finely partitions are shuffled. A
+    source that is stored by the target's partitions, in files that are not small, is copied
+    without a shuffle: no file of the target gets smaller than those it is read from.
     """
     if table_exists(spark, target):
         raise RuntimeError(f"Refusing to overwrite existing staging table {target}")
     projected = cast_projection(spark.table(source), casts or {})
     laid_out, keys, derived = with_layout(projected, spec)
-    ready = clustered(laid_out, keys, size_bytes, target_file_bytes)
-    writer = ready.write.mode("errorifexists").format(fmt).option("compression", COMPRESSION)
+    settings = _write_settings(target_file_bytes)
+    if small_files or not keeps_partitions(
+        keys, derived, describe_table(spark, source)["partitions"]
+    ):
+        laid_out = clustered(laid_out, keys, size_bytes, target_file_bytes)
+    else:
+        settings |= _packing_settings(size_bytes, target_file_bytes)
+    writer = laid_out.write.mode("errorifexists").format(fmt).option("compression", COMPRESSION)
     if keys:
         writer = writer.partitionBy(*keys)
     if location:
         writer = writer.option("path", location)
-    with sql_settings(spark, _write_settings(target_file_bytes)):
+    with sql_settings(spark, settings):
         writer.saveAsTable(target)
     return derived
 
@@ -116,8 +133,8 @@ def compacted_copy(
 ) -> str:
     """Write the table's rows into files of the target size, under a new name; returns that name.
 
-    The copy keeps declared types, partitioning and file format. Without partitions each task
-    packs small files into one new file and nothing is shuffled.
+    The copy keeps declared types, partitioning and file format. Each task packs small files of
+    one partition into one new file, so nothing is shuffled; a hot partition is just more tasks.
     """
     described = describe_table(spark, table)
     copy = f"{table}{COMPACTED_SUFFIX}"
@@ -129,17 +146,49 @@ def compacted_copy(
             described["location"].rstrip("/").replace("'", "\\'"), COMPACTED_SUFFIX
         )
     spark.sql(f"CREATE TABLE {quoted_table(copy)} LIKE {quoted_table(table)}{beside}")
+    keys = described["partitions"]
     settings = _write_settings(target_file_bytes)
-    if not described["partitions"]:
-        settings |= _packing_settings(size_bytes, target_file_bytes)
+    settings |= _packing_settings(0 if keys else size_bytes, target_file_bytes)
     with sql_settings(spark, settings):
-        rows = clustered(
-            spark.table(table), described["partitions"], size_bytes, target_file_bytes
-        )
-        rows.write.insertInto(copy)
+        for rows in partition_batches(spark.table(table), keys):
+            rows.write.insertInto(copy)
     return copy
 
 
+def partition_batches(
+    df: DataFrame, keys: Sequence[str], batch: int = _SCANS_PER_JOB
+) -> Iterator[DataFrame]:
+    """The table as unions of one pruned scan per partition, some partitions at a time.
+
+    Scans pack files by size only; with a scan of its own, no partition shares a task with another.
+    The list of partitions comes from the catalogue without opening files, one small row each; one
+    that turns out to hold no rows adds none.
+    """
+    if not keys:
+        yield df
+        return
+    with sql_settings(df.sparkSession, {"spark.sql.optimizer.metadataOnly": "true"}):
+        values = df.select(*map(column, keys)).distinct().collect()
+    for start in range(0, len(values), batch):
+        yield _union([df.where(_in_partition(row)) for row in values[start : start + batch]])
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    """Joined by halves: one by one, each union would be analysed again with all before it."""
+    if len(frames) == 1:
+        return frames[0]
+    middle = len(frames) // 2
+    return _union(frames[:middle]).union(_union(frames[middle:]))
+
+
+def _in_partition(row: Row) -> Column:
+    tests = [
+        column(name).isNull() if value is None else column(name) == value
+        for name, value in row.asDict().items()
+    ]
+    return reduce(Column.__and__, tests)
+
+
 def rows_out_of_sight(spark: SparkSession, table: str, fmt: str) -> bool:
     """True if the table's directory holds rows; asked where the table itself shows none.
 

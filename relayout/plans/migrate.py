@@ -87,6 +87,7 @@ class _TableRun:
         self.spark, self.row, self.options = spark, row, options
         self.table = row["table"]
         self.partitions = [name for name in row["partitions"].split(";") if name]
+        self.file_format = row["format"] if row["format"] in ("parquet", "orc") else ""
         self.result = {
             "run_id": options.run_id,
             "table": self.table,
@@ -109,8 +110,7 @@ class _TableRun:
             self.spark, source, target, self.partitions, self.options.max_partitions, derived
         )
         if verdict["ok"] and not verdict["target_rows"]:
-            fmt = self.row["format"] if self.row["format"] in ("parquet", "orc") else self.options.fmt
-            if rows_out_of_sight(self.spark, source, fmt):
+            if rows_out_of_sight(self.spark, source, self.file_format or self.options.fmt):
                 verdict["ok"] = False
                 verdict["details"] = [*verdict["details"], f"no rows read, but {source} has data files"]
         append_validation(
@@ -126,6 +126,7 @@ class _TableRun:
         return rewrite_table(
             self.spark, self.table, target, self.row["spec"], self.row["casts"], location,
             self.options.fmt, int(size_gb * 1024**3), self.options.target_file_bytes,
+            small_files=self.row["compact"] != "N",
         )
 
     def dry_run(self) -> None:
@@ -133,7 +134,7 @@ class _TableRun:
         P.create_namespace(self.spark, self.options.sandbox)
         derived: list[str] = []
         if self.result["strategy"] == "migrate":
-            P.share_files(self.spark, self.table, target)
+            P.share_files(self.spark, self.table, target, self.file_format)
         else:
             derived = self.rewrite(target, location="")
         self.record("SANDBOX_CREATED", target=target)
@@ -146,7 +147,7 @@ class _TableRun:
 
     def execute_in_place(self) -> None:
         backup = f"{self.table}{N.BACKUP_SUFFIX}"
-        P.convert_in_place(self.spark, self.table, backup)
+        P.convert_in_place(self.spark, self.table, backup, self.file_format)
         self.record("MIGRATED", backup=backup)
         verdict = self.check(backup, self.table)
         details = "; ".join(verdict["details"])

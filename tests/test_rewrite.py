@@ -98,6 +98,29 @@ def test_no_shuffle_without_partitions(spark):
     assert "REBALANCE_PARTITIONS_BY_COL" in plan and "hashpartitioning(id" in plan and ", 10)" in plan
 
 
+def test_no_shuffle_where_the_source_is_stored_by_partition(spark, database):
+    """Two files per partition stay two: a shuffle would have joined them."""
+    rows = spark.range(0, 100, 1, 2).select("id", (F.col("id") % 3).alias("k"))
+    rows.write.partitionBy("k").saveAsTable(f"{database}.t")
+    R.rewrite_table(spark, f"{database}.t", f"{database}.u", ["K"], small_files=True)
+    R.rewrite_table(spark, f"{database}.t", f"{database}.v", ["K"], small_files=False)
+    assert files_of(spark, f"{database}.t") == 6
+    assert files_of(spark, f"{database}.u") == 3
+    assert files_of(spark, f"{database}.v") in (3, 6)
+    assert validate_tables(spark, f"{database}.t", f"{database}.v", ["k"], derived=[])["ok"]
+
+
+@pytest.mark.parametrize(
+    "keys, derived, stored_by, kept",
+    [
+        (["a"], [], ["A", "b"], True), ([], [], [], True), (["a", "b"], [], ["a"], False),
+        (["a_days"], ["a_days"], ["a_days"], False),
+    ],
+)
+def test_keeps_partitions(keys, derived, stored_by, kept):
+    assert R.keeps_partitions(keys, derived, stored_by) is kept
+
+
 def test_settings_are_restored(spark, database):
     watched = [*R._write_settings(1), *R._packing_settings(1, 1)]
     before = {key: spark.conf.get(key, None) for key in watched}
@@ -148,3 +171,31 @@ def test_rows_out_of_sight(spark, database, tmp_path):
     spark.range(0).write.saveAsTable(f"{database}.zero")
     assert not R.rows_out_of_sight(spark, f"{database}.zero", "parquet")
     assert table_exists(spark, f"{database}.zero")
+
+
+def test_shuffles_of_a_rewrite(spark, database, monkeypatch):
+    """A rebalance is asked for only where files must be brought together."""
+    asked = []
+    clustered = R.clustered
+    monkeypatch.setattr(R, "clustered", lambda df, keys, *rest: asked.append(keys) or clustered(df, keys, *rest))
+    spark.range(9).withColumn("k", F.lit(1)).write.partitionBy("k").saveAsTable(f"{database}.t")
+    R.rewrite_table(spark, f"{database}.t", f"{database}.a", ["k"], small_files=False)
+    assert asked == []
+    R.rewrite_table(spark, f"{database}.t", f"{database}.b", ["id"], small_files=False)
+    R.rewrite_table(spark, f"{database}.t", f"{database}.c", ["k"])
+    assert asked == [["id"], ["k"]]
+
+
+def test_partition_batches(spark, tmp_path):
+    """Every row is in exactly one batch, whatever its partition value, and scans are pruned."""
+    rows = spark.sql(
+        "SELECT id, CASE WHEN id % 5 > 0 THEN concat('a=', id % 5, '/ \\'') END AS k, "
+        "date_add(DATE '2024-01-01', CAST(id % 2 AS INT)) AS d FROM range(100)"
+    )
+    rows.write.partitionBy("k", "d").parquet(f"{tmp_path}/t")
+    stored = spark.read.parquet(f"{tmp_path}/t")
+    batches = list(R.partition_batches(stored, ["k", "d"], batch=3))
+    assert len(batches) == 4
+    assert sorted(r["id"] for b in batches for r in b.collect()) == list(range(100))
+    plan = batches[0]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 3 and "Exchange" not in plan and "DataFilters: []" in plan
