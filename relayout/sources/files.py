@@ -32,11 +32,11 @@ def list_files(
     """``(path, length)`` of every file below the locations, and the locations that failed.
 
     Unreadable or missing locations are found by halving, so a few bad ones among many cost a few
-    more listings and never fail the rest.
+    more listings and never fail the rest. A file below several locations is listed once.
     """
     frames, errors = _read_or_split(spark, list(dict.fromkeys(locations)))
     empty = spark.createDataFrame([], _FILES_SCHEMA)
-    return reduce(DataFrame.unionByName, frames, empty), errors
+    return reduce(DataFrame.unionByName, frames, empty).dropDuplicates(["path"]), errors
 
 
 def _read_or_split(

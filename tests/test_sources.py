@@ -68,7 +68,7 @@ def test_measured_directories(spark, tmp_path):
     (tmp_path / "empty").mkdir()
     tables = spark.createDataFrame(
         [
-            ("t", f"{tmp_path}/t/"), ("same", f"file://{tmp_path}/t"), ("t_2", f"file:{tmp_path}/t_2"),
+            ("t", f"{tmp_path}/t/"), ("inside", f"file:{tmp_path}/t/p=1"), ("same", f"file://{tmp_path}/t"), ("t_2", f"file:{tmp_path}/t_2"),
             ("empty", f"{tmp_path}/empty"), ("gone", f"{tmp_path}/gone"), ("view", ""), ("none", None),
         ],
         "table_name string, location string",
@@ -79,6 +79,7 @@ def test_measured_directories(spark, tmp_path):
     assert found == {
         "t": (1024, 2, None),
         "same": (1024, 2, None),
+        "inside": (1000, 1, None),
         "t_2": (1, 1, None),
         "empty": (0, 0, None),
         "view": (None, None, FS.NO_LOCATION),
