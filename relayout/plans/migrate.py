@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relayout.functions import naming as N
+from relayout.functions.canonical import column
 from relayout.functions.layout import parse_casts, parse_partition_spec
 from relayout.operators import gates as G
 from relayout.operators import publish as P
@@ -62,7 +63,7 @@ def same_columns(source: DataFrame, target: DataFrame, derived: Sequence[str]) -
     kept = [name for name in target.columns if name not in derived]
     if sorted(map(str.lower, kept)) != sorted(map(str.lower, source.columns)):
         return target
-    return target.select(*[F.col(f"`{name}`") for name in source.columns])
+    return target.select(*map(column, source.columns))
 
 
 def validate_tables(

@@ -34,6 +34,21 @@ def test_layout_values(spark):
     assert names[-1] == "n" and "n" not in derived
 
 
+@pytest.mark.parametrize("zone", ["UTC", "Asia/Kolkata", "America/New_York"])
+def test_layout_does_not_depend_on_the_session_zone(spark, zone):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        df = spark.sql(
+            "SELECT timestamp_seconds(-1) AS i, TIMESTAMP_NTZ '1970-01-01 02:30:00' AS l"
+        )
+        spec = [f"{part}({name})" for name in "il" for part in ("years", "months", "days", "hours")]
+        laid_out, names, _ = R.with_layout(df, spec)
+        assert tuple(laid_out.select(*names).first()) == (-1, -1, -1, -1, 0, 0, 0, 2)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
 def test_layout_of_dates(spark):
     df = spark.createDataFrame([(dt.date(2024, 2, 29),)], "d date")
     row = R.with_layout(df, ["years(d)", "months(d)", "days(d)"])[0].first()

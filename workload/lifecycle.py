@@ -280,6 +280,7 @@ def _run(spark: SparkSession, sf: str, execute: bool) -> DataFrame:
             journal=f"{work.folder}/journal", validations=f"{work.folder}/validations",
             run_id="RUN-1", execute=execute, sandbox=f"{work.name}_sandbox",
         )
+        spark.sql(f"CREATE DATABASE {options.sandbox} LOCATION '{work.folder}/sandbox'")
         try:
             results = run_plan(spark, plan, options)
             states = latest_state(read_journal(spark, options.journal)).select(
@@ -296,7 +297,7 @@ def _run(spark: SparkSession, sf: str, execute: bool) -> DataFrame:
             )
             return spark.createDataFrame(report.collect(), report.schema)
         finally:
-            spark.sql(f"DROP DATABASE IF EXISTS {options.sandbox} CASCADE")
+            spark.sql(f"DROP DATABASE {options.sandbox} CASCADE")
 
 
 def run_dry(spark: SparkSession, sf: str) -> DataFrame:
