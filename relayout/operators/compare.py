@@ -16,6 +16,10 @@ from relayout.functions.fingerprint import MEASURES, fingerprint
 MAX_PARTITIONS = 10_000
 MAX_EXAMPLES = 20
 
+# Beyond some 80 columns the generated hash method is too large for the JVM to compile, and rows
+# are interpreted. With this limit such stages are generated in small methods instead.
+WIDE_TABLES = {"spark.sql.codegen.hugeMethodLimit": "8000"}
+
 _SIDES = ("source", "target")
 
 

@@ -16,13 +16,14 @@ from relayout.functions.canonical import column
 from relayout.functions.layout import parse_casts, parse_partition_spec
 from relayout.operators import gates as G
 from relayout.operators import publish as P
-from relayout.operators.compare import MAX_PARTITIONS, validate
+from relayout.operators.compare import MAX_PARTITIONS, WIDE_TABLES, validate
 from relayout.operators.rewrite import (
     TARGET_FILE_BYTES,
     compacted_copy,
     rewrite_table,
     rows_out_of_sight,
 )
+from relayout.session import sql_settings
 from relayout.sources.catalog import describe_table
 from relayout.sources.evidence import append_journal, append_validation
 from relayout.sources.files import measure_locations
@@ -78,7 +79,8 @@ def validate_tables(
     left, right = spark.table(source), spark.table(target)
     if derived is not None:
         right = same_columns(left, right, derived)
-    return validate(left, right, partitions, max_partitions).first().asDict()
+    with sql_settings(spark, WIDE_TABLES):
+        return validate(left, right, partitions, max_partitions).first().asDict()
 
 
 class _TableRun:
