@@ -6,10 +6,10 @@ import time
 import duckdb
 import pytest
 
-import __spark_entry__ as entry
+import workload
 from workload.fixtures import TABLES
 
-QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLE = workload.QUERIES, workload.ORACLE
 
 
 @pytest.fixture(scope="module")
