@@ -21,9 +21,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from relayout.llm.arrow_text import slices
-from relayout.llm.shared import small_batches
+from relayout.llm.shared import prepare
 
 WINDOW = 1024
 #: Documents in one bucket of the packing, on average.
@@ -76,7 +77,7 @@ def pieces(
     id_column: str = "doc_id", text: str = "text",
 ) -> DataFrame:
     """doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens: full windows, then the rest."""
-    small_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,7 +155,8 @@ def pack(cut: DataFrame, documents: int, window: int = WINDOW) -> DataFrame:
     """The pieces with ``sequence_id`` and ``offset``; ``documents``: how many they come from, for the buckets."""
     cut = cut.drop("sequence_id", "offset")
     buckets = max(1, -(-documents // BUCKET_DOCUMENTS))
-    schema = cut.schema.add("sequence_id", "long").add("offset", "long")
+    placed = [T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]
+    schema = T.StructType([*cut.schema.fields, *placed])
     order = [("length", "descending"), ("doc_id", "ascending"), ("start", "ascending")]
     more = [name for name, kind in cut.dtypes if name not in ("length", "doc_id", "start") and kind != "void"]
 

@@ -2,21 +2,40 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+import relayout
 from relayout.session import scratch_folder
 
 #: Rows that Spark hands to Python at a time; keeps long texts within a worker's memory.
 ARROW_ROWS = 1000
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Hand Python at most ARROW_ROWS rows at a time. Lazy plans read this setting when they run, so it stays set."""
+_shipped: set[str] = set()
+
+
+def prepare(spark: SparkSession) -> None:
+    """Make Python tasks work on any executor: ship this package, and hand over few rows at a time.
+
+    Lazy plans read the batch setting when they run, so it stays set.
+    """
     setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(setting)) > ARROW_ROWS:
         spark.conf.set(setting, ARROW_ROWS)
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        package = os.path.dirname(os.path.abspath(relayout.__file__))
+        made = tempfile.mkdtemp(prefix="relayout-package-")  # on the driver, which serves it to executors
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
+        base = os.path.join(made, "relayout_package")
+        context.addPyFile(shutil.make_archive(base, "zip", os.path.dirname(package), os.path.basename(package)))
+        _shipped.add(context.applicationId)
 
 
 def folder(spark: SparkSession) -> str:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from relayout.llm.arrow_text import slices
-from relayout.llm.shared import small_batches
+from relayout.llm.shared import prepare
 
 CHUNK = 16_384
 OVERLAP = 256
@@ -77,7 +77,7 @@ def count_tokens(
     text: str = "text",
 ) -> DataFrame:
     """doc_id, n_bytes, n_tokens of every row, without added special tokens, truncation or padding."""
-    small_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, starts = _tokenizer(vocabulary), token_starts(vocabulary)
