@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relayout.llm import packing, token_counts
+from relayout.llm import decontamination, oracle, packing, quality, secrets, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,34 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(digests, docs.count())
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contained_items(
+        _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
+    )
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.apply_rules(quality.measures(_table(spark, sf_dir, "documents")))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(_table(spark, sf_dir, "documents"))
+
+    def of_kind(name: str):
+        number = [kind[0] for kind in secrets.KINDS].index(name)
+        return F.size(F.filter("base", lambda s: s["kind"] == number)).cast("long").alias(f"n_{name}")
+
+    return found.select(
+        "doc_id", of_kind("assign"), of_kind("access"), of_kind("hex"),
+        F.sha2(secrets.digest(F.col("base")), 256).alias("base_sha256"),
+        secrets.digest(F.concat("base", "bare")).alias("spans"),
+        "n_live", "n_copied",
+    )
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts.count_tokens(
         _table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")
@@ -31,7 +59,10 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_packing": op3_packing,
+    "op4_decontamination": op4_decontamination,
+    "op5_quality_rules": op5_quality_rules,
+    "op7_secret_scan": op7_secret_scan,
     "op9_token_counts": op9_token_counts,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = oracle.SQL
