@@ -6,13 +6,25 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relayout.llm import decontamination, oracle, packing, quality, secrets, token_counts
+from relayout.llm import decontamination, language, oracle, packing, quality, secrets, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _remainder(number: int):
+    """crc32 of the id as text, modulo ``number``."""
+    return F.crc32(F.col("doc_id").cast("string")) % number
+
+
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = language.identify(docs, F.coalesce(_remainder(4) != 2, F.lit(False)))
+    held_out = F.coalesce(_remainder(4) == 2, F.lit(False)).alias("held_out")
+    return found.select("doc_id", held_out, "lang_pred", "score")
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     cut = packing.pieces(
@@ -35,6 +47,15 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.score_texts(
+        _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"),
+        F.coalesce(_remainder(3) != 1, F.lit(False)),
+    )
+    held_out = F.coalesce(_remainder(3) == 1, F.lit(False)).alias("held_out")
+    return found.select("doc_id", held_out, "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(_table(spark, sf_dir, "documents"))
 
@@ -58,9 +79,11 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language": op1_language,
     "op3_packing": op3_packing,
     "op4_decontamination": op4_decontamination,
     "op5_quality_rules": op5_quality_rules,
+    "op6_toxicity": op6_toxicity,
     "op7_secret_scan": op7_secret_scan,
     "op9_token_counts": op9_token_counts,
 }
