@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relayout.llm import decontamination, language, oracle, packing, quality, secrets, token_counts, toxicity
+from relayout.llm import decontamination, jaccard, language, oracle, packing, quality, secrets, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out, "lang_pred", "score")
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.linked_components(_table(spark, sf_dir, "documents"), 3, 90, 100)
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     cut = packing.pieces(
@@ -80,6 +84,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_language": op1_language,
+    "op2_jaccard_join": op2_jaccard_join,
     "op3_packing": op3_packing,
     "op4_decontamination": op4_decontamination,
     "op5_quality_rules": op5_quality_rules,
