@@ -23,6 +23,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from relayout.llm.shared import stored
+
 WORDS = 5
 CONTAINMENT = 0.8
 #: Chance to miss the smallest item at the wanted containment.
@@ -124,8 +126,6 @@ def verified(
     read: DataFrame, sets: DataFrame, candidates: DataFrame, containment: float, size: int
 ) -> DataFrame:
     """The candidate pairs whose exact containment reaches the wanted one."""
-    from relayout.llm.shared import stored
-
     pairs = stored(candidates.withColumnsRenamed({"doc_id": "c_doc", "item_id": "c_item"}), "benchmark-candidates")
     ids = pairs.select("c_doc").distinct()
     if _within(ids, BROADCAST_ROWS):
@@ -151,5 +151,7 @@ def verified(
 
 def uncontaminated(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
     """The documents that hold no benchmark item. Rows with a null id are judged together."""
-    hit = contained_items(docs, items, containment).select(F.col("doc_id").alias("__hit")).distinct()
+    hit = stored(contained_items(docs, items, containment).select(F.col("doc_id").alias("__hit")).distinct(), "hits")
+    if _within(hit, BROADCAST_ROWS):
+        hit = F.broadcast(hit)
     return docs.join(hit, docs["doc_id"].eqNullSafe(hit["__hit"]), "left_anti")

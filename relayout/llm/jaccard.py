@@ -141,18 +141,19 @@ def signatures(key: np.ndarray, text: np.ndarray, texts: int, plan: np.ndarray,
 
 
 def text_sets(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, sid, chk (two hashes of the set) and n (its size) of every row."""
+    """doc_id, content, sid, chk (two hashes of the set) and n (its size) of every row."""
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 key, first = _sets(part, size)
                 sid, chk = _names(key, first)
-                columns = [part.column("doc_id"), pa.array(sid), pa.array(chk), pa.array(np.diff(first))]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "sid", "chk", "n"])
+                columns = [part.column("doc_id"), part.column("content"), *map(pa.array, (sid, chk, np.diff(first)))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "content", "sid", "chk", "n"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(name, f"doc_id {kind}, sid long, chk long, n long")
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("content"))
+    return docs.mapInArrow(name, f"doc_id {kind}, content long, sid long, chk long, n long")
 
 
 def segment_index(docs: DataFrame, size: int, bands: Bands, plans: dict[int, tuple[int, int, int]]) -> DataFrame:
@@ -205,7 +206,10 @@ def set_rows(docs: DataFrame, size: int) -> DataFrame:
 def linked_components(
     docs: DataFrame, size: int, num: int, den: int, id_column: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row; sets link at a similarity of ``num / den`` or more."""
+    """doc_id, n_shingles, component_id and content (a hash of the text) of every row.
+
+    Sets link at a similarity of ``num / den`` or more.
+    """
     spark = docs.sparkSession
     prepare(spark)
     read = docs.select(F.col(id_column).alias("doc_id"), F.col(text).alias("text"))
@@ -248,7 +252,29 @@ def linked_components(
     every = every.select("node", F.coalesce("component", "rep").alias("component"))
     out = named.join(every, "node", "left")
     own = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), "content")
+
+
+def one_of_each(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """The documents, all columns, with one of each component: the one with its id. Of repeated rows one stays."""
+    found = stored(linked_components(docs, size, num, den), "components")
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    gone = _bounded(found.where(~stays).select(F.col("doc_id").alias("__id"), F.col("content").alias("__c")).distinct())
+    many = found.where(stays).groupBy(F.col("doc_id").alias("__id"), F.col("content").alias("__c")).count()
+    many = _bounded(many.where("count > 1").select("__id", "__c"))
+
+    def same(other: DataFrame):
+        return docs["doc_id"].eqNullSafe(other["__id"]) & (F.xxhash64(docs["text"]) == other["__c"])
+
+    left = docs.join(gone, same(gone), "left_anti")
+    once = left.join(many, same(many), "left_anti")
+    repeated = left.join(many, same(many), "left_semi").dropDuplicates(["doc_id", "text"])
+    return once.unionByName(repeated)
+
+
+def _bounded(ids: DataFrame) -> DataFrame:
+    """The ids, to be broadcast only if they are few."""
+    return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
 
 
 def _node():
@@ -263,9 +289,7 @@ def _literal(numbers: list[int]):
 def candidate_sets(read: DataFrame, ranked: DataFrame, reps: DataFrame, size: int) -> DataFrame:
     """node, keys of every node that meets another."""
     wanted = ranked.select("node").distinct().join(reps.select("node", "rep"), "node")
-    ids = wanted.select(F.col("rep").alias("wanted_id")).distinct()
-    if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
+    ids = _bounded(wanted.select(F.col("rep").alias("wanted_id")).distinct())
     texts = read.join(ids, read["doc_id"].eqNullSafe(ids["wanted_id"]), "left_semi")
     found = set_rows(texts, size).select(_node().alias("node"), "keys")
     return found.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])

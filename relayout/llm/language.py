@@ -203,3 +203,21 @@ def identify(
     return read.mapInArrow(
         predict, f"doc_id {kind}, lang_pred string, score double, languages map<string,double>"
     )
+
+
+def with_main_language(docs: DataFrame, learn: Column, least: float = 0.5) -> DataFrame:
+    """The documents, all columns, whose main language is determined and holds at least ``least`` of the text."""
+    spark = docs.sparkSession
+    prepare(spark)
+    labelled = docs.select("doc_id", "text", "lang", learn.alias("learn"))
+    _, table = train(training_rows(labelled, F.col("learn"), TRAINING_TEXTS))
+    model = spark.sparkContext.broadcast(table)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", 1 << 21):
+                share = infer([value or "" for value in part.column("text").to_pylist()], model.value)
+                best = share.max(1) if share.shape[1] else np.zeros(len(share))
+                yield part.filter(pa.array((best >= least) & (best > 0)))
+
+    return docs.mapInArrow(keep, docs.schema)

@@ -26,7 +26,7 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.linked_components(_table(spark, sf_dir, "documents"), 3, 90, 100)
+    return jaccard.linked_components(_table(spark, sf_dir, "documents"), 3, 90, 100).drop("content")
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,6 +31,8 @@ KINDS = (
 )
 BARE = r"[A-Za-z0-9+/_=-]{20,}"
 REDACTED = "[REDACTED]"
+#: Documents with secrets to redact (some 100 bytes each) that may be broadcast.
+BROADCAST_MARKS = 100_000
 
 
 def matches(text: Column, pattern: str, group: int, least: int, kind: int) -> Column:
@@ -133,6 +135,9 @@ def redact(docs: DataFrame, example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
     marks = found.groupBy(F.col("doc_id").alias("__id"), F.col("content").alias("__content")).agg(
         F.flatten(F.collect_list("live_values")).alias("__values")
     )
+    marks = stored(marks, "secret-marks")
+    if marks.limit(BROADCAST_MARKS + 1).count() <= BROADCAST_MARKS:
+        marks = F.broadcast(marks)
     content = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
     joined = docs.join(marks, docs["doc_id"].eqNullSafe(marks["__id"]) & (content == marks["__content"]), "left")
     longest = F.array_sort(
