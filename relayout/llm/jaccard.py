@@ -12,8 +12,10 @@ measured number of sets in the band.
 
 Equal sets are one node. Nodes that meet in a segment become candidates hub by hub: in each group the node with most
 meetings is compared with all others, then the next ones, four times as many each round, and only with
-nodes of other components. So a group of copies costs a line, not a square, and yet no pair of a group is
-left out unless its nodes are already connected. Exact intersection of the sets decides each pair.
+nodes of other components. After the first round a pair is left out, too, if it must differ by too much: by
+the shingles that only one of them has in the corpus, and by their differences to the hub, already counted. So a
+group of copies costs a line, not a square, and yet no pair is left out unless its nodes are already connected or
+cannot link. Exact intersection of the sets decides each pair.
 
 Defined cases. Null and empty texts, and texts without words: empty set, linked with nothing, their own component.
 Fewer words than a shingle: the whole sequence is the one shingle. Repeated rows: equal sets, linked. Rows of one id
@@ -296,40 +298,74 @@ def candidate_sets(read: DataFrame, ranked: DataFrame, reps: DataFrame, size: in
 
 
 def _connect(ranked: DataFrame, sets: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame:
-    """The labels (node, comp) after all pairs that meet and lie in different components were compared."""
+    """The labels (node, comp) after all pairs that meet, and can be similar, were compared or are connected."""
+    unknown = F.lit(None).cast("long")
+    members = ranked.select("*", F.lit(0).cast("long").alias("alone"), unknown.alias("more"), unknown.alias("fewer"))
     done = None
     low, high = 1, 1
     while True:
-        here = ranked.join(labels, "node")
+        here = members.join(labels, "node")
         across = Window.partitionBy("sig")
         live = here.withColumn("apart", F.min("comp").over(across) != F.max("comp").over(across))
         live = live.withColumn("last", F.max("rank").over(across)).where(F.col("apart") & (F.col("last") > low))
-        live = stored(live.select("sig", "node", "n", "rank", "comp"), "live")
+        live = stored(live.drop("apart", "last"), "live")
         if live.isEmpty():
             return labels
-        hubs = live.where(F.col("rank").between(low, high)).select(
-            "sig", F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("rank").alias("hub_rank"),
-            F.col("comp").alias("hub_comp"),
-        )
-        small, large = F.least("n", "hub_n"), F.greatest("n", "hub_n")
-        pairs = live.join(hubs, "sig").where(
-            (F.col("rank") > F.col("hub_rank")) & (F.col("comp") != F.col("hub_comp")) & (small * den >= large * num)
-        )
-        pairs = pairs.select(
-            F.least("node", "hub").alias("x"), F.greatest("node", "hub").alias("y"),
-        ).distinct()
+        if low == 2:
+            # more shingles of its own than any link allows: nothing left to compare
+            bounded = _bounds(live, ranked, sets, done).where(F.col("alone") * num <= F.col("n") * (den - num))
+            live = stored(bounded, "bounded")
+            members = live.drop("comp")
+        pairs = _pairs(live, low, high, num, den)
         if done is not None:
             pairs = pairs.join(done, ["x", "y"], "left_anti")
         pairs = stored(pairs, "pairs")
-        done = pairs if done is None else stored(done.unionByName(pairs), "compared")
         both = pairs.join(sets.toDF("x", "keys_x"), "x").join(sets.toDF("y", "keys_y"), "y")
-        common = F.size(F.array_intersect("keys_x", "keys_y"))
-        either = F.size("keys_x") + F.size("keys_y") - F.col("common")
-        links = both.select("x", "y", "keys_x", "keys_y", common.alias("common")).where(
-            F.col("common") * den >= either * num
-        )
-        links = links.select("x", "y")
-        of_x, of_y = labels.toDF("x", "a"), labels.toDF("y", "b")
-        edges = links.join(of_x, "x").join(of_y, "y").where("a <> b")
+        common = F.size(F.array_intersect("keys_x", "keys_y")).cast("long")
+        either = F.size("keys_x") + F.size("keys_y")
+        compared = stored(both.select("x", "y", common.alias("common"), either.alias("either")), "compared")
+        links = compared.where(F.col("common") * (den + num) >= F.col("either") * num)
+        edges = links.join(labels.toDF("x", "a"), "x").join(labels.toDF("y", "b"), "y").where("a <> b")
         labels = contract(labels, edges.select("a", "b"))
+        done = compared if done is None else stored(done.unionByName(compared), "compared")
         low, high = high + 1, high * 4 + 3
+
+
+def _pairs(live: DataFrame, low: int, high: int, num: int, den: int) -> DataFrame:
+    """x, y: the hubs of these ranks with all later members of their groups that lie apart and can be similar.
+
+    Two sets differ at least by the shingles that no other has, and, where both were compared with the group's
+    first hub, by what one has more or less over the hub than the other.
+    """
+    hubs = live.select("sig", *[F.col(name).alias(f"hub_{name}") for name in live.columns if name != "sig"])
+    hubs = hubs.where(F.col("hub_rank").between(low, high))
+    small, large = F.least("n", "hub_n"), F.greatest("n", "hub_n")
+    over = F.abs((F.col("more") - F.col("alone")) - (F.col("hub_more") - F.col("hub_alone")))
+    under = F.abs(F.col("fewer") - F.col("hub_fewer"))
+    least = F.col("alone") + F.col("hub_alone") + F.coalesce(over + under, F.lit(0))
+    pairs = live.join(hubs, "sig").where(
+        (F.col("rank") > F.col("hub_rank"))
+        & (F.col("comp") != F.col("hub_comp"))
+        & (small * den >= large * num)
+        & (least * (den + num) <= (F.col("n") + F.col("hub_n")) * (den - num))
+    )
+    return pairs.select(F.least("node", "hub_node").alias("x"), F.greatest("node", "hub_node").alias("y")).distinct()
+
+
+def _bounds(live: DataFrame, ranked: DataFrame, sets: DataFrame, compared: DataFrame) -> DataFrame:
+    """The live members with ``alone``, the shingles no other live node has, and ``more`` and ``fewer``, the sizes of
+    the differences to and from their group's first hub (null where the two were not compared)."""
+    nodes = live.select("node").distinct()
+    each = sets.join(nodes, "node", "left_semi").select("node", F.explode("keys").alias("key"))
+    single = each.groupBy("key").agg(F.count(F.lit(1)).alias("sets"), F.first("node").alias("node")).where("sets = 1")
+    alone = nodes.join(single.groupBy("node").agg(F.count(F.lit(1)).alias("alone")), "node", "left")
+    alone = alone.select("node", F.coalesce("alone", F.lit(0)).alias("alone"))
+    hub = ranked.where("rank = 1").select("sig", F.col("node").alias("hub"), F.col("n").alias("hub_size"))
+    out = live.drop("alone", "more", "fewer").join(alone, "node").join(hub, "sig")
+    known = compared.select("x", "y", "common")
+    out = out.join(known, (F.least("node", "hub") == known["x"]) & (F.greatest("node", "hub") == known["y"]), "left")
+    common = F.when(F.col("node") == F.col("hub"), F.col("n")).otherwise(F.col("common"))
+    return out.select(
+        "sig", "node", "n", "rank", "alone", (F.col("n") - common).alias("more"),
+        (F.col("hub_size") - common).alias("fewer"), "comp",
+    )
