@@ -14,7 +14,7 @@ PLAN_FIELDS = (
 )
 FORMATS = ("parquet", "orc", "avro")
 NOTE_VIEW = "view"
-NOTE_ALREADY = "already Iceberg"
+NOTE_ALREADY = "already in the target format"
 NOTE_ACID = "Hive ACID; execute through approved Hive/HWC procedure"
 NOTE_BUCKETS = "bucketed Hive layout requires rewrite"
 NOTE_KIND = " table is not eligible for in-place migrate"
@@ -45,17 +45,18 @@ def source_format() -> str:
     return _first_true([(f"contains({described}, '{f}')", f"'{f}'") for f in FORMATS], "'other'")
 
 
-def _strategy(allow_avro_migrate: bool) -> str:
+def _strategy(allow_avro_migrate: bool, target_provider: str, target_property: str) -> str:
     """The ordered rules: the first that holds gives the strategy and its note."""
     properties = "lower(coalesce(table_properties, ''))"
     bucketed = r"rlike(num_buckets, '^[0-9]+$') AND try_cast(num_buckets AS DECIMAL(38,0)) > 0"
+    there = []
+    if target_provider:
+        there.append(f"lower(provider) = lower('{target_provider}')")
+    if target_property:
+        there.append(f"contains({properties}, lower('{target_property}'))")
     rules = [
         ("source_type = 'VIEW'", "skip", f"'{NOTE_VIEW}'"),
-        (
-            f"lower(provider) = 'iceberg' OR contains({properties}, 'table_type=iceberg')",
-            "skip",
-            f"'{NOTE_ALREADY}'",
-        ),
+        (" OR ".join(there) or "false", "skip", f"'{NOTE_ALREADY}'"),
         (f"contains({properties}, 'transactional=true')", "hive_ctas", f"'{NOTE_ACID}'"),
         ("size(blockers) > 0", "manual", "array_join(blockers, '; ')"),
         (bucketed, "ctas", f"'{NOTE_BUCKETS}'"),
@@ -83,15 +84,21 @@ def type_actions(catalog: DataFrame) -> DataFrame:
     )
 
 
-def classify(catalog: DataFrame, allow_avro_migrate: bool = False) -> DataFrame:
+def classify(
+    catalog: DataFrame,
+    allow_avro_migrate: bool = False,
+    target_provider: str = "",
+    target_property: str = "",
+) -> DataFrame:
     """Add kind, format, casts, blockers, strategy and note to catalogue rows.
 
+    A table of ``target_provider``, or with the ``name=value`` property, needs no migration.
     A row whose inspection failed keeps its error and is left to manual review.
     """
     prepared = type_actions(catalog).selectExpr(
         "*", f"{source_kind()} AS source_type", f"{source_format()} AS format"
     )
-    decided = prepared.selectExpr("*", f"{_strategy(allow_avro_migrate)} AS decided")
+    decided = prepared.selectExpr("*", f"{_strategy(allow_avro_migrate, target_provider, target_property)} AS decided")
     return decided.selectExpr("* EXCEPT (decided)", "decided.strategy", "decided.note")
 
 

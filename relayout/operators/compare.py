@@ -12,9 +12,8 @@ from relayout.functions.canonical import column, quote
 from relayout.functions.datatypes import normalized_field, normalized_type
 from relayout.functions.fingerprint import MEASURES, fingerprint
 
-# The largest number of groups compared, and of mismatches shown.
-MAX_PARTITIONS = 10_000
-MAX_EXAMPLES = 20
+# Mismatching key values that the text of a verdict spells out; it says how many there are.
+SHOWN_EXAMPLES = 20
 
 # Beyond some 80 columns the generated hash method is too large for the JVM to compile, and rows
 # are interpreted. With this limit such stages are generated in small methods instead.
@@ -29,9 +28,9 @@ _SIDES = ("source", "target")
 def schema_details(source: T.StructType, target: T.StructType) -> list[str]:
     """Differences between two DataFrame schemas; empty where they are compatible."""
     if [f.name.lower() for f in source] != [f.name.lower() for f in target]:
-        return ["column names/order differ"]
+        return ["columns differ in name or order"]
     return [
-        f"type mismatch {s.name}: {s.dataType.simpleString()} -> {t.dataType.simpleString()}"
+        f"type of {s.name} differs: {s.dataType.simpleString()} -> {t.dataType.simpleString()}"
         for s, t in zip(source, target)
         if normalized_field(s.dataType) != normalized_field(t.dataType)
     ]
@@ -70,13 +69,13 @@ def schema_verdicts(diff: DataFrame) -> DataFrame:
 
     What is gathered per table is bounded by its number of columns.
     """
-    mismatch = "concat('type mismatch ', source_name, ': ', source_type, ' -> ', target_type)"
+    mismatch = "concat('type of ', source_name, ' differs: ', source_type, ' -> ', target_type)"
     found = diff.groupBy("table_name").agg(
         F.expr("bool_and(name_ok) AS names_ok"),
         F.expr(f"array_agg(CASE WHEN NOT type_ok THEN struct(pos, {mismatch} AS text) END) AS found"),
     )
     details = """CASE WHEN names_ok THEN transform(array_sort(found), f -> f.text)
-                 ELSE array('column names/order differ') END"""
+                 ELSE array('columns differ in name or order') END"""
     return found.selectExpr("table_name", f"{details} AS details").selectExpr(
         "table_name", "size(details) = 0 AS schema_ok", "details"
     )
@@ -133,10 +132,11 @@ def mismatches(compared: DataFrame) -> DataFrame:
 
 
 def mismatch_examples(
-    compared: DataFrame, keys: Sequence[str], limit: int = MAX_EXAMPLES
+    compared: DataFrame, keys: Sequence[str], limit: int | None = None
 ) -> DataFrame:
-    """The first mismatching key values in key order: a report, not a restriction of the check."""
-    return mismatches(compared).orderBy(*map(column, keys)).limit(limit)
+    """The mismatching key values in key order; the first ``limit`` of them if the caller gives one."""
+    ordered = mismatches(compared).orderBy(*map(column, keys))
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def content_totals(compared: DataFrame) -> DataFrame:
@@ -164,10 +164,11 @@ def validate(
     source: DataFrame,
     target: DataFrame,
     keys: Sequence[str] = (),
-    max_partitions: int = MAX_PARTITIONS,
+    max_partitions: int | None = None,
 ) -> DataFrame:
     """One row: is the target a faithful copy of the source?
 
+    Any number of groups is compared; ``max_partitions`` is a limit only the caller may want.
     ``ok`` needs compatible schemas, equal contents and no mismatching group. ``partition_ok`` is
     NULL where no keys were asked for. ``details`` tells what failed: schema, groups, totals.
     """
@@ -177,26 +178,28 @@ def validate(
     compared = compare_contents(source, target, keys if grouped else ())
     totals = content_totals(compared)
     if grouped:
-        # A scalar subquery over the same fingerprints; at most MAX_EXAMPLES rows.
+        # A scalar subquery over the same fingerprints; at most SHOWN_EXAMPLES rows.
         shown = ", ".join(map(quote, compared.columns))
-        examples = mismatch_examples(compared, keys).agg(
+        examples = mismatch_examples(compared, keys, SHOWN_EXAMPLES).agg(
             F.expr(f"to_json(collect_list(struct({shown})))")
         )
         totals = totals.withColumn("examples", examples.scalar())
-        refused = f"greatest(source_groups, target_groups) > {max_partitions}"
+        refused = "false"
+        if max_partitions is not None:
+            refused = f"greatest(source_groups, target_groups) > {max_partitions}"
         partition_ok = f"NOT ({refused}) AND mismatching_groups = 0"
         partition_detail = f"""CASE
-            WHEN {refused} THEN concat('partition validation refused: ', source_groups, '/',
-                target_groups, ' partitions exceed limit {max_partitions}')
-            WHEN mismatching_groups > 0 THEN concat('partition mismatches=', mismatching_groups,
-                '; examples=', examples) END"""
+            WHEN {refused} THEN concat('groups not judged: ', source_groups, ' in source and ',
+                target_groups, ' in target, limit given {max_partitions}')
+            WHEN mismatching_groups > 0 THEN concat('groups that differ: ', mismatching_groups,
+                ', first ', least(mismatching_groups, {SHOWN_EXAMPLES}), ': ', examples) END"""
     else:
         partition_ok = "false" if missing else "CAST(NULL AS BOOLEAN)"
         partition_detail = "CAST(NULL AS STRING)"
-    fixed = schema_found + [f"partition column missing from data: {key}" for key in missing[:1]]
+    fixed = schema_found + [f"no such partition column on both sides: {key}" for key in missing]
     printed = "coalesce(CAST({} AS STRING), 'None')".format
     global_detail = f"""CASE WHEN NOT ({TOTALS_MATCH}) THEN concat(
-        'global mismatch rows ', source_rows, '/', target_rows,
+        'contents differ: rows ', source_rows, '/', target_rows,
         '; hash_a ', {printed('source_hash_a')}, '/', {printed('target_hash_a')},
         '; hash_b ', {printed('source_hash_b')}, '/', {printed('target_hash_b')}) END"""
     found = f"array_compact(array({partition_detail}, {global_detail}))"

@@ -6,34 +6,122 @@ before the next one, so an interrupted run can be finished by hand from the late
 
 from __future__ import annotations
 
+import itertools
+import json
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from contextlib import suppress
+from urllib.parse import unquote
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Row, SparkSession
 
 from relayout.functions.naming import quoted, quoted_table
 from relayout.sources.catalog import describe_table, table_exists
 
 Record = Callable[..., None]
 
+# How a partition without a value is shown, and properties that belong to one table entry.
+NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
+_OWN_PROPERTIES = frozenset(
+    {"EXTERNAL", "transient_lastDdlTime", "last_modified_by", "last_modified_time", "numFiles",
+     "numPartitions", "numRows", "rawDataSize", "totalSize", "COLUMN_STATS_ACCURATE", "bucketing_version"}
+)
+_PARTITIONS_PER_CALL = 500
+
 
 def no_record(state: str, **extras: object) -> None:
     pass
 
 
-def rename(spark: SparkSession, old: str, new: str) -> None:
-    """Rename a table, and make its partitions follow where that moved its directory.
+def partition_locations(spark: SparkSession, table: str, calls: int = 8) -> dict[str, str]:
+    """Where each registered partition of a table is stored, by its SQL spec; metastore calls only."""
+    name = quoted_table(table)
+
+    def located(row: Row) -> tuple[str, str]:
+        spec = partition_spec(row[0])
+        return spec, _partition_location(spark, table, spec)
+
+    with ThreadPoolExecutor(calls) as pool:
+        return dict(pool.map(located, spark.sql(f"SHOW PARTITIONS {name}").collect()))
+
+
+def _partition_location(spark: SparkSession, table: str, spec: str) -> str:
+    described = spark.sql(f"DESCRIBE EXTENDED {quoted_table(table)} PARTITION ({spec})").collect()
+    inside = itertools.dropwhile(lambda r: r["col_name"] != "# Detailed Partition Information", described)
+    return next(r["data_type"] for r in inside if r["col_name"] == "Location")
 
-    A catalogue that moves a managed table but not its partition entries would show no rows.
+
+def partition_spec(shown: str) -> str:
+    """The SQL spec of a partition as SHOW PARTITIONS prints it: ``a=1/b=x``."""
+    parts = []
+    for part in shown.split("/"):
+        name, value = part.split("=", 1)
+        text = unquote(value).replace("\\", "\\\\").replace("'", "\\'")
+        parts.append(f"`{unquote(name)}`=" + ("NULL" if value == NO_VALUE else f"'{text}'"))
+    return ", ".join(parts)
+
+
+def switch_partition(spark: SparkSession, table: str, part: Row, folder: str) -> str:
+    """Let a partition be read from below ``folder``, laid out as partitioned writes do; returns where it was.
+
+    ``part`` has the values of the partition columns. The new place is the one that exists, found by
+    the same escaping that Spark uses for folder names.
     """
+    values = ", ".join(f"`{name}`={_literal(value)}" for name, value in part.asDict().items())
+    name = quoted_table(table)
+    shown = spark.sql(f"SHOW PARTITIONS {name} PARTITION ({values})").head()[0]
+    spec = partition_spec(shown)
+    before = _partition_location(spark, table, spec)
+    spark.sql(f"ALTER TABLE {name} PARTITION ({spec}) SET LOCATION {text(f'{folder}/{shown}')}")
+    return before
+
+
+def _literal(value: object) -> str:
+    return "NULL" if value is None else text(str(value))
+
+
+def rename(spark: SparkSession, old: str, new: str) -> None:
+    """Rename a table. ``follow_rename`` is its second part."""
     spark.sql(f"ALTER TABLE {quoted_table(old)} RENAME TO {quoted_table(new)}")
-    described = describe_table(spark, new)
-    if described["partitions"] and "MANAGED" in described["type_raw"].upper():
-        spark.sql(f"MSCK REPAIR TABLE {quoted_table(new)} SYNC PARTITIONS")
+
+
+def follow_rename(spark: SparkSession, table: str, before: str) -> None:
+    """Make the partitions follow where the catalogue moved a renamed table's folder but not their entries.
+
+    ``before``: where the table was. Only entries below it change; none is added or dropped, and one
+    partition is looked at where the catalogue has done the work itself.
+    """
+    described = describe_table(spark, table)
+    after = described["location"].rstrip("/")
+    before = before.rstrip("/")
+    if not described["partitions"] or after == before:
+        return
+    first = spark.sql(f"SHOW PARTITIONS {quoted_table(table)}").head()
+    if first is None:
+        return
+    for spec, location in partition_locations(spark, table).items():
+        if location.startswith(f"{before}/"):
+            moved = (after + location[len(before) :]).replace("'", "\\'")
+            spark.sql(f"ALTER TABLE {quoted_table(table)} PARTITION ({spec}) SET LOCATION '{moved}'")
+
+
+def moved(spark: SparkSession, old: str, new: str) -> None:
+    """Rename a table and its partitions' places; a failure after the rename takes it back."""
+    before = describe_table(spark, old)["location"]
+    rename(spark, old, new)
+    try:
+        follow_rename(spark, new, before)
+    except Exception:
+        now = describe_table(spark, new)["location"] if table_exists(spark, new) else before
+        rename(spark, new, old)
+        with suppress(Exception):
+            follow_rename(spark, old, now)
+        raise
 
 
 def _need_both(spark: SparkSession, first: str, second: str) -> None:
     if not (table_exists(spark, first) and table_exists(spark, second)):
-        raise RuntimeError(f"Rollback requires both {first} and {second}")
+        raise RuntimeError(f"nothing to put back: {first} and {second} must both exist")
 
 
 def create_namespace(spark: SparkSession, name: str) -> None:
@@ -45,63 +133,119 @@ def swap(
 ) -> None:
     """Give ``target`` the name of ``source``, which lives on as ``legacy``.
 
-    If the second rename fails and the name is free, the source gets its name back.
+    If any step after the first rename fails, the journal's included, both tables get their names back.
     """
     if table_exists(spark, legacy):
-        raise RuntimeError(f"Refusing cutover because retained legacy table exists: {legacy}")
-    rename(spark, source, legacy)
-    record("SOURCE_RENAMED", legacy=legacy)
+        raise RuntimeError(f"no cutover while an earlier legacy table is there: {legacy}")
+    moved(spark, source, legacy)
+    published = False
     try:
-        rename(spark, target, source)
-    except Exception:
-        if table_exists(spark, legacy) and not table_exists(spark, source):
-            rename(spark, legacy, source)
-            record("CUTOVER_AUTO_ROLLED_BACK")
+        record("SOURCE_RENAMED", legacy=legacy)
+        moved(spark, target, source)
+        published = True
+        record("TARGET_RENAMED", target=target)
+    except Exception as failure:
+        _names_back(spark, [(source, target)] * published + [(legacy, source)], record, failure)
         raise
-    record("TARGET_RENAMED", target=target)
+
+
+def _names_back(
+    spark: SparkSession, renames: list[tuple[str, str]], record: Record, failure: Exception
+) -> None:
+    """Undo renames, in order; what cannot be undone or recorded is noted on the failure, which stays the error."""
+    for now, then in renames:
+        try:
+            if table_exists(spark, now) and not table_exists(spark, then):
+                moved(spark, now, then)
+        except Exception as second:
+            failure.add_note(f"{now} could not be named {then} again: {second}")
+    try:
+        record("CUTOVER_AUTO_ROLLED_BACK", error=failure)
+    except Exception as second:
+        failure.add_note(f"the way back is not recorded: {second}")
 
 
 def undo_swap(spark: SparkSession, source: str, legacy: str, failed: str) -> None:
     """Put the legacy table back; the replaced one is kept under ``failed``, never dropped."""
     _need_both(spark, source, legacy)
-    rename(spark, source, failed)
+    moved(spark, source, failed)
     try:
-        rename(spark, legacy, source)
-    except Exception:
-        rename(spark, failed, source)
+        moved(spark, legacy, source)
+    except Exception as failure:
+        _names_back(spark, [(failed, source)], no_record, failure)
         raise
 
 
+def _copied_properties(spark: SparkSession, source: str, target: str) -> None:
+    """Give ``target`` the properties and comment of ``source``, which CREATE TABLE LIKE leaves out."""
+    described = json.loads(spark.sql(f"DESCRIBE EXTENDED {quoted_table(source)} AS JSON").first()[0])
+    kept = {
+        name: value
+        for name, value in described.get("table_properties", {}).items()
+        if name not in _OWN_PROPERTIES and not name.startswith("spark.sql.")
+    }
+    if kept:
+        listed = ", ".join(f"{text(name)} = {text(value)}" for name, value in kept.items())
+        spark.sql(f"ALTER TABLE {quoted_table(target)} SET TBLPROPERTIES ({listed})")
+    if described.get("comment"):
+        spark.sql(f"COMMENT ON TABLE {quoted_table(target)} IS {text(described['comment'])}")
+
+
+def text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def share_files(spark: SparkSession, source: str, target: str, fmt: str = "") -> None:
     """Create ``target`` as an external table over the files of ``source``; copies no data.
 
-    Partitions are registered from the directories: without that the new table would read as empty.
+    Partitions come from the catalogue, so those stored elsewhere are there too; properties and comment
+    are kept.
     """
     if table_exists(spark, target):
-        raise RuntimeError(f"Refusing to overwrite existing table {target}")
+        raise RuntimeError(f"{target} exists already and is not overwritten")
     described = describe_table(spark, source)
-    location = described["location"].replace("'", "\\'")
     using = f" USING {quoted(fmt)}" if fmt else ""
     spark.sql(
         f"CREATE TABLE {quoted_table(target)} LIKE {quoted_table(source)}{using}"
-        f" LOCATION '{location}'"
+        f" LOCATION {text(described['location'])}"
     )
-    if described["partitions"]:
-        spark.sql(f"MSCK REPAIR TABLE {quoted_table(target)}")
+    try:
+        _copied_properties(spark, source, target)
+        if described["partitions"]:
+            places = list(partition_locations(spark, source).items())
+            for start in range(0, len(places), _PARTITIONS_PER_CALL):
+                added = " ".join(
+                    f"PARTITION ({spec}) LOCATION {text(location)}"
+                    for spec, location in places[start : start + _PARTITIONS_PER_CALL]
+                )
+                spark.sql(f"ALTER TABLE {quoted_table(target)} ADD IF NOT EXISTS {added}")
+    except Exception:
+        spark.sql(f"DROP TABLE {quoted_table(target)}")  # external: an entry without files of its own
+        raise
+
 
+def convert_in_place(
+    spark: SparkSession, source: str, backup: str, fmt: str = "", record: Record = no_record
+) -> None:
+    """Re-register an external table under its own name; the old entry stays as ``backup``.
 
-def convert_in_place(spark: SparkSession, source: str, backup: str, fmt: str = "") -> None:
-    """Re-register an external table under its own name; the old entry stays as ``backup``."""
+    If a step after the rename fails, the journal's included, the old entry gets its name back.
+    """
     if table_exists(spark, backup):
-        raise RuntimeError(f"Refusing migrate because backup already exists: {backup}")
+        raise RuntimeError(f"no conversion while an earlier backup is there: {backup}")
     if "EXTERNAL" not in describe_table(spark, source)["type_raw"].upper():
         raise RuntimeError(f"In-place conversion needs an external table: {source}")
-    rename(spark, source, backup)
+    moved(spark, source, backup)
     try:
         share_files(spark, backup, source, fmt)
-    except Exception:
-        if not table_exists(spark, source):
-            rename(spark, backup, source)
+        record("MIGRATED", backup=backup)
+    except Exception as failure:
+        try:
+            if table_exists(spark, source):
+                spark.sql(f"DROP TABLE {quoted_table(source)}")
+        except Exception as second:
+            failure.add_note(f"the new entry {source} is still there: {second}")
+        _names_back(spark, [(backup, source)], record, failure)
         raise
 
 
@@ -109,9 +253,9 @@ def undo_in_place(spark: SparkSession, source: str, backup: str) -> None:
     """Drop the converted entry, never its files, and give the backup its name back."""
     _need_both(spark, source, backup)
     if "EXTERNAL" not in describe_table(spark, source)["type_raw"].upper():
-        raise RuntimeError(f"Refusing to drop {source}: dropping it would delete its files")
+        raise RuntimeError(f"{source} is managed and is not dropped: that would delete its files")
     spark.sql(
         f"ALTER TABLE {quoted_table(source)} SET TBLPROPERTIES ('external.table.purge'='false')"
     )
     spark.sql(f"DROP TABLE {quoted_table(source)}")
-    rename(spark, backup, source)
+    moved(spark, backup, source)

@@ -3,28 +3,31 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 
 from relayout.functions.canonical import column
 from relayout.functions.layout import layout_columns
-from relayout.functions.naming import COMPACTED_SUFFIX, quoted_table
+from relayout.functions.naming import COMPACTED_SUFFIX
 from relayout.session import sql_settings
 from relayout.sources.catalog import describe_table, table_exists
 
 # Size of the files a rewrite aims at, and the compression of new files.
 TARGET_FILE_BYTES = 512 * 1024 * 1024
 COMPRESSION = "zstd"
+# Formats whose files compaction can pack.
+FILE_FORMATS = ("parquet", "orc")
 
 # A reader task takes at most target / _OPEN_COST_BYTES files.
 _OPEN_COST_BYTES = 64 * 1024
 # Partitions compacted in one job; bounds the size of its plan.
 _SCANS_PER_JOB = 64
-# More shuffle partitions than this cost more in block fetches than they help.
-_MAX_SHUFFLE_PARTITIONS = 20_000
 
 
 def cast_projection(df: DataFrame, casts: Mapping[str, str]) -> DataFrame:
@@ -57,7 +60,7 @@ def clustered(
     """
     if not keys:
         return df
-    wanted = min(math.ceil(size_bytes / target_file_bytes), _MAX_SHUFFLE_PARTITIONS)
+    wanted = math.ceil(size_bytes / target_file_bytes)
     return df.hint("rebalance", *([wanted] if wanted > 1 else []), *map(column, keys))
 
 
@@ -102,16 +105,16 @@ def rewrite_table(
 
     Refuses to overwrite. ``size_bytes``, where known, sets how finely partitions are shuffled. A
     source that is stored by the target's partitions, in files that are not small, is copied
-    without a shuffle: no file of the target gets smaller than those it is read from.
+    without a shuffle. So is any source without partitions in the target: there, each task packs
+    small files up to one of the target size.
     """
     if table_exists(spark, target):
-        raise RuntimeError(f"Refusing to overwrite existing staging table {target}")
+        raise RuntimeError(f"{target} exists already and is not overwritten")
     projected = cast_projection(spark.table(source), casts or {})
     laid_out, keys, derived = with_layout(projected, spec)
     settings = _write_settings(target_file_bytes)
-    if small_files or not keeps_partitions(
-        keys, derived, describe_table(spark, source)["partitions"]
-    ):
+    stored_by = describe_table(spark, source)["partitions"]
+    if keys and (small_files or not keeps_partitions(keys, derived, stored_by)):
         laid_out = clustered(laid_out, keys, size_bytes, target_file_bytes)
     else:
         settings |= _packing_settings(size_bytes, target_file_bytes)
@@ -125,52 +128,68 @@ def rewrite_table(
     return derived
 
 
-def compacted_copy(
-    spark: SparkSession,
-    table: str,
-    size_bytes: int,
-    target_file_bytes: int = TARGET_FILE_BYTES,
-) -> str:
-    """Write the table's rows into files of the target size, under a new name; returns that name.
+def stored_files(spark: SparkSession, table: str, keys: Sequence[str]) -> DataFrame:
+    """Bytes and number of the files with rows in each partition, as the table's scan sees them."""
+    with sql_settings(spark, {"spark.sql.readSideCharPadding": "false"}):  # it would hide the files' metadata
+        scan = spark.table(table).select(
+            *map(column, keys),
+            F.col("_metadata.file_path").alias("__path"),
+            F.col("_metadata.file_size").alias("__size"),
+        )
+    each = scan.groupBy(*map(column, keys), "__path").agg(F.max("__size").alias("__size"))
+    return each.groupBy(*map(column, keys)).agg(F.sum("__size").alias("bytes"), F.count(F.lit(1)).alias("files"))
+
+
+def scattered(files: DataFrame, target_file_bytes: int) -> DataFrame:
+    """The partitions that files of the target size would hold in at most half as many."""
+    needed = F.greatest(F.lit(1), F.ceil(F.col("bytes") / F.lit(target_file_bytes)))
+    return files.where(F.col("files") >= 2 * needed)
+
 
-    The copy keeps declared types, partitioning and file format. Each task packs small files of
-    one partition into one new file, so nothing is shuffled; a hot partition is just more tasks.
+def compact_files(
+    spark: SparkSession, table: str, target_file_bytes: int = TARGET_FILE_BYTES, jobs: int = 4
+) -> tuple[str, list[Row], int]:
+    """Write the rows of scattered partitions into files of the target size, beside the table.
+
+    Returns the new folder, the partitions (one empty row for a table without) and how many bytes they
+    held; nothing is switched yet. Other partitions are not read. Each task packs files of one partition
+    into a new one, so nothing is shuffled and a hot partition is just more tasks. Jobs of some
+    partitions each run side by side.
     """
     described = describe_table(spark, table)
-    copy = f"{table}{COMPACTED_SUFFIX}"
-    if table_exists(spark, copy):
-        raise RuntimeError(f"Refusing to overwrite existing compaction table {copy}")
-    beside = ""
-    if "EXTERNAL" in described["type_raw"].upper():
-        beside = " LOCATION '{}{}'".format(
-            described["location"].rstrip("/").replace("'", "\\'"), COMPACTED_SUFFIX
-        )
-    spark.sql(f"CREATE TABLE {quoted_table(copy)} LIKE {quoted_table(table)}{beside}")
+    if described["provider"].lower() not in FILE_FORMATS:
+        raise ValueError(f"{table} is stored as {described['provider']}: only {', '.join(FILE_FORMATS)} are compacted")
+    if described["num_buckets"] not in ("", "0", "None"):
+        raise ValueError(f"{table} is bucketed: packing its files would break the buckets")
     keys = described["partitions"]
+    chosen = scattered(stored_files(spark, table, keys), target_file_bytes).collect()
+    if not chosen:
+        return "", [], 0
+    folder = f"{described['location'].rstrip('/')}{COMPACTED_SUFFIX}/{uuid.uuid4().hex[:12]}"
+    size = sum(row["bytes"] for row in chosen)
     settings = _write_settings(target_file_bytes)
-    settings |= _packing_settings(0 if keys else size_bytes, target_file_bytes)
-    with sql_settings(spark, settings):
-        for rows in partition_batches(spark.table(table), keys):
-            rows.write.insertInto(copy)
-    return copy
+    settings |= _packing_settings(0 if keys else size, target_file_bytes)
+    rows = spark.table(table)
+    parts = [Row(**{name: row[name] for name in keys}) for row in chosen]
+
+    def write(batch: DataFrame) -> None:
+        writer = batch.write.mode("append").format(described["provider"]).option("compression", COMPRESSION)
+        (writer.partitionBy(*keys) if keys else writer).save(folder)
+
+    with sql_settings(spark, settings), ThreadPoolExecutor(jobs) as pool:
+        list(pool.map(write, partition_batches(rows, keys, parts) if keys else [rows]))
+    return folder, parts, size
 
 
 def partition_batches(
-    df: DataFrame, keys: Sequence[str], batch: int = _SCANS_PER_JOB
+    df: DataFrame, keys: Sequence[str], parts: Sequence[Row], batch: int = _SCANS_PER_JOB
 ) -> Iterator[DataFrame]:
-    """The table as unions of one pruned scan per partition, some partitions at a time.
+    """Some partitions of a table as unions of one pruned scan each, a number of them at a time.
 
     Scans pack files by size only; with a scan of its own, no partition shares a task with another.
-    The list of partitions comes from the catalogue without opening files, one small row each; one
-    that turns out to hold no rows adds none.
     """
-    if not keys:
-        yield df
-        return
-    with sql_settings(df.sparkSession, {"spark.sql.optimizer.metadataOnly": "true"}):
-        values = df.select(*map(column, keys)).distinct().collect()
-    for start in range(0, len(values), batch):
-        yield _union([df.where(_in_partition(row)) for row in values[start : start + batch]])
+    for start in range(0, len(parts), batch):
+        yield _union([df.where(in_partition(row)) for row in parts[start : start + batch]])
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -181,7 +200,7 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return _union(frames[:middle]).union(_union(frames[middle:]))
 
 
-def _in_partition(row: Row) -> Column:
+def in_partition(row: Row) -> Column:
     tests = [
         column(name).isNull() if value is None else column(name) == value
         for name, value in row.asDict().items()

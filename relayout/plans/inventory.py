@@ -18,7 +18,7 @@ from relayout.sources.plan_file import write_plan
 ASSESSMENT_VERSION = 1
 
 
-def plan_with_sizes(catalog: DataFrame, facts: DataFrame, allow_avro_migrate: bool = False) -> DataFrame:
+def plan_with_sizes(catalog: DataFrame, facts: DataFrame, **rules: object) -> DataFrame:
     """Plan rows with the sizes of the tables that have work to do.
 
     A table whose directory could not be measured is left to manual review, like one that could
@@ -30,23 +30,23 @@ def plan_with_sizes(catalog: DataFrame, facts: DataFrame, allow_avro_migrate: bo
     merged = catalog.join(failed, "table_name", "left").selectExpr(
         "* EXCEPT (error, size_error)", "coalesce(error, size_error) AS error"
     )
-    return with_sizes(plan_rows(classify(merged, allow_avro_migrate)), table_sizes(facts))
+    return with_sizes(plan_rows(classify(merged, **rules)), table_sizes(facts))
 
 
 def inventory(
     spark: SparkSession,
     databases: Iterable[str] | str,
     with_size: bool = False,
-    allow_avro_migrate: bool = False,
+    **rules: object,
 ) -> DataFrame:
-    """One editable, unapproved plan row per table."""
+    """One editable, unapproved plan row per table; ``rules`` are the options of ``classify``."""
     catalog = scan_catalog(spark, databases)
-    classified = classify(catalog, allow_avro_migrate)
+    classified = classify(catalog, **rules)
     if not with_size:
         return plan_rows(classified)
     work = classified.where("strategy NOT IN ('skip', 'manual')")
     facts = measure_locations(spark, work.select("table_name", "location"))
-    return plan_with_sizes(catalog, facts, allow_avro_migrate)
+    return plan_with_sizes(catalog, facts, **rules)
 
 
 @dataclass(frozen=True)
@@ -93,9 +93,9 @@ def assess(
     spark: SparkSession,
     databases: Iterable[str] | str,
     gib_per_hour: float = A.REWRITE_GIB_PER_HOUR,
-    allow_avro_migrate: bool = False,
+    **rules: object,
 ) -> Assessment:
-    """Readiness assessment of whole databases."""
-    plan = plan_rows(classify(scan_catalog(spark, databases), allow_avro_migrate))
+    """Readiness assessment of whole databases; ``rules`` are the options of ``classify``."""
+    plan = plan_rows(classify(scan_catalog(spark, databases), **rules))
     facts = measure_locations(spark, plan.selectExpr("table AS table_name", "location"))
     return assess_plan(plan, facts, gib_per_hour)

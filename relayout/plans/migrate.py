@@ -16,17 +16,17 @@ from relayout.functions.canonical import column
 from relayout.functions.layout import parse_casts, parse_partition_spec
 from relayout.operators import gates as G
 from relayout.operators import publish as P
-from relayout.operators.compare import MAX_PARTITIONS, WIDE_TABLES, validate
+from relayout.operators.compare import WIDE_TABLES, validate
 from relayout.operators.rewrite import (
     TARGET_FILE_BYTES,
-    compacted_copy,
+    compact_files,
     rewrite_table,
     rows_out_of_sight,
 )
 from relayout.session import sql_settings
 from relayout.sources.catalog import describe_table
-from relayout.sources.evidence import append_journal, append_validation
-from relayout.sources.files import measure_locations
+from relayout.sources.evidence import EvidenceFile, append_journal
+from relayout.sources.store import default_filesystem
 
 RESULT_SCHEMA = (
     "run_id string, table string, strategy string, mode string, status string, "
@@ -40,7 +40,10 @@ def new_run_id() -> str:
 
 @dataclass(frozen=True)
 class RunOptions:
-    """How to run a plan. ``journal`` and ``validations`` are folders of evidence."""
+    """How to run a plan. ``journal`` and ``validations`` are folders of evidence.
+
+    ``default_filesystem``: where target locations must lie; blank takes the session's.
+    """
 
     journal: str
     validations: str
@@ -50,7 +53,7 @@ class RunOptions:
     stop_on_error: bool = False
     require_ticket: bool = True
     sandbox: str = "relayout_sandbox"
-    max_partitions: int = MAX_PARTITIONS
+    max_partitions: int | None = None
     default_filesystem: str = ""
     fmt: str = "parquet"
     target_file_bytes: int = TARGET_FILE_BYTES
@@ -72,15 +75,23 @@ def validate_tables(
     source: str,
     target: str,
     partitions: Sequence[str] = (),
-    max_partitions: int = MAX_PARTITIONS,
+    max_partitions: int | None = None,
     derived: Sequence[str] | None = None,
+    validations: str = "",
+    run_id: str = "",
 ) -> dict:
-    """The verdict on two tables by name; ``derived`` allows a rewrite's column order and additions."""
+    """The verdict on two tables by name; ``derived`` allows a rewrite's column order and additions.
+
+    With ``validations``, a folder of evidence, the verdict is recorded there under the run.
+    """
     left, right = spark.table(source), spark.table(target)
     if derived is not None:
         right = same_columns(left, right, derived)
     with sql_settings(spark, WIDE_TABLES):
-        return validate(left, right, partitions, max_partitions).first().asDict()
+        verdict = validate(left, right, partitions, max_partitions).first().asDict()
+    if validations:
+        EvidenceFile(spark, validations, run_id or new_run_id()).validation(source, target, verdict)
+    return verdict
 
 
 class _TableRun:
@@ -89,6 +100,9 @@ class _TableRun:
     def __init__(self, spark: SparkSession, row: dict, options: RunOptions):
         self.spark, self.row, self.options = spark, row, options
         self.table = row["table"]
+        # a file of its own for each table's steps: no other writer touches it
+        self.journal = EvidenceFile(spark, options.journal, options.run_id)
+        self.validations = EvidenceFile(spark, options.validations, options.run_id)
         self.partitions = [name for name in row["partitions"].split(";") if name]
         self.file_format = row["format"] if row["format"] in ("parquet", "orc") else ""
         self.result = {
@@ -99,9 +113,7 @@ class _TableRun:
         }
 
     def record(self, state: str, **extras: object) -> None:
-        append_journal(
-            self.spark, self.options.journal, self.options.run_id, self.table, state, **extras
-        )
+        self.journal.event(self.table, state, **extras)
 
     def finish(self, status: str, state: str, note: str, **extras: object) -> None:
         self.result.update(status=status, state=state, note=note)
@@ -116,9 +128,7 @@ class _TableRun:
             if rows_out_of_sight(self.spark, source, self.file_format or self.options.fmt):
                 verdict["ok"] = False
                 verdict["details"] = [*verdict["details"], f"no rows read, but {source} has data files"]
-        append_validation(
-            self.spark, self.options.validations, self.options.run_id, source, target, verdict
-        )
+        self.validations.validation(source, target, verdict)
         self.result.update(
             source_rows=verdict["source_rows"], target_rows=verdict["target_rows"]
         )
@@ -142,7 +152,7 @@ class _TableRun:
             derived = self.rewrite(target, location="")
         self.record("SANDBOX_CREATED", target=target)
         verdict = self.check(self.table, target, derived)
-        note = "; ".join(verdict["details"]) or f"sandbox retained as {target}"
+        note = "; ".join(verdict["details"]) or f"the sandbox copy is {target}"
         if verdict["ok"]:
             self.finish("DRY_RUN_VALIDATED", "SANDBOX_VALIDATED", note, target=target)
         else:
@@ -150,18 +160,17 @@ class _TableRun:
 
     def execute_in_place(self) -> None:
         backup = f"{self.table}{N.BACKUP_SUFFIX}"
-        P.convert_in_place(self.spark, self.table, backup, self.file_format)
-        self.record("MIGRATED", backup=backup)
+        P.convert_in_place(self.spark, self.table, backup, self.file_format, self.record)
         verdict = self.check(backup, self.table)
         details = "; ".join(verdict["details"])
         if verdict["ok"]:
-            note = f"Retain shared-file backup {backup}; do not PURGE or run orphan cleanup"
+            note = f"{backup} has the same files: keep it, and delete none of them"
             self.finish("CUTOVER_VALIDATED", "CUTOVER_VALIDATED", note, backup=backup)
         elif self.options.auto_rollback:
             P.undo_in_place(self.spark, self.table, backup)
             self.finish("AUTO_ROLLED_BACK", "AUTO_ROLLED_BACK", details, reason=details)
         else:
-            note = f"{details}; backup={backup}"
+            note = f"{details}; the old entry is {backup}"
             self.finish("VALIDATION_FAILED", "ROLLBACK_REQUIRED", note, backup=backup)
 
     def execute_rewrite(self) -> None:
@@ -170,7 +179,7 @@ class _TableRun:
         self.record("CTAS_CREATED", target=staging)
         verdict = self.check(self.table, staging, derived)
         if not verdict["ok"]:
-            note = f"{'; '.join(verdict['details'])}; staging retained as {staging}"
+            note = f"{'; '.join(verdict['details'])}; the copy is kept as {staging}"
             self.finish("VALIDATION_FAILED", "CTAS_VALIDATION_FAILED", note, target=staging)
             return
         self.record("CTAS_VALIDATED", target=staging)
@@ -179,15 +188,15 @@ class _TableRun:
         verdict = self.check(legacy, self.table, derived)
         details = "; ".join(verdict["details"])
         if verdict["ok"]:
-            note = f"Retain legacy table {legacy} through the rollback window"
+            note = f"keep {legacy} for as long as a way back is wanted"
             self.finish("CUTOVER_VALIDATED", "CUTOVER_VALIDATED", note, legacy=legacy)
         elif self.options.auto_rollback:
             failed = N.failed_name(self.table, self.options.run_id)
             P.undo_swap(self.spark, self.table, legacy, failed)
-            note = f"{details}; failed target retained as {failed}"
+            note = f"{details}; the replaced table is kept as {failed}"
             self.finish("AUTO_ROLLED_BACK", "AUTO_ROLLED_BACK", note, failed_target=failed)
         else:
-            note = f"{details}; legacy={legacy}"
+            note = f"{details}; the old table is {legacy}"
             self.finish("VALIDATION_FAILED", "ROLLBACK_REQUIRED", note, legacy=legacy)
 
     def run(self) -> None:
@@ -214,7 +223,7 @@ class _TableRun:
         self.result["seconds"] = round(time.monotonic() - started, 1)
 
 
-def _checked(plan: DataFrame, options: RunOptions) -> DataFrame:
+def _checked(plan: DataFrame, options: RunOptions, filesystem: str) -> DataFrame:
     """Add route, first refusal, casts and partition spec to every plan row, in one job."""
     casts = parse_casts(F.coalesce("cast_columns", F.lit("")))
     spec = parse_partition_spec(F.coalesce("target_partition_spec", F.lit("")))
@@ -222,7 +231,7 @@ def _checked(plan: DataFrame, options: RunOptions) -> DataFrame:
     refusals = [
         spec["error"],
         casts["error"],
-        G.location_refusal(location, options.default_filesystem),
+        G.location_refusal(location, options.default_filesystem or filesystem),
     ]
     if options.execute:
         refusals = [G.execute_refusal(options.require_ticket), *refusals, G.inplace_refusal()]
@@ -241,11 +250,12 @@ def select_plan(spark: SparkSession, plan: DataFrame, only: str = "") -> DataFra
     wanted = sorted({name.strip() for name in only.split(",")} - {""})
     if not wanted:
         return plan
+    # a filter, not a join: it keeps the order of the plan, in which the rows will run
     names = spark.createDataFrame([(name,) for name in wanted], "table string")
     missing = [row["table"] for row in G.missing_rows(plan, names).collect()]
     if missing:
-        raise ValueError(f"tables not found in plan: {missing}")
-    return G.select_rows(plan, names)
+        raise ValueError(f"the plan has no rows for: {missing}")
+    return plan.where(F.col("table").isin(*wanted))
 
 
 def run_plan(spark: SparkSession, plan: DataFrame, options: RunOptions) -> DataFrame:
@@ -256,12 +266,12 @@ def run_plan(spark: SparkSession, plan: DataFrame, options: RunOptions) -> DataF
     """
     selected = G.approved(plan) if options.execute else plan
     results = []
-    for row in _checked(selected.na.fill(""), options).toLocalIterator():
+    for row in _checked(selected.na.fill(""), options, default_filesystem(spark)).toLocalIterator():
         step = _TableRun(spark, row.asDict(), options)
         try:
             step.run()
         except Exception as failure:
-            step.finish("FAILED", "FAILED", str(failure)[:1000], error=str(failure)[:2000])
+            step.finish("FAILED", "FAILED", str(failure), error=str(failure))
         results.append(step.result)
         if options.stop_on_error and step.result["status"] == "FAILED":
             break
@@ -276,11 +286,11 @@ def rollback(spark: SparkSession, table: str, strategy: str, journal: str, run_i
     if strategy == "migrate":
         backup = f"{table}{N.BACKUP_SUFFIX}"
         P.undo_in_place(spark, table, backup)
-        note = f"restored {backup} to {table}"
+        note = f"{table} is {backup} again"
     elif strategy == "ctas":
         legacy, failed = f"{table}{N.LEGACY_SUFFIX}", N.failed_name(table, new_run_id())
         P.undo_swap(spark, table, legacy, failed)
-        note = f"restored {legacy}; failed target retained as {failed}"
+        note = f"{table} is {legacy} again; the replaced table is kept as {failed}"
     else:
         raise ValueError(f"Unknown strategy: {strategy}")
     append_journal(spark, journal, run_id, table, "OPERATOR_ROLLBACK_COMPLETE", note=note)
@@ -291,21 +301,49 @@ def compact_table(
     spark: SparkSession,
     table: str,
     target_file_bytes: int = TARGET_FILE_BYTES,
-    max_partitions: int = MAX_PARTITIONS,
+    max_partitions: int | None = None,
     record: P.Record = P.no_record,
 ) -> dict:
-    """Rewrite a table into files of the target size, prove the copy equal, and swap it in."""
-    described = describe_table(spark, table)
-    located = spark.createDataFrame(
-        [(table, described["location"])], "table_name string, location string"
-    )
-    size = measure_locations(spark, located).first()["bytes"] or 0
-    copy = compacted_copy(spark, table, size, target_file_bytes)
-    verdict = validate_tables(spark, table, copy, described["partitions"], max_partitions)
+    """Pack the files of a table's scattered partitions, prove the new ones equal, and switch to them.
+
+    The table itself stays: its properties, comment and other partitions are untouched, and only the
+    catalogue's location of a packed partition (or of a table without partitions) changes. Files it
+    replaces are kept where they were, for a way back; the journal says where. A run that stops half-way
+    leaves every partition with either its old or its proved new files, and can be repeated.
+    """
+    keys = describe_table(spark, table)["partitions"]
+    folder, parts, size = compact_files(spark, table, target_file_bytes)
+    if not parts:
+        record("NOTHING_TO_COMPACT")
+        return {"ok": True, "compacted": 0, "bytes": 0, "folder": "", "details": []}
+    whole = spark.table(table)
+    packed = spark.read.schema(whole.schema).format(describe_table(spark, table)["provider"]).load(folder)
+    packed = packed.select(*map(column, whole.columns))
+    if keys:
+        listed = spark.createDataFrame(parts, whole.select(*map(column, keys)).schema)
+        whole = _in_partitions(whole, listed, keys)
+    with sql_settings(spark, WIDE_TABLES):
+        verdict = validate(whole, packed, keys, max_partitions).first().asDict()
     if not verdict["ok"]:
-        raise RuntimeError(f"{'; '.join(verdict['details'])}; compacted copy retained as {copy}")
-    P.swap(spark, table, copy, f"{table}{N.UNCOMPACTED_SUFFIX}", record)
-    return verdict
+        raise RuntimeError(f"{'; '.join(verdict['details'])}; packed files kept in {folder}")
+    record("COMPACTION_VALIDATED", folder=folder, partitions=len(parts))
+    if keys:
+        for part in parts:
+            before = P.switch_partition(spark, table, part, folder)
+            record("PARTITION_COMPACTED", was=before, now=folder)
+    else:
+        before = describe_table(spark, table)["location"]
+        spark.sql(f"ALTER TABLE {N.quoted_table(table)} SET LOCATION {P.text(folder)}")
+        record("TABLE_COMPACTED", was=before, now=folder)
+    return verdict | {"compacted": len(parts), "bytes": size, "folder": folder}
+
+
+def _in_partitions(df: DataFrame, listed: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows of the listed partitions; the scan is pruned to them at run time."""
+    names = [f"__{i}" for i in range(len(keys))]
+    other = listed.toDF(*names)
+    same = [column(key).eqNullSafe(F.col(name)) for key, name in zip(keys, names)]
+    return df.join(other, same, "left_semi")
 
 
 def optimize(
@@ -314,6 +352,7 @@ def optimize(
     journal: str,
     run_id: str = "",
     target_file_bytes: int = TARGET_FILE_BYTES,
+    max_partitions: int | None = None,
 ) -> int:
     """Compact the approved rows marked for it; returns the number of failures."""
     run_id = run_id or new_run_id()
@@ -321,12 +360,12 @@ def optimize(
     for row in G.to_compact(plan).select("table").toLocalIterator():
         seen += 1
         table = row["table"]
-        record = partial(append_journal, spark, journal, run_id, table)
+        record = partial(EvidenceFile(spark, journal, run_id).event, table)
         try:
-            compact_table(spark, table, target_file_bytes, record=record)
+            compact_table(spark, table, target_file_bytes, max_partitions, record)
         except Exception as failure:
             failures += 1
-            record("OPTIMIZE_FAILED", error=str(failure)[:2000])
+            record("OPTIMIZE_FAILED", error=str(failure))
         else:
             record("OPTIMIZE_COMPLETE")
     if not seen:

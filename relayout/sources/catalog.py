@@ -6,7 +6,6 @@ import json
 from collections.abc import Iterable
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,15 +59,14 @@ def describe_table(spark: SparkSession, table: str) -> dict:
 def scan_catalog(spark: SparkSession, databases: Iterable[str] | str, calls: int = 8) -> DataFrame:
     """Describe every table of the databases; a table that cannot be described carries its error.
 
-    The work is metastore calls, ``calls`` of them at a time.
+    Any failure counts, also those of the metastore and file systems below Spark. The work is metastore calls, ``calls`` of them at a time.
     """
 
     def described(table: str) -> dict:
         try:
             return describe_table(spark, table)
-        except (PySparkException, ValueError) as failure:
-            error = str(failure).splitlines()[0]
-            return {"table_name": table, "columns": [], "partitions": [], "error": error}
+        except Exception as failure:
+            return {"table_name": table, "columns": [], "partitions": [], "error": str(failure)}
 
     names = [row["table_name"] for row in list_tables(spark, databases).collect()]
     with ThreadPoolExecutor(calls) as pool:

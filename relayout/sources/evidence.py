@@ -1,14 +1,21 @@
-"""Append-only evidence: state journal and validation records as JSON lines."""
+"""Append-only evidence: state journal and validation records as JSON lines, a folder per run."""
 
 from __future__ import annotations
 
 import itertools
+import json
+import threading
 import time
+import uuid
 from collections.abc import Mapping
+from datetime import UTC, datetime
+from urllib.parse import quote
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from relayout.sources.store import default_filesystem, qualified, write_whole
+
 JOURNAL_SCHEMA = (
     "run_id string, table string, state string, timestamp_utc string, seq bigint, "
     "extras map<string,string>"
@@ -30,29 +37,46 @@ def _sequence() -> int:
     return (time.time_ns() // 1_000_000) * 100_000 + next(_counter) % 100_000
 
 
-def _now() -> Column:
-    return F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()),
-                         "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
+class EvidenceFile:
+    """The records of one writer in one run: a file of its own, which no other writer touches.
+
+    Each record is there, whole, when ``add`` returns. The file is rewritten with every record, which is
+    cheap for the few steps of one table; nothing here is a Spark job.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, run_id: str):
+        folder = qualified(path.rstrip("/"), default_filesystem(spark))
+        name = quote(run_id, safe="") or "__HIVE_DEFAULT_PARTITION__"
+        self.uri = f"{folder}/run_id={name}/{uuid.uuid4().hex}.json"
+        self.lines: list[str] = []
+        self.lock = threading.Lock()
+
+    def add(self, **record: object) -> None:
+        now = datetime.now(UTC).isoformat(timespec="microseconds")
+        with self.lock:
+            line = json.dumps({**record, "timestamp_utc": now, "seq": _sequence()}, ensure_ascii=False)
+            write_whole(self.uri, "".join(f"{one}\n" for one in [*self.lines, line]))
+            self.lines.append(line)
+
+    def event(self, table: str, state: str, **extras: object) -> None:
+        """One state of one table; further facts go to ``extras``."""
+        self.add(table=table, state=state, extras={k: str(v) for k, v in extras.items()})
+
+    def validation(self, source: str, target: str, verdict: Mapping) -> None:
+        self.add(source=source, target=target, validation=dict(verdict))
 
 
 def append_journal(
     spark: SparkSession, path: str, run_id: str, table: str, state: str, **extras: object
 ) -> None:
-    """Record one state of one table; further facts go to ``extras``."""
-    notes: Mapping[str, str] = {k: str(v) for k, v in extras.items()}
-    record = spark.createDataFrame(
-        [(run_id, table, state, None, _sequence(), notes)], JOURNAL_SCHEMA
-    )
-    record.withColumn("timestamp_utc", _now()).coalesce(1).write.mode("append").json(path)
+    """Record one state of one table, in a file of its own."""
+    EvidenceFile(spark, path, run_id).event(table, state, **extras)
 
 
 def append_validation(
     spark: SparkSession, path: str, run_id: str, source: str, target: str, verdict: Mapping
 ) -> None:
-    record = spark.createDataFrame(
-        [(run_id, source, target, None, _sequence(), dict(verdict))], VALIDATION_SCHEMA
-    )
-    record.withColumn("timestamp_utc", _now()).coalesce(1).write.mode("append").json(path)
+    EvidenceFile(spark, path, run_id).validation(source, target, verdict)
 
 
 def read_journal(spark: SparkSession, path: str) -> DataFrame:

@@ -1,86 +1,152 @@
-"""File sizes per table: directories are measured by a Spark job, not file by file on the driver."""
+"""File sizes per table: executors list folders; the driver holds one row per table."""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
-from pyspark.errors import PySparkException
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relayout.session import sql_settings
+from relayout.session import scratch_folder, ship
+from relayout.sources.store import default_filesystem, folder_entries, opened, qualified, walk
 
 # Average file size in MiB below which a table should be compacted, and the text
 # for a table without a location.
 SMALL_FILE_MB = 64
 NO_LOCATION = "Hive metastore did not return a table location"
 
-# Lengths only are read, so a task can take many files whatever their size.
-_LISTING_SETTINGS = {
-    "spark.sql.files.maxPartitionBytes": str(1 << 50),
-    "spark.sql.files.openCostInBytes": "1",
-}
-_FILESYSTEM = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?(?=/)")
-_FILES_SCHEMA = "path string, length bigint"
+_FOLDERS = "location string, directory string, bytes bigint, files bigint, error string"
+# Levels of folders that are listed in jobs of their own before a task follows what lies below.
+_SPREAD_LEVELS = 2
 
 
-def list_files(
-    spark: SparkSession, locations: Sequence[str]
-) -> tuple[DataFrame, dict[str, str]]:
-    """``(path, length)`` of every file below the locations, and the locations that failed.
+def outermost(locations: Sequence[str]) -> list[str]:
+    """The locations that lie below none of the others, one spelling each."""
+    named = {re.sub(r"\Afile:/+", "file:/", name.rstrip("/")): name for name in sorted(locations)}
 
-    Unreadable or missing locations are found by halving, so a few bad ones among many cost a few
-    more listings and never fail the rest. A file below several locations is listed once.
+    def below_another(name: str) -> bool:
+        parts = name.split("/")
+        return any("/".join(parts[:depth]) in named for depth in range(1, len(parts)))
+
+    return [name for name in named if not below_another(name)]
+
+
+def list_folders(spark: SparkSession, locations: Sequence[str]) -> DataFrame:
+    """Every folder at or below the locations with the bytes and number of its own files.
+
+    Executors list, the driver holds the given locations only. A folder is listed once however many
+    locations it lies below: give ``outermost`` ones. The first levels are spread over tasks again, so one table
+    with very many partitions is not one task. A location that cannot be listed is a row with an error.
     """
-    frames, errors = _read_or_split(spark, list(dict.fromkeys(locations)))
-    empty = spark.createDataFrame([], _FILES_SCHEMA)
-    return reduce(DataFrame.unionByName, frames, empty).dropDuplicates(["path"]), errors
-
-
-def _read_or_split(
-    spark: SparkSession, locations: list[str]
-) -> tuple[list[DataFrame], dict[str, str]]:
-    if not locations:
-        return [], {}
-    try:
-        reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
-        return [reader.load(locations).select("path", "length")], {}
-    except PySparkException as failure:
-        if len(locations) == 1:
-            return [], {locations[0]: str(failure).splitlines()[0]}
-    middle = len(locations) // 2
-    left, left_errors = _read_or_split(spark, locations[:middle])
-    right, right_errors = _read_or_split(spark, locations[middle:])
-    return left + right, left_errors | right_errors
-
-
-def measure_locations(spark: SparkSession, tables: DataFrame, tasks: int = 200) -> DataFrame:
+    filesystem = default_filesystem(spark)
+    roots = [(name, qualified(name, filesystem)) for name in locations]
+    waiting = spark.createDataFrame(roots, "location string, directory string")
+    done = []
+    for level in range(_SPREAD_LEVELS + 1):
+        last = level == _SPREAD_LEVELS
+        found = _spread(waiting).mapInArrow(_listing(whole=last), f"{_FOLDERS}, below array<string>")
+        if not last:  # listed once: what lies below is listed next, what was found is kept
+            found = _kept(found)
+            waiting = found.select("location", F.explode("below").alias("directory"))
+        done.append(found.drop("below"))
+    return reduce(DataFrame.unionByName, done)
+
+
+def _spread(folders: DataFrame) -> DataFrame:
+    return folders.repartition(F.col("directory"))
+
+
+def _kept(found: DataFrame) -> DataFrame:
+    spark = found.sparkSession
+    path = f"{scratch_folder(spark)}/folders"
+    found.write.parquet(path)
+    return spark.read.schema(found.schema).parquet(path)
+
+
+def _listing(whole: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """List the folders of a batch, or all that lies below them; errors become rows."""
+
+    def one(location: str, directory: str) -> Iterator[tuple]:
+        try:
+            store, path = opened(directory)
+            # a store names its folders without the scheme: put back what stood before
+            head = directory[: len(directory.rstrip("/")) - len(path.rstrip("/"))]
+            head = "file:" if directory.startswith("file:") else head
+            if whole:
+                for folder, size, files in walk(store, path):
+                    yield location, head + folder, size, files, None, []
+            else:
+                below, size, files = folder_entries(store, path)
+                yield location, head + path, size, files, None, [head + folder for folder in below]
+        except Exception as failure:
+            yield location, directory, None, None, str(failure) or type(failure).__name__, []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.string())]
+        names = ["location", "directory", "bytes", "files", "error", "below"]
+        rows: list[tuple] = []
+        for batch in batches:
+            for location, directory in zip(*(batch.column(n).to_pylist() for n in names[:2])):
+                for row in one(location, directory):
+                    rows.append(row)
+                    if len(rows) >= 10_000:
+                        yield _record(rows, kinds, names)
+                        rows = []
+        if rows:
+            yield _record(rows, kinds, names)
+
+    return run
+
+
+def _record(rows: list[tuple], kinds: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+
+
+def measure_locations(spark: SparkSession, tables: DataFrame) -> DataFrame:
     """``location_facts`` of real directories, one row per ``(table_name, location)``.
 
-    The number of reading tasks is fixed instead of growing with the bytes stored, because only
-    lengths are read; that setting must hold while the job runs, so the result, which has one row
-    per table like the catalogue itself, is computed here.
+    The result has one row per table like the catalogue itself, and is computed here.
     """
+    ship(spark)
     located = tables.where("location <> ''").select("location").distinct()
     locations = [row["location"] for row in located.collect()]
-    files, failed = list_files(spark, locations)
-    errors = spark.createDataFrame(list(failed.items()), "location string, message string")
-    with sql_settings(
-        spark, {**_LISTING_SETTINGS, "spark.sql.files.minPartitionNum": str(tasks)}
-    ):
-        bare = [name for name in locations if not _FILESYSTEM.match(name) and name not in failed]
-        facts = location_facts(tables, files, errors, _default_filesystem(spark, bare))
-        return spark.createDataFrame(facts.collect(), facts.schema)
+    filesystem = default_filesystem(spark)
+    plain = outermost([qualified(name, filesystem) for name in locations])
+    if not plain:
+        plain_folders = spark.createDataFrame([], _FOLDERS)
+    else:
+        plain_folders = _kept(list_folders(spark, plain))
+    sizes = folder_totals(plain_folders.where("error IS NULL").select("directory", "bytes", "files"))
+    failed = plain_folders.where("error IS NOT NULL").select(
+        normalized_location(F.col("directory")).alias("failed"), "error"
+    )
+    facts = _facts_of(tables, sizes, failed, filesystem)
+    return spark.createDataFrame(facts.collect(), facts.schema)
 
 
-def _default_filesystem(spark: SparkSession, bare: list[str]) -> str:
-    """Where locations without a file system live, as seen on one of their files."""
-    if not bare:
-        return ""
-    seen = list_files(spark, bare)[0].select("path").first()
-    return _FILESYSTEM.match(seen["path"])[0] if seen else ""
+def _facts_of(tables: DataFrame, sizes: DataFrame, failed: DataFrame, filesystem: str) -> DataFrame:
+    """Facts from folder totals; a folder that failed fails every location at, above or below it."""
+    full = F.when(
+        F.col("location").startswith("/"),
+        F.concat(F.lit("file:" if filesystem.startswith("file:") else filesystem), "location"),
+    ).otherwise(F.col("location"))
+    named = tables.select("table_name", "location", normalized_location(full).alias("directory"))
+    steps = F.split("failed", "/")
+    above = F.explode(F.transform(F.sequence(F.lit(1), F.size(steps)),
+                                  lambda depth: F.array_join(F.slice(steps, 1, depth), "/")))
+    errors = failed.select(above.alias("directory"), "error").groupBy("directory").agg(F.min("error").alias("message"))
+    joined = named.join(sizes, "directory", "left").join(errors, "directory", "left")
+    blank = F.coalesce("location", F.lit("")) == ""
+    missing = F.when(F.col("files").isNull(), F.concat(F.lit("location not found: "), F.col("location")))
+    error = F.when(blank, NO_LOCATION).otherwise(F.coalesce("message", missing))
+    found = error.isNull()
+    return joined.select(
+        "table_name", "location", F.when(found, F.col("bytes")).cast("bigint").alias("bytes"),
+        F.when(found, F.col("files")).cast("bigint").alias("files"), error.alias("error"),
+    ).withColumn("average_file_mb", F.round(_mean_mib(), 2))
 
 
 def normalized_location(location: Column) -> Column:
@@ -101,13 +167,19 @@ def directory_totals(files: DataFrame) -> DataFrame:
         .groupBy("parent")
         .agg(F.sum("length").alias("bytes"), F.count(F.lit(1)).alias("files"))
     )
+    return folder_totals(parents.withColumnRenamed("parent", "directory"))
+
+
+def folder_totals(folders: DataFrame) -> DataFrame:
+    """Bytes and files below every directory, from those of each folder itself."""
+    folders = folders.withColumn("parent", normalized_location(F.col("directory"))).drop("directory")
     steps = F.split("parent", "/")
     ancestors = F.transform(
         F.sequence(F.lit(1), F.size(steps)),
         lambda depth: F.array_join(F.slice(steps, 1, depth), "/"),
     )
     return (
-        parents.select(F.explode(ancestors).alias("directory"), "bytes", "files")
+        folders.select(F.explode(ancestors).alias("directory"), "bytes", "files")
         .groupBy("directory")
         .agg(F.sum("bytes").alias("bytes"), F.sum("files").alias("files"))
     )

@@ -17,7 +17,8 @@ _CSV = {"header": True, "multiLine": True, "escape": '"'}
 
 
 def write_plan(plan: DataFrame, path: str) -> None:
-    plan_fields(plan).write.mode("errorifexists").options(**_CSV).csv(path)
+    """One CSV file in the folder ``path``, for people to edit: a row per table."""
+    plan_fields(plan).coalesce(1).write.mode("errorifexists").options(**_CSV).csv(path)
 
 
 def read_plan(spark: SparkSession, path: str) -> DataFrame:
@@ -27,7 +28,7 @@ def read_plan(spark: SparkSession, path: str) -> DataFrame:
     if not missing and plan.isEmpty():
         missing = list(PLAN_FIELDS)
     if missing:
-        raise ValueError(f"Plan is missing required columns: {missing}")
+        raise ValueError(f"the plan lacks columns: {missing}")
     return plan.na.fill("")
 
 

@@ -28,7 +28,7 @@ MIDNIGHT = dt.datetime(2024, 1, 1)
 
 DIFFERENT = {
     "null against blank": ("a string", (None,), ("",)),
-    "null against marker": ("a string", (None,), ("<ICEBERG_MIGRATION_NULL>",)),
+    "null against marker": ("a string", (None,), ("<NULL>",)),
     "null against zero": ("a int", (None,), (0,)),
     "null moves to the next column": ("a int, b int", (None, 1), (1, None)),
     "text moves to the next column": ("a string, b string", ("a", "bc"), ("ab", "c")),

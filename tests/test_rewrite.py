@@ -73,7 +73,7 @@ def test_rewrite_keeps_content_and_order(spark, database):
     assert spark.table(target).columns == ["id", "k", "id_bucket_4", "n"]
     assert validate_tables(spark, source, target, ["k"], derived=derived)["ok"]
     assert not validate_tables(spark, source, target, ["k"])["schema_ok"]
-    with pytest.raises(RuntimeError, match="Refusing to overwrite"):
+    with pytest.raises(RuntimeError, match="not overwritten"):
         R.rewrite_table(spark, source, target)
 
 
@@ -144,28 +144,89 @@ def test_settings_are_restored(spark, database):
     assert {key: spark.conf.get(key, None) for key in watched} == before
 
 
+def paths_of(spark, table, where="true"):
+    return {r[0] for r in spark.table(table).where(where).select(F.input_file_name()).distinct().collect()}
+
+
 def test_compaction(spark, database):
     table = f"{database}.t"
-    spark.sql(f"CREATE TABLE {table} (id BIGINT, code CHAR(4)) USING parquet")
+    spark.sql(
+        f"CREATE TABLE {table} (id BIGINT, code CHAR(4)) USING parquet COMMENT 'it''s ours' TBLPROPERTIES ('owner_team' = 'a\\\\b')"
+    )
     spark.range(0, 1000, 1, 20).select("id", F.lit("ab")).write.insertInto(table)
-    assert files_of(spark, table) == 20
+    before, was = paths_of(spark, table), describe_table(spark, table)
+    assert len(before) == 20
     assert compact_table(spark, table)["ok"]
-    assert files_of(spark, table) == 1 and files_of(spark, f"{table}__precompact") == 20
-    assert describe_table(spark, table)["columns"] == [("id", "bigint"), ("code", "char(4)")]
-    with pytest.raises(RuntimeError, match="retained legacy"):
-        compact_table(spark, table)
+    assert files_of(spark, table) == 1 and spark.table(table).selectExpr("sum(id)").first()[0] == 499500
+    now = describe_table(spark, table)
+    assert {**now, "location": ""} == {**was, "location": ""} and "owner_team" in now["table_properties"]
+    assert spark.read.parquet(was["location"]).count() == 1000  # kept for a way back
+    again = compact_table(spark, table)
+    assert again["ok"] and again["compacted"] == 0
+    spark.range(0, 10, 1, 5).select("id", F.lit("ab")).write.insertInto(table)
+    assert compact_table(spark, table)["compacted"] == 1 and spark.table(table).count() == 1010
+
+
+def test_compaction_of_a_partitioned_table(spark, database, tmp_path):
+    """Only scattered partitions are written again; values that need escaping and NULL are partitions like others."""
+    table = f"{database}.t"
+    rows = spark.range(0, 1000, 1, 10).selectExpr(
+        "id", "CASE id % 3 WHEN 0 THEN 'a=/\\' é' WHEN 1 THEN 'b' END AS k", "DATE '2024-01-01' AS d"
+    )
+    rows.write.partitionBy("k", "d").option("path", f"{tmp_path}/t").saveAsTable(table)
+    one = spark.range(5).selectExpr("id", "'good' AS k", "DATE '2024-01-02' AS d").coalesce(1)
+    one.write.insertInto(table)
+    good = paths_of(spark, table, "k = 'good'")
+    assert files_of(spark, table) == 31 and len(good) == 1
+    found = compact_table(spark, table)
+    assert (found["ok"], found["partition_ok"], found["compacted"], found["source_rows"]) == (True, True, 3, 1000)
+    assert files_of(spark, table) == 4 and paths_of(spark, table, "k = 'good'") == good
+    assert spark.table(table).where("k IS NULL").count() == 333 and spark.table(table).count() == 1005
+    row = describe_table(spark, table)
+    assert row["type_raw"] == "EXTERNAL" and row["location"].endswith("/t")
+    assert compact_table(spark, table)["compacted"] == 0
 
 
-def test_compaction_of_an_external_partitioned_table(spark, database, tmp_path):
+def test_compaction_that_loses_a_row_switches_nothing(spark, database, monkeypatch):
     table = f"{database}.t"
-    rows = spark.range(0, 1000, 1, 10).select("id", (F.col("id") % 3).alias("k"))
-    rows.write.partitionBy("k").option("path", f"{tmp_path}/t").saveAsTable(table)
-    assert files_of(spark, table) == 30
-    assert compact_table(spark, table)["partition_ok"]
-    assert files_of(spark, table) == 3
-    row = describe_table(spark, table)
-    assert row["type_raw"] == "EXTERNAL" and row["location"].endswith("/t__compact")
-    assert spark.table(f"{table}__precompact").count() == 1000
+    spark.range(0, 100, 1, 4).withColumn("k", F.lit(1)).write.partitionBy("k").saveAsTable(table)
+    before = paths_of(spark, table)
+    batches = R.partition_batches
+    monkeypatch.setattr(R, "partition_batches", lambda *a: (b.where("id <> 7") for b in batches(*a)))
+    with pytest.raises(RuntimeError, match="contents differ"):
+        compact_table(spark, table)
+    assert paths_of(spark, table) == before
+
+
+def test_compaction_refuses_what_it_would_break(spark, database):
+    spark.range(10).write.format("json").saveAsTable(f"{database}.j")
+    spark.range(10).write.bucketBy(2, "id").saveAsTable(f"{database}.b")
+    for table, why in (("j", "stored as json"), ("b", "bucketed")):
+        with pytest.raises(ValueError, match=why):
+            compact_table(spark, f"{database}.{table}")
+
+
+def test_small_files_without_partitions_are_packed(spark, database):
+    spark.range(0, 400, 1, 40).write.saveAsTable(f"{database}.t")
+    for i, small in enumerate((True, False)):
+        R.rewrite_table(spark, f"{database}.t", f"{database}.u{i}", small_files=small)
+        assert files_of(spark, f"{database}.u{i}") == 1
+
+
+def test_truncated_values(spark):
+    df = spark.sql(
+        "SELECT CAST(10.65 AS DECIMAL(9,2)) AS d, CAST(-10.65 AS DECIMAL(9,2)) AS m, CAST(-128 AS TINYINT) AS t,"
+        " CAST(-7 AS SMALLINT) AS s, -9223372036854775808L + 3 AS l, X'010203' AS b, 1.5D AS f, CAST(NULL AS INT) AS z"
+    )
+    spec = ["truncate(50,d)", "truncate(50,m)", "truncate(200,t)", "truncate(10,s)", "truncate(3,l)", "truncate(2,b)",
+            "truncate(4,z)"]
+    laid_out, names, _ = R.with_layout(df, spec)
+    row = laid_out.select(*names).first()
+    assert [str(v) if i < 2 else v for i, v in enumerate(row)] == [
+        "10.50", "-11.00", -200, -10, -9223372036854775806, bytearray(b"\x01\x02"), None,
+    ]
+    with pytest.raises(ValueError, match="not defined for double"):
+        R.with_layout(df, ["truncate(2,f)"])
 
 
 def test_same_columns_only_for_the_same_columns(spark):
@@ -209,7 +270,8 @@ def test_partition_batches(spark, tmp_path):
     )
     rows.write.partitionBy("k", "d").parquet(f"{tmp_path}/t")
     stored = spark.read.parquet(f"{tmp_path}/t")
-    batches = list(R.partition_batches(stored, ["k", "d"], batch=3))
+    parts = stored.select("k", "d").distinct().collect()
+    batches = list(R.partition_batches(stored, ["k", "d"], parts, batch=3))
     assert len(batches) == 4
     assert sorted(r["id"] for b in batches for r in b.collect()) == list(range(100))
     plan = batches[0]._jdf.queryExecution().executedPlan().toString()

@@ -19,7 +19,7 @@ EXTERNAL_PARQUET = {
 
 def classified(spark, allow_avro=False, **changes):
     catalog = spark.createDataFrame([{**EXTERNAL_PARQUET, **changes}], CATALOG_SCHEMA)
-    return K.classify(catalog, allow_avro)
+    return K.classify(catalog, allow_avro, "lake", "table_type=lake")
 
 
 @pytest.mark.parametrize(
@@ -27,9 +27,9 @@ def classified(spark, allow_avro=False, **changes):
     [
         ({}, "migrate", K.NOTE_ELIGIBLE),
         ({"type_raw": "VIRTUAL_VIEW"}, "skip", K.NOTE_VIEW),
-        ({"type_raw": "VIEW", "provider": "iceberg"}, "skip", K.NOTE_VIEW),
-        ({"provider": "Iceberg"}, "skip", K.NOTE_ALREADY),
-        ({"table_properties": "[x=y, table_type=ICEBERG]"}, "skip", K.NOTE_ALREADY),
+        ({"type_raw": "VIEW", "provider": "lake"}, "skip", K.NOTE_VIEW),
+        ({"provider": "Lake"}, "skip", K.NOTE_ALREADY),
+        ({"table_properties": "[x=y, table_type=LAKE]"}, "skip", K.NOTE_ALREADY),
         ({"table_properties": "[transactional=TRUE]"}, "hive_ctas", K.NOTE_ACID),
         ({"columns": [("a", "uniontype<int,string>")]}, "manual", "a:uniontype<int,string>"),
         (

@@ -65,11 +65,11 @@ def test_swap_and_back(spark, database):
     assert names(spark, database) == ["t", "t__legacy"]
     assert spark.table(f"{t}__legacy").count() == 100
     fill(spark, f"{t}__ice")
-    with pytest.raises(RuntimeError, match="retained legacy table exists"):
+    with pytest.raises(RuntimeError, match="earlier legacy table"):
         P.swap(spark, t, f"{t}__ice", f"{t}__legacy")
     P.undo_swap(spark, t, f"{t}__legacy", f"{t}__failed_x")
     assert names(spark, database) == ["t", "t__failed_x", "t__ice"]
-    with pytest.raises(RuntimeError, match="requires both"):
+    with pytest.raises(RuntimeError, match="must both exist"):
         P.undo_swap(spark, t, f"{t}__legacy", f"{t}__failed_y")
 
 
@@ -82,6 +82,112 @@ def test_failed_second_rename_restores_the_name(spark, database):
     assert seen == ["SOURCE_RENAMED", "CUTOVER_AUTO_ROLLED_BACK"]
 
 
+STEPS = ["follow", "journal 1", "second rename", "second follow", "journal 2"]
+
+
+def fails_at(monkeypatch, step, seen):
+    """Make one step of a cutover fail; returns the journal's function."""
+    follow, rename, counts = P.follow_rename, P.rename, {"follow": 0, "rename": 0, "journal": 0}
+
+    def check(kind, nth, name):
+        counts[kind] += 1
+        if step == name and counts[kind] == nth:
+            raise RuntimeError(f"no {name}")
+
+    def following(*args):
+        check("follow", 1, "follow")
+        if step == "second follow" and counts["follow"] == 2:
+            raise RuntimeError("no second follow")
+        follow(*args)
+
+    def renaming(*args):
+        check("rename", 2, "second rename")
+        rename(*args)
+
+    def record(state, **extras):
+        check("journal", 1, "journal 1")
+        if step == "journal 2" and counts["journal"] == 2:
+            raise RuntimeError("no journal 2")
+        seen.append(state)
+
+    monkeypatch.setattr(P, "follow_rename", following)
+    monkeypatch.setattr(P, "rename", renaming)
+    return record
+
+
+@pytest.mark.parametrize("step", STEPS)
+def test_a_swap_that_fails_anywhere_leaves_both_names(spark, database, monkeypatch, step):
+    t, seen = f"{database}.t", []
+    fill(spark, t, by="k")
+    spark.range(7).withColumn("k", F.lit(1)).write.partitionBy("k").saveAsTable(f"{t}__ice")
+    record = fails_at(monkeypatch, step, seen)
+    with pytest.raises(RuntimeError, match=f"no {step}"):
+        P.swap(spark, t, f"{t}__ice", f"{t}__legacy", record)
+    monkeypatch.undo()
+    assert names(spark, database) == ["t", "t__ice"]
+    assert spark.table(t).count() == 100 and spark.table(f"{t}__ice").count() == 7
+    if step != "follow":  # nothing was renamed then
+        assert seen[-1] == "CUTOVER_AUTO_ROLLED_BACK"
+
+
+@pytest.mark.parametrize("step", ["follow", "second rename", "second follow"])
+def test_an_undo_that_fails_anywhere_leaves_both_names(spark, database, monkeypatch, step):
+    t = f"{database}.t"
+    fill(spark, t, by="k")
+    fill(spark, f"{t}__legacy", by="k")
+    fails_at(monkeypatch, step, [])
+    with pytest.raises(RuntimeError, match=f"no {step}"):
+        P.undo_swap(spark, t, f"{t}__legacy", f"{t}__failed_x")
+    monkeypatch.undo()
+    assert names(spark, database) == ["t", "t__legacy"]
+    assert spark.table(t).count() == spark.table(f"{t}__legacy").count() == 100
+
+
+@pytest.mark.parametrize("step", ["follow", "journal 1"])
+def test_a_conversion_that_fails_anywhere_leaves_the_name(spark, database, tmp_path, monkeypatch, step):
+    t, seen = f"{database}.t", []
+    fill(spark, t, path=f"{tmp_path}/t", by="k")
+    record = fails_at(monkeypatch, step, seen)
+    with pytest.raises(RuntimeError, match=f"no {step}"):
+        P.convert_in_place(spark, t, f"{t}_BACKUP_", record=record)
+    monkeypatch.undo()
+    assert names(spark, database) == ["t"] and spark.table(t).count() == 100
+
+
+def test_the_legacy_table_is_not_repaired(spark, database):
+    """A folder nobody registered stays unregistered, a registered one without files stays registered."""
+    t = f"{database}.t"
+    fill(spark, t, by="k")
+    spark.sql(f"ALTER TABLE {t} ADD PARTITION (k = 77)")
+    spark.sql(f"ALTER TABLE {t} DROP PARTITION (k = 2)")
+    location = spark.sql(f"DESCRIBE EXTENDED {t}").where("col_name = 'Location'").first()["data_type"]
+    spark.range(3).write.parquet(f"{location}/k=99")
+    shown = sorted(r[0] for r in spark.sql(f"SHOW PARTITIONS {t}").collect())
+    count = spark.table(t).count()
+    fill(spark, f"{t}__ice")
+    P.swap(spark, t, f"{t}__ice", f"{t}__legacy")
+    assert sorted(r[0] for r in spark.sql(f"SHOW PARTITIONS {t}__legacy").collect()) == shown == ["k=0", "k=1", "k=77"]
+    assert spark.table(f"{t}__legacy").count() == count
+
+
+def test_conversion_keeps_partitions_elsewhere_and_properties(spark, database, tmp_path):
+    t = f"{database}.t"
+    spark.sql(
+        f"CREATE TABLE {t} (id BIGINT, k STRING) USING parquet PARTITIONED BY (k) LOCATION '{tmp_path}/t'"
+        " COMMENT 'what it is' TBLPROPERTIES ('owner_team' = 'x''y')"
+    )
+    spark.range(4).withColumn("k", F.lit("a")).write.insertInto(t)
+    spark.range(6).write.parquet(f"{tmp_path}/elsewhere")
+    spark.sql(f"ALTER TABLE {t} ADD PARTITION (k = 'b/c') LOCATION '{tmp_path}/elsewhere'")
+    P.share_files(spark, t, f"{t}_sandbox")
+    P.convert_in_place(spark, t, f"{t}_BACKUP_")
+    for name in (t, f"{t}_sandbox", f"{t}_BACKUP_"):
+        assert {r["k"]: r["count"] for r in spark.table(name).groupBy("k").count().collect()} == {"a": 4, "b/c": 6}
+        row = spark.sql(f"DESCRIBE EXTENDED {name}")
+        assert row.where("col_name = 'Comment'").first()["data_type"] == "what it is"
+        assert "owner_team=x'y" in row.where("col_name = 'Table Properties'").first()["data_type"]
+
+
 def test_failed_undo_is_undone(spark, database, monkeypatch):
     t = f"{database}.t"
     fill(spark, t)
@@ -104,7 +210,7 @@ def test_in_place_and_back(spark, database, tmp_path):
     fill(spark, t, path=f"{tmp_path}/t", by="k")
     P.convert_in_place(spark, t, f"{t}_BACKUP_")
     assert spark.table(t).count() == spark.table(f"{t}_BACKUP_").count() == 100
-    with pytest.raises(RuntimeError, match="backup already exists"):
+    with pytest.raises(RuntimeError, match="earlier backup"):
         P.convert_in_place(spark, t, f"{t}_BACKUP_")
     P.undo_in_place(spark, t, f"{t}_BACKUP_")
     assert names(spark, database) == ["t"] and spark.table(t).count() == 100
@@ -142,7 +248,7 @@ def test_dry_run_changes_no_source(spark, database, options, tmp_path):
     ]
     found = run(spark, options, *rows, execute=False)
     assert {r["status"] for r in found.values()} == {"DRY_RUN_VALIDATED"}
-    assert found["m"]["note"] == f"sandbox retained as {options.sandbox}.{database}__m__run_1"
+    assert found["m"]["note"] == f"the sandbox copy is {options.sandbox}.{database}__m__run_1"
     assert names(spark, database) == ["e", "m"]
     assert not (tmp_path / "never").exists()
     again = run(spark, options, *rows, execute=False)
@@ -165,7 +271,7 @@ def test_execute(spark, database, options, tmp_path):
         "m": "VALIDATION_FAILED", "e": "CUTOVER_VALIDATED", "x": "MANUAL_ACTION_REQUIRED", "y": "SKIPPED",
     }
     # A bigint key cast to string is a schema change, so the staging table is kept for a look.
-    assert "type mismatch k: bigint -> string" in found["m"]["note"]
+    assert "type of k differs: bigint -> string" in found["m"]["note"]
     assert names(spark, database) == ["e", "e_backup_", "m", "m__ice"]
     assert read_validations(spark, options.validations).count() == 2
 
@@ -181,7 +287,7 @@ def test_execute_rewrite_and_rollback(spark, database, options):
     ]
     assert spark.table(t).count() == 100
     note = M.rollback(spark, t, "ctas", options.journal, "RB-1")
-    assert note.startswith(f"restored {t}__legacy; failed target retained as {t}__failed_")
+    assert note.startswith(f"{t} is {t}__legacy again; the replaced table is kept as {t}__failed_")
     assert spark.table(t).columns == ["id", "k"] and spark.table(t).count() == 100
     last = latest_state(read_journal(spark, options.journal)).collect()
     assert [(r["run_id"], r["state"]) for r in last] == [
@@ -259,6 +365,9 @@ def test_select_plan(spark):
     rows = plan(spark, {"table": "db.a"}, {"table": "db.b"})
     assert M.select_plan(spark, rows, "").count() == 2
     assert [r["table"] for r in M.select_plan(spark, rows, " db.b ,").collect()] == ["db.b"]
+    many = plan(spark, *({"table": f"db.t{i}"} for i in range(8)))
+    picked = M.select_plan(spark, many, "db.t7,db.t0,db.t5,db.t1").collect()
+    assert [r["table"] for r in picked] == ["db.t0", "db.t1", "db.t5", "db.t7"]  # as in the plan
     with pytest.raises(ValueError, match=r"\['db.c', 'db.d'\]"):
         M.select_plan(spark, rows, "db.d,db.a,db.c")
 

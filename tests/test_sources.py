@@ -1,7 +1,10 @@
 """Catalogue, files, plan files and evidence."""
 
+import subprocess
+import sys
+from concurrent.futures import ThreadPoolExecutor
+
 import pytest
-from pyspark.sql import functions as F
 
 from relayout.operators.classify import PLAN_FIELDS, plan_fields
 from relayout.plans.inventory import assess, inventory
@@ -53,7 +56,7 @@ def test_a_broken_table_becomes_an_error_row(spark, database, monkeypatch):
     monkeypatch.setattr(S, "describe_table", failing)
     found = inventory(spark, database)
     assert rows(found, "table", "strategy", "note") == [
-        (f"{database}.bad", "manual", "inventory error: no permission"),
+        (f"{database}.bad", "manual", "inventory error: no permission\nand more"),
         (f"{database}.good", "ctas", "MANAGED table is not eligible for in-place migrate"),
     ]
 
@@ -87,6 +90,31 @@ def test_measured_directories(spark, tmp_path):
     }
 
 
+def test_all_files_count_and_bad_locations_stay_alone(spark, tmp_path):
+    folder = tmp_path / "t"
+    folder.mkdir()
+    for name, size in (("a", 10), ("empty", 0), ("_SUCCESS", 0), (".hidden", 3), (".a.crc", 8)):
+        (folder / name).write_bytes(b"x" * size)
+    for i in range(300):
+        (folder / f"p={i}" / "q=1" / "r=2").mkdir(parents=True)
+        (folder / f"p={i}" / "q=1" / "r=2" / "f").write_bytes(b"xy")
+    tables = spark.createDataFrame(
+        [("t", str(folder)), ("p", f"{folder}/p=7"), ("odd", "nosuch://x/y"), ("gone", f"file:{tmp_path}/gone"),
+         ("below", f"{folder}/none")],
+        "table_name string, location string",
+    )
+    found = {r["table_name"]: r for r in FS.measure_locations(spark, tables).collect()}
+    assert (found["t"]["bytes"], found["t"]["files"], found["t"]["error"]) == (613, 304, None)
+    assert (found["p"]["bytes"], found["p"]["files"]) == (2, 1)
+    assert all(found[name]["error"] and found[name]["files"] is None for name in ("odd", "gone", "below"))
+
+
+def test_outermost():
+    assert FS.outermost(["file:/a/b", "file:///a/", "file:/ab", "hdfs://n/a", "hdfs://n/a/b/c"]) == [
+        "file:/a", "file:/ab", "hdfs://n/a",
+    ]
+
+
 def test_sizes_judge_the_rounded_average(spark):
     mib = 1 << 20
     facts = spark.createDataFrame(
@@ -118,7 +146,7 @@ def test_plan_without_columns(spark, tmp_path):
     with pytest.raises(ValueError, match="source_type.*note"):
         P.read_plan(spark, str(tmp_path / "plan.csv"))
     (tmp_path / "empty.csv").write_text(",".join(PLAN_FIELDS) + "\n")
-    with pytest.raises(ValueError, match="missing required columns"):
+    with pytest.raises(ValueError, match="lacks columns"):
         P.read_plan(spark, str(tmp_path / "empty.csv"))
 
 
@@ -137,6 +165,30 @@ def test_journal(spark, tmp_path):
     assert last[2]["timestamp_utc"].endswith("+00:00")
 
 
+def test_no_event_is_lost_between_writers(spark, tmp_path):
+    """Threads of one session and other processes, all into one journal; every event that returned is read back."""
+    path = f"{tmp_path}/journal"
+
+    def write(name, events=12):
+        mine = E.EvidenceFile(spark, path, "RUN/1 x")
+        for i in range(events):
+            mine.event(f"db.{name}", f"S{i}")
+
+    code = (
+        "import sys; from types import SimpleNamespace as N; from relayout.sources import evidence as E\n"
+        "conf = N(get=lambda k: 'file:///')\n"
+        "spark = N(sparkContext=N(_jsc=N(hadoopConfiguration=lambda: conf)))\n"
+        "for i in range(20): E.append_journal(spark, sys.argv[1], 'RUN/1 x', sys.argv[2], f'S{i}')\n"
+    )
+    others = [subprocess.Popen([sys.executable, "-c", code, path, f"db.p{i}"]) for i in range(2)]
+    with ThreadPoolExecutor(3) as pool:
+        list(pool.map(write, ["a", "b", "c"]))
+    assert [other.wait() for other in others] == [0, 0]
+    counts = {r["table"]: r["count"] for r in E.read_journal(spark, path).groupBy("table").count().collect()}
+    assert counts == {"db.a": 12, "db.b": 12, "db.c": 12, "db.p0": 20, "db.p1": 20}
+    assert {r["run_id"] for r in E.read_journal(spark, path).collect()} == {"RUN/1 x"}
+
+
 def test_malformed_journal_line(spark, tmp_path):
     good = '{"run_id":"R1","table":"db.t","state":"STARTED","seq":1}'
     (tmp_path / "journal.json").write_text(good + "\n{broken\n")

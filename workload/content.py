@@ -269,7 +269,7 @@ ORACLE = {
     ),
     "partition_diff": as_sql(
         _CHANGED_GROUPS
-        + " SELECT * FROM compared WHERE NOT matches ORDER BY l_returnflag, l_linestatus LIMIT 20"
+        + " SELECT * FROM compared WHERE NOT matches"
     ),
     "partition_diff_nullkey": as_sql(
         """SELECT 'changed' AS scenario, event_type, count(*) AS source_rows, count(*) AS target_rows,

@@ -12,6 +12,9 @@ from relayout.plans.inventory import Assessment, assess_plan
 from relayout.sources import files as S
 from workload.fixtures import as_sql, load
 
+#: What the estate's tables that need no migration look like.
+TARGET = {"target_provider": "lake", "target_property": "table_type=LAKE"}
+
 
 def _catalog(spark: SparkSession, sf: str) -> DataFrame:
     """The estate in the shape of a catalogue scan."""
@@ -31,7 +34,7 @@ def _catalog(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _plan(spark: SparkSession, sf: str) -> DataFrame:
-    return K.plan_rows(K.classify(_catalog(spark, sf)))
+    return K.plan_rows(K.classify(_catalog(spark, sf), **TARGET))
 
 
 def _facts(spark: SparkSession, sf: str) -> DataFrame:
@@ -89,7 +92,7 @@ def schema_actions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def classify_tables(spark: SparkSession, sf: str) -> DataFrame:
-    return K.classify(_catalog(spark, sf)).select(
+    return K.classify(_catalog(spark, sf), **TARGET).select(
         "table_name", "source_type", "format", "strategy", "note"
     )
 
@@ -169,7 +172,7 @@ _CLASSIFIED = (
         SELECT *,
             CASE WHEN error IS NOT NULL THEN 0
                  WHEN source_type = 'VIEW' THEN 1
-                 WHEN provider = 'iceberg' OR lower(table_properties) LIKE '%table_type=iceberg%' THEN 2
+                 WHEN provider = 'lake' OR lower(table_properties) LIKE '%table_type=lake%' THEN 2
                  WHEN lower(table_properties) LIKE '%transactional=true%' THEN 3
                  WHEN blockers <> '' THEN 4
                  WHEN num_buckets = '8' THEN 5
@@ -237,13 +240,13 @@ _SCORED = (
 _ORACLE = {
     "schema_diff": """
         SELECT table_name, NOT names_differ AND first = '' AND second = '' AS schema_ok,
-            CASE WHEN names_differ THEN 'column names/order differ'
+            CASE WHEN names_differ THEN 'columns differ in name or order'
                  WHEN first <> '' AND second <> '' THEN first || '; ' || second
                  ELSE first || second END AS details
         FROM (
             SELECT table_name, n % 37 = 0 OR n % 23 = 0 AS names_differ,
-                CASE WHEN n % 31 = 0 THEN 'type mismatch id: bigint -> string' ELSE '' END AS first,
-                CASE WHEN n % 31 = 0 THEN 'type mismatch c: ' || col_type || ' -> date' ELSE '' END AS second
+                CASE WHEN n % 31 = 0 THEN 'type of id differs: bigint -> string' ELSE '' END AS first,
+                CASE WHEN n % 31 = 0 THEN 'type of c differs: ' || col_type || ' -> date' ELSE '' END AS second
             FROM {estate}
         )""",
     "schema_actions": _ACTIONS

@@ -41,7 +41,7 @@ FIXTURES = {
         FROM {events}""",
     "marker_text": """
         SELECT event_id,
-               CASE WHEN event_id = 5 THEN '<ICEBERG_MIGRATION_NULL>' ELSE event_type END AS event_type
+               CASE WHEN event_id = 5 THEN '<NULL>' ELSE event_type END AS event_type
         FROM {events}""",
     "events_nullkey": """
         SELECT event_id, ts, user_id, nullif(event_type, 'error') AS event_type, value, props
@@ -61,11 +61,11 @@ FIXTURES = {
     "estate": """
         SELECT concat('db', CAST(p_partkey % 5 AS STRING), '.t', CAST(p_partkey AS STRING)) AS table_name,
                CASE p_partkey % 7 WHEN 0 THEN 'VIEW' WHEN 1 THEN 'MANAGED' ELSE 'EXTERNAL' END AS type_raw,
-               CASE p_partkey % 11 WHEN 0 THEN 'iceberg' WHEN 1 THEN 'parquet' WHEN 2 THEN 'orc'
+               CASE p_partkey % 11 WHEN 0 THEN 'lake' WHEN 1 THEN 'parquet' WHEN 2 THEN 'orc'
                                    WHEN 3 THEN 'avro' ELSE 'hive' END AS provider,
                CASE p_partkey % 4 WHEN 0 THEN 'ParquetHiveSerDe' WHEN 1 THEN 'OrcSerde'
                                   WHEN 2 THEN 'AvroSerDe' ELSE 'LazySimpleSerDe' END AS serde,
-               CASE p_partkey % 13 WHEN 0 THEN '[transactional=true]' WHEN 1 THEN '[table_type=ICEBERG]'
+               CASE p_partkey % 13 WHEN 0 THEN '[transactional=true]' WHEN 1 THEN '[table_type=LAKE]'
                                    WHEN 2 THEN '[TRANSLATED_TO_EXTERNAL=TRUE]' ELSE '[]' END AS table_properties,
                CASE p_partkey % 17 WHEN 0 THEN '8' WHEN 1 THEN '0' ELSE '' END AS num_buckets,
                CASE p_partkey % 19 WHEN 0 THEN 'smallint' WHEN 1 THEN 'char(3)' WHEN 2 THEN 'struct<a:smallint>'
