@@ -37,11 +37,11 @@ from relayout.llm.suffix_sort import earlier_equals
 WINDOW = 100
 GRAM = 24
 #: Contexts of one anchor that are sorted together.
-GROUP = 4000
+GROUP = 20_000
 #: Bytes of contexts that one suffix array covers, about.
 SORTED_BYTES = 1 << 20
-#: Ids of documents (8 bytes each) that may be broadcast.
-BROADCAST_IDS = 1_000_000
+#: Ids of documents (some 200 bytes each as a hash table) that may be broadcast.
+BROADCAST_IDS = 250_000
 #: Bytes of one text looked at in a round.
 SECTION = 1 << 21
 
@@ -68,23 +68,31 @@ def anchors(data: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> tu
         part = data[a : min(len(data), a + SECTION + window - 1)]
         n = len(part)
         up, down = arrow_text._powers(n + 1)
-        total = np.concatenate([[np.uint64(0)], np.cumsum(_VALUE[part] * up[:n], dtype=np.uint64)])
-        grams = mix((total[gram:] - total[:-gram]) * down[: n - gram + 1], 92)
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum(_VALUE[part] * up[:n], out=total[1:])
+        grams = total[gram:] - total[:-gram]
+        grams *= down[: n - gram + 1]
+        grams ^= grams >> np.uint64(29)
+        grams *= np.uint64(0x9FB21C651E98DF25)
+        grams ^= grams >> np.uint64(32)
         place = np.arange(len(grams), dtype=np.uint64)
-        least = _sliding_least((grams & np.uint64(0xFFFFFFFFFF000000)) | place, inside) & np.uint64(0xFFFFFF)
-        least = least.astype(np.int64)
-        start = np.arange(len(least))
-        text = np.searchsorted(offsets, start + a, "right") - 1
-        whole = start + a + window <= offsets[text + 1]
-        start, text, least = start[whole], text[whole], least[whole]
-        if not len(start):
+        least = _sliding_least((grams & np.uint64(0xFFFFFFFFFF000000)) | place, inside)
+        # a run of windows ends where the anchor changes, and where a text does
+        new = np.ones(len(least), bool)
+        np.not_equal(least[1:], least[:-1], out=new[1:])
+        new[offsets[np.searchsorted(offsets, a) : np.searchsorted(offsets, a + len(least))] - a] = True
+        first = np.flatnonzero(new)
+        last = np.concatenate([first[1:], [len(least)]]) - 1
+        text = np.searchsorted(offsets, first + a, "right") - 1
+        last = np.minimum(last, offsets[text + 1] - a - window)
+        kept = first <= last
+        first, last, text = first[kept], last[kept], text[kept]
+        if not len(first):
             continue
-        new = np.flatnonzero(np.concatenate([[True], (least[1:] != least[:-1]) | (text[1:] != text[:-1])]))
-        first, last = start[new], start[np.concatenate([new[1:], [len(start)]]) - 1]
-        anchor = least[new]
+        anchor = (least[first] & np.uint64(0xFFFFFF)).astype(np.int64)
         shape = ((anchor - first) << 8 | (last - first)).astype(np.uint64)
         context = mix(((total[last + window] - total[first]) * down[first]) ^ mix(shape, 93), 94)
-        found.append((text[new], grams[anchor], context, first + a - offsets[text[new]], last - first + 1))
+        found.append((text, grams[anchor], context, first + a - offsets[text], last - first + 1))
     if not found:
         return tuple(np.zeros(0, kind) for kind in (np.int64, np.uint64, np.uint64, np.int64, np.int64))
     return tuple(np.concatenate(column) for column in zip(*found))
@@ -95,7 +103,10 @@ def _text_hashes() -> list[Column]:
 
 
 def contexts(read: DataFrame, window: int, gram: int) -> DataFrame:
-    """anchor, context, t1, t2 (the text's hashes), at (first window), windows: of every distinct text of a task."""
+    """anchor, context, t1, t2 (the text's hashes), at (first window), windows and more: of each text of a task.
+
+    Equal contexts of a text are one row; ``more`` has the places of all but the first (null if it is the only one).
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
@@ -108,15 +119,30 @@ def contexts(read: DataFrame, window: int, gram: int) -> DataFrame:
                         seen.add(name)
                         new.append(i)
                 texts = part.column("text").take(pa.array(new, pa.int64()))
-                text, anchor, context, at, windows = anchors(*buffers(texts), window, gram)
-                row = np.array(new, np.int64)[text]
-                columns = [anchor.view(np.int64), context.view(np.int64), t1[row], t2[row], at, windows]
+                found = anchors(*buffers(texts), window, gram)
+                order = np.lexsort((found[3], found[2], found[1], found[0]))
+                text, anchor, context, at, windows = (column[order] for column in found)
+                if not len(text):
+                    continue
+                again = (text[1:] == text[:-1]) & (anchor[1:] == anchor[:-1]) & (context[1:] == context[:-1])
+                first = np.flatnonzero(np.concatenate([[True], ~again]))
+                times = np.diff(np.concatenate([first, [len(text)]]))
+                rest = np.ones(len(text), bool)
+                rest[first] = False
+                ends = np.concatenate([[0], np.cumsum(times - 1)]).astype(np.int32)
+                more = pa.ListArray.from_arrays(
+                    pa.array(ends), pa.array(at[rest]), mask=pa.array(times == 1)
+                )
+                row = np.array(new, np.int64)[text[first]]
+                columns = [anchor[first].view(np.int64), context[first].view(np.int64), t1[row], t2[row]]
+                columns += [at[first], windows[first]]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(column) for column in columns], ["anchor", "context", "t1", "t2", "at", "windows"]
+                    [*(pa.array(column) for column in columns), more],
+                    ["anchor", "context", "t1", "t2", "at", "windows", "more"],
                 )
 
     long = read.where(F.octet_length("text") >= window).select("text", *_text_hashes())
-    return long.mapInArrow(cut, "anchor long, context long, t1 long, t2 long, at long, windows long")
+    return long.mapInArrow(cut, "anchor long, context long, t1 long, t2 long, at long, windows long, more array<long>")
 
 
 def _sort_groups(window: int):
@@ -179,10 +205,15 @@ def repeats(read: DataFrame, first: DataFrame, window: int, gram: int) -> DataFr
     """t1, t2, first, last: runs of window starts that also start earlier. first: t1, t2, none, doc, id."""
     every = contexts(read, window, gram)
     place = F.xxhash64("t1", "t2", "at")
-    twice = every.groupBy("anchor").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b")
-    found = every.join(twice.select("anchor"), "anchor", "left_semi").distinct()
-    found = found.join(first.drop("id"), ["t1", "t2"])
+    seen = every.groupBy("anchor").agg(
+        F.min(place).alias("a"), F.max(place).alias("b"), F.count("more").alias("inside")
+    )
+    twice = seen.where("a <> b OR inside > 0").select("anchor")
+    # rows of equal texts from several tasks stay: they fall together below, and a hot anchor's join can be split
+    found = every.join(twice, "anchor", "left_semi").join(first.drop("id"), ["t1", "t2"])
     found = stored(found, "repeated-anchors")
+    within = found.select("t1", "t2", "windows", F.explode("more").alias("first"))
+    within = within.select("t1", "t2", "first", (F.col("first") + F.col("windows") - 1).alias("last"))
 
     key = ["none", "doc", "t1", "t2", "at"]
     lead = found.groupBy("anchor", "context").agg(F.min(F.struct(*key)).alias("lead"), F.first("windows").alias("w"))
@@ -225,7 +256,7 @@ def repeats(read: DataFrame, first: DataFrame, window: int, gram: int) -> DataFr
     cuts = stored(taken.mapInArrow(cut, schema), "differing-contexts")
     small = cuts.where(F.col("n") <= GROUP).repartition("anchor").sortWithinPartitions("anchor")
     by_sorting = small.mapInArrow(_sort_groups(window), "t1 long, t2 long, first long, last long")
-    return later.unionByName(by_sorting).unionByName(_by_hash(cuts.where(F.col("n") > GROUP), window))
+    return later.unionByName(within).unionByName(by_sorting).unionByName(_by_hash(cuts.where(F.col("n") > GROUP), window))
 
 
 def _by_hash(cuts: DataFrame, window: int) -> DataFrame:
