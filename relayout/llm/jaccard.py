@@ -15,7 +15,9 @@ meetings is compared with all others, then the next ones, four times as many eac
 nodes of other components. After the first round a pair is left out, too, if it must differ by too much: by
 the shingles that only one of them has in the corpus, and by their differences to the hub, already counted. So a
 group of copies costs a line, not a square, and yet no pair is left out unless its nodes are already connected or
-cannot link. Exact intersection of the sets decides each pair.
+cannot link. Before sets are fetched, parities sort out pairs: a set's parities say of some bits whether an even or odd
+number of its shingles hash there, so each differing bit is a shingle that the two sets do not share. Exact
+intersection of the sets decides the rest.
 
 Defined cases. Null and empty texts, and texts without words: empty set, linked with nothing, their own component.
 Fewer words than a shingle: the whole sequence is the one shingle. Repeated rows: equal sets, linked. Rows of one id
@@ -26,21 +28,23 @@ component of null ids alone has a null id. No rows: no rows. Other columns are i
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from relayout.llm.arrow_text import buffers, mix, shingle_sets, slices, word_hashes
 from relayout.llm.components import contract
 from relayout.llm.shared import prepare, stored
 
-#: Ids of candidate documents that may be broadcast, 8 bytes each.
-BROADCAST_IDS = 1_000_000
+#: Ids of candidate documents (some 200 bytes each as a hash table) that may be broadcast.
+BROADCAST_IDS = 250_000
 #: Chance that a shingle of one text lies in another, unrelated one; for the cost of chance meetings only.
 SHARED = 0.05
+#: Index rows that a pair which meets by chance costs as much as, most of them being sorted out by parities.
+PAIR_ROWS = 4
 
 
 class Bands:
@@ -67,7 +71,7 @@ class Bands:
         need = self.differ(high) + 1
         best = (math.inf, (need, 0, 0))
         for near in sorted({0, 1, 2, need // 4, (need + 1) // 2}):
-            for skip in (0, 1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48):
+            for skip in sorted({0, 1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, need // 8, need // 4}):
                 exact = need + skip - 2 * near
                 if exact < skip or exact + near < 1:
                     continue
@@ -75,13 +79,16 @@ class Bands:
                 load = size / segments
                 rows = exact - skip + near * (1 + load)
                 meet, light, before = 0.0, 0.0, 0.0
+                chances = [math.exp(-load + c * math.log(max(load, 1e-9)) - math.lgamma(c + 1)) for c in range(9)]
                 for c in range(8):
-                    chance = math.exp(-load + c * math.log(max(load, 1e-9)) - math.lgamma(c + 1))
-                    light += exact * chance
+                    light += exact * chances[c]
                     left = _beyond(light, skip)
-                    meet += ((left - before) + near * chance * (1 + c)) * chance * SHARED**c
+                    meet += (left - before) * chances[c] * SHARED**c
                     before = left
-                cost = rows + (1 + size / 16) * sets * meet
+                    # a near segment meets others of its size, one less or one more, through any deletion
+                    others = sum(chances[max(0, c - 1) : c + 2])
+                    meet += near * chances[c] * others * (1 + c) ** 2 * SHARED ** max(0, c - 1)
+                cost = rows + PAIR_ROWS * sets * meet
                 best = min(best, (cost, (exact, near, skip)))
         return best[1]
 
@@ -112,6 +119,35 @@ def _names(key: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out[0].view(np.int64), out[1].view(np.int64)
 
 
+def parities(key: np.ndarray, first: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """For each set a row of 64-bit words: whether an even or odd number of its shingles hash to each bit."""
+    n = np.diff(first)
+    base = np.concatenate([[0], np.cumsum(words)])
+    owner = np.repeat(np.arange(len(n)), n)
+    bit = mix(key, 61)
+    word = base[owner] + ((bit >> np.uint64(6)) & (words[owner] - 1).astype(np.uint64)).astype(np.int64)
+    odd = np.bincount(word * 64 + (bit & np.uint64(63)).astype(np.int64), minlength=int(base[-1]) * 64) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def parity_words(number: np.ndarray, bands: Bands) -> np.ndarray:
+    """Words of a set's parities: a power of two, eight bits for each shingle that a similar set may differ by."""
+    differ = np.maximum(1, number * (bands.den - bands.num) // bands.num)
+    return (1 << np.ceil(np.log2(np.maximum(1, differ / 8))).astype(np.int64)).astype(np.int64)
+
+
+def differ_at_least(x: Column, y: Column) -> Column:
+    """Shingles that two sets must differ by, from their parities: each one changes one bit."""
+    width = F.least(F.size(x), F.size(y))
+
+    def folded(a: Column, i: Column) -> Column:
+        places = F.sequence(i, F.size(a) - 1, width)
+        return F.aggregate(places, F.lit(0).cast("long"), lambda t, j: t.bitwiseXOR(F.get(a, j)))
+
+    words = F.sequence(F.lit(0), width - 1)
+    return F.aggregate(words, F.lit(0), lambda t, i: t + F.bit_count(folded(x, i).bitwiseXOR(folded(y, i))))
+
+
 def signatures(key: np.ndarray, text: np.ndarray, texts: int, plan: np.ndarray, salt: np.ndarray):
     """Signatures of sets under a plan: (signature, text) arrays. plan: exact, near, skip of each text."""
     exact, near, skip = plan.T
@@ -142,20 +178,23 @@ def signatures(key: np.ndarray, text: np.ndarray, texts: int, plan: np.ndarray,
     )
 
 
-def text_sets(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, content, sid, chk (two hashes of the set) and n (its size) of every row."""
+def text_sets(docs: DataFrame, size: int, bands: Bands) -> DataFrame:
+    """doc_id, content, sid, chk (two hashes of the set), n (its size) and parities of every row."""
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 key, first = _sets(part, size)
                 sid, chk = _names(key, first)
+                words = parity_words(np.diff(first), bands)
+                ends = pa.array(np.concatenate([[0], np.cumsum(words)]).astype(np.int32))
+                odd = pa.ListArray.from_arrays(ends, pa.array(parities(key, first, words)))
                 columns = [part.column("doc_id"), part.column("content"), *map(pa.array, (sid, chk, np.diff(first)))]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "content", "sid", "chk", "n"])
+                yield pa.RecordBatch.from_arrays([*columns, odd], ["doc_id", "content", "sid", "chk", "n", "odd"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("content"))
-    return docs.mapInArrow(name, f"doc_id {kind}, content long, sid long, chk long, n long")
+    return docs.mapInArrow(name, f"doc_id {kind}, content long, sid long, chk long, n long, odd array<long>")
 
 
 def segment_index(docs: DataFrame, size: int, bands: Bands, plans: dict[int, tuple[int, int, int]]) -> DataFrame:
@@ -215,13 +254,13 @@ def linked_components(
     spark = docs.sparkSession
     prepare(spark)
     read = docs.select(F.col(id_column).alias("doc_id"), F.col(text).alias("text"))
-    named = stored(text_sets(read, size), "sets").withColumn("node", _node())
+    bands = Bands(num, den)
+    named = stored(text_sets(read, size, bands), "sets").withColumn("node", _node())
     reps = named.where("n > 0").groupBy("node").agg(
-        F.first("sid").alias("sid"), F.first("n").alias("n"), F.min("doc_id").alias("rep")
+        F.first("sid").alias("sid"), F.first("n").alias("n"), F.min("doc_id").alias("rep"), F.first("odd").alias("odd")
     )
     reps = stored(reps, "nodes")
 
-    bands = Bands(num, den)
     largest = reps.agg(F.max("n")).first()[0] or 0
     bounds = bands.bounds(largest)
     band = F.array_position(F.transform(_literal([hi for _, hi in bounds]), lambda hi: F.col("n") <= hi), True)
@@ -243,9 +282,12 @@ def linked_components(
     ranked = groups.join(degree, "node").withColumn("rank", F.row_number().over(order))
     ranked = stored(ranked.select("sig", "node", "n", "rank"), "ranked")
 
-    sets = stored(candidate_sets(read, ranked, reps, size), "candidate-sets")
     labels = stored(degree.select("node", F.col("node").alias("comp")), "labels")
-    labels = _connect(ranked, sets, labels, num, den)
+
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        return stored(candidate_sets(read, nodes, reps, size), "candidate-sets")
+
+    labels = _connect(ranked, sets_of, reps.select("node", "odd"), labels, num, den)
 
     least = labels.join(reps.select("node", "rep"), "node")
     comp = least.groupBy("comp").agg(F.min("rep").alias("component"))
@@ -288,20 +330,23 @@ def _literal(numbers: list[int]):
     return F.array(*[F.lit(number).cast("long") for number in numbers]).cast("array<long>")
 
 
-def candidate_sets(read: DataFrame, ranked: DataFrame, reps: DataFrame, size: int) -> DataFrame:
-    """node, keys of every node that meets another."""
-    wanted = ranked.select("node").distinct().join(reps.select("node", "rep"), "node")
+def candidate_sets(read: DataFrame, nodes: DataFrame, reps: DataFrame, size: int) -> DataFrame:
+    """node, keys of some nodes."""
+    wanted = nodes.select("node").distinct().join(reps.select("node", "rep"), "node")
     ids = _bounded(wanted.select(F.col("rep").alias("wanted_id")).distinct())
     texts = read.join(ids, read["doc_id"].eqNullSafe(ids["wanted_id"]), "left_semi")
     found = set_rows(texts, size).select(_node().alias("node"), "keys")
     return found.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
-def _connect(ranked: DataFrame, sets: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame:
+def _connect(
+    ranked: DataFrame, sets_of: Callable[[DataFrame], DataFrame], parity: DataFrame, labels: DataFrame,
+    num: int, den: int,
+) -> DataFrame:
     """The labels (node, comp) after all pairs that meet, and can be similar, were compared or are connected."""
     unknown = F.lit(None).cast("long")
     members = ranked.select("*", F.lit(0).cast("long").alias("alone"), unknown.alias("more"), unknown.alias("fewer"))
-    done = None
+    sets = done = None
     low, high = 1, 1
     while True:
         here = members.join(labels, "node")
@@ -312,6 +357,7 @@ def _connect(ranked: DataFrame, sets: DataFrame, labels: DataFrame, num: int, de
         if live.isEmpty():
             return labels
         if low == 2:
+            sets = sets_of(live)  # all pairs of later rounds are among these
             # more shingles of its own than any link allows: nothing left to compare
             bounded = _bounds(live, ranked, sets, done).where(F.col("alone") * num <= F.col("n") * (den - num))
             live = stored(bounded, "bounded")
@@ -319,7 +365,13 @@ def _connect(ranked: DataFrame, sets: DataFrame, labels: DataFrame, num: int, de
         pairs = _pairs(live, low, high, num, den)
         if done is not None:
             pairs = pairs.join(done, ["x", "y"], "left_anti")
-        pairs = stored(pairs, "pairs")
+        # most pairs that met by chance go by their parities, before any set is fetched
+        sized = pairs.join(parity.toDF("x", "odd_x"), "x").join(parity.toDF("y", "odd_y"), "y")
+        allowed = (F.col("n") + F.col("hub_n")) * (den - num)
+        near = sized.where(differ_at_least(F.col("odd_x"), F.col("odd_y")) * (den + num) <= allowed)
+        pairs = stored(near.select("x", "y"), "pairs")
+        if low == 1:
+            sets = sets_of(pairs.select(F.explode(F.array("x", "y")).alias("node")))
         both = pairs.join(sets.toDF("x", "keys_x"), "x").join(sets.toDF("y", "keys_y"), "y")
         common = F.size(F.array_intersect("keys_x", "keys_y")).cast("long")
         either = F.size("keys_x") + F.size("keys_y")
@@ -332,7 +384,7 @@ def _connect(ranked: DataFrame, sets: DataFrame, labels: DataFrame, num: int, de
 
 
 def _pairs(live: DataFrame, low: int, high: int, num: int, den: int) -> DataFrame:
-    """x, y: the hubs of these ranks with all later members of their groups that lie apart and can be similar.
+    """x, y and both sizes: the hubs of these ranks with all later members of their groups that lie apart and can be similar.
 
     Two sets differ at least by the shingles that no other has, and, where both were compared with the group's
     first hub, by what one has more or less over the hub than the other.
@@ -349,7 +401,9 @@ def _pairs(live: DataFrame, low: int, high: int, num: int, den: int) -> DataFram
         & (small * den >= large * num)
         & (least * (den + num) <= (F.col("n") + F.col("hub_n")) * (den - num))
     )
-    return pairs.select(F.least("node", "hub_node").alias("x"), F.greatest("node", "hub_node").alias("y")).distinct()
+    return pairs.groupBy(F.least("node", "hub_node").alias("x"), F.greatest("node", "hub_node").alias("y")).agg(
+        F.first("n").alias("n"), F.first("hub_n").alias("hub_n")
+    )
 
 
 def _bounds(live: DataFrame, ranked: DataFrame, sets: DataFrame, compared: DataFrame) -> DataFrame:
