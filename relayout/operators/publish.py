@@ -176,7 +176,7 @@ def undo_swap(spark: SparkSession, source: str, legacy: str, failed: str) -> Non
         raise
 
 
-def _copied_properties(spark: SparkSession, source: str, target: str) -> None:
+def copied_properties(spark: SparkSession, source: str, target: str) -> None:
     """Give ``target`` the properties and comment of ``source``, which CREATE TABLE LIKE leaves out."""
     described = json.loads(spark.sql(f"DESCRIBE EXTENDED {quoted_table(source)} AS JSON").first()[0])
     kept = {
@@ -184,11 +184,11 @@ def _copied_properties(spark: SparkSession, source: str, target: str) -> None:
         for name, value in described.get("table_properties", {}).items()
         if name not in _OWN_PROPERTIES and not name.startswith("spark.sql.")
     }
+    if described.get("comment"):
+        kept["comment"] = described["comment"]  # unlike COMMENT ON, this keeps declared CHAR types
     if kept:
         listed = ", ".join(f"{text(name)} = {text(value)}" for name, value in kept.items())
         spark.sql(f"ALTER TABLE {quoted_table(target)} SET TBLPROPERTIES ({listed})")
-    if described.get("comment"):
-        spark.sql(f"COMMENT ON TABLE {quoted_table(target)} IS {text(described['comment'])}")
 
 
 def text(value: str) -> str:
@@ -210,7 +210,7 @@ def share_files(spark: SparkSession, source: str, target: str, fmt: str = "") ->
         f" LOCATION {text(described['location'])}"
     )
     try:
-        _copied_properties(spark, source, target)
+        copied_properties(spark, source, target)
         if described["partitions"]:
             places = list(partition_locations(spark, source).items())
             for start in range(0, len(places), _PARTITIONS_PER_CALL):

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Iterator, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
@@ -14,7 +13,7 @@ from pyspark.sql import functions as F
 
 from relayout.functions.canonical import column
 from relayout.functions.layout import layout_columns
-from relayout.functions.naming import COMPACTED_SUFFIX
+from relayout.functions.naming import COMPACTED_SUFFIX, quoted_table
 from relayout.session import sql_settings
 from relayout.sources.catalog import describe_table, table_exists
 
@@ -146,39 +145,50 @@ def scattered(files: DataFrame, target_file_bytes: int) -> DataFrame:
     return files.where(F.col("files") >= 2 * needed)
 
 
-def compact_files(
-    spark: SparkSession, table: str, target_file_bytes: int = TARGET_FILE_BYTES, jobs: int = 4
-) -> tuple[str, list[Row], int]:
-    """Write the rows of scattered partitions into files of the target size, beside the table.
-
-    Returns the new folder, the partitions (one empty row for a table without) and how many bytes they
-    held; nothing is switched yet. Other partitions are not read. Each task packs files of one partition
-    into a new one, so nothing is shuffled and a hot partition is just more tasks. Jobs of some
-    partitions each run side by side.
-    """
+def packable(spark: SparkSession, table: str) -> dict:
+    """The table's description, if its files can be packed."""
     described = describe_table(spark, table)
     if described["provider"].lower() not in FILE_FORMATS:
         raise ValueError(f"{table} is stored as {described['provider']}: only {', '.join(FILE_FORMATS)} are compacted")
     if described["num_buckets"] not in ("", "0", "None"):
         raise ValueError(f"{table} is bucketed: packing its files would break the buckets")
+    return described
+
+
+def pack_partitions(
+    spark: SparkSession, table: str, parts: Sequence[Row], folder: str, target_file_bytes: int, jobs: int = 4
+) -> None:
+    """Write the rows of some partitions into files of the target size below a new folder.
+
+    Other partitions are not read. Each task packs files of one partition into a new one, so nothing is
+    shuffled and a hot partition is just more tasks. Jobs of some partitions each run side by side.
+    """
+    described = packable(spark, table)
     keys = described["partitions"]
-    chosen = scattered(stored_files(spark, table, keys), target_file_bytes).collect()
-    if not chosen:
-        return "", [], 0
-    folder = f"{described['location'].rstrip('/')}{COMPACTED_SUFFIX}/{uuid.uuid4().hex[:12]}"
-    size = sum(row["bytes"] for row in chosen)
-    settings = _write_settings(target_file_bytes)
-    settings |= _packing_settings(0 if keys else size, target_file_bytes)
-    rows = spark.table(table)
-    parts = [Row(**{name: row[name] for name in keys}) for row in chosen]
 
     def write(batch: DataFrame) -> None:
         writer = batch.write.mode("append").format(described["provider"]).option("compression", COMPRESSION)
-        (writer.partitionBy(*keys) if keys else writer).save(folder)
+        writer.partitionBy(*keys).save(folder)
 
+    settings = _write_settings(target_file_bytes) | _packing_settings(0, target_file_bytes)
     with sql_settings(spark, settings), ThreadPoolExecutor(jobs) as pool:
-        list(pool.map(write, partition_batches(rows, keys, parts) if keys else [rows]))
-    return folder, parts, size
+        list(pool.map(write, partition_batches(spark.table(table), keys, parts)))
+
+
+def packed_copy(spark: SparkSession, table: str, copy: str, size: int, target_file_bytes: int) -> None:
+    """Fill a new table like ``table``, which has no partitions, with its rows in files of the target size.
+
+    The copy keeps declared types; an external table's copy lies beside it.
+    """
+    described = packable(spark, table)
+    beside = ""
+    if "EXTERNAL" in described["type_raw"].upper():
+        place = f"{described['location'].rstrip('/')}{COMPACTED_SUFFIX}/{copy}".replace("'", "\\'")
+        beside = f" LOCATION '{place}'"
+    spark.sql(f"CREATE TABLE {quoted_table(copy)} LIKE {quoted_table(table)}{beside}")
+    settings = _write_settings(target_file_bytes) | _packing_settings(size, target_file_bytes)
+    with sql_settings(spark, settings):
+        spark.table(table).write.insertInto(copy)
 
 
 def partition_batches(

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from relayout.functions import naming as N
@@ -19,9 +19,13 @@ from relayout.operators import publish as P
 from relayout.operators.compare import WIDE_TABLES, validate
 from relayout.operators.rewrite import (
     TARGET_FILE_BYTES,
-    compact_files,
+    pack_partitions,
+    packable,
+    packed_copy,
     rewrite_table,
     rows_out_of_sight,
+    scattered,
+    stored_files,
 )
 from relayout.session import sql_settings
 from relayout.sources.catalog import describe_table
@@ -306,36 +310,56 @@ def compact_table(
 ) -> dict:
     """Pack the files of a table's scattered partitions, prove the new ones equal, and switch to them.
 
-    The table itself stays: its properties, comment and other partitions are untouched, and only the
-    catalogue's location of a packed partition (or of a table without partitions) changes. Files it
-    replaces are kept where they were, for a way back; the journal says where. A run that stops half-way
-    leaves every partition with either its old or its proved new files, and can be repeated.
+    Of a partitioned table only the catalogue's location of each packed partition changes; its other
+    partitions, properties and comment are untouched. A table without partitions is swapped for a packed
+    copy with the same properties and comment. Old files are kept for a way back; the journal says where.
+    A run that stops half-way leaves every partition with either its old or its proved new files. It can be
+    repeated, and finds nothing to do where files are good.
     """
-    keys = describe_table(spark, table)["partitions"]
-    folder, parts, size = compact_files(spark, table, target_file_bytes)
-    if not parts:
+    keys = packable(spark, table)["partitions"]
+    chosen = scattered(stored_files(spark, table, keys), target_file_bytes).collect()
+    size = sum(row["bytes"] for row in chosen)
+    found = {"compacted": len(chosen), "bytes": size}
+    if not chosen:
         record("NOTHING_TO_COMPACT")
-        return {"ok": True, "compacted": 0, "bytes": 0, "folder": "", "details": []}
-    whole = spark.table(table)
-    packed = spark.read.schema(whole.schema).format(describe_table(spark, table)["provider"]).load(folder)
-    packed = packed.select(*map(column, whole.columns))
+        return {"ok": True, "details": [], **found}
+    name = uuid.uuid4().hex[:12]
     if keys:
-        listed = spark.createDataFrame(parts, whole.select(*map(column, keys)).schema)
-        whole = _in_partitions(whole, listed, keys)
+        parts = [Row(**{key: row[key] for key in keys}) for row in chosen]
+        return _compact_partitions(spark, table, parts, name, target_file_bytes, max_partitions, record) | found
+    copy = f"{table}{N.COMPACTED_SUFFIX}_{name}"
+    packed_copy(spark, table, copy, size, target_file_bytes)
+    P.copied_properties(spark, table, copy)
+    verdict = validate_tables(spark, table, copy)
+    if not verdict["ok"]:
+        raise RuntimeError(f"{'; '.join(verdict['details'])}; the packed copy is kept as {copy}")
+    P.swap(spark, table, copy, f"{table}{N.UNCOMPACTED_SUFFIX}_{name}", record)
+    return verdict | found
+
+
+def _compact_partitions(
+    spark: SparkSession, table: str, parts: list[Row], name: str, target_file_bytes: int,
+    max_partitions: int | None, record: P.Record,
+) -> dict:
+    described = describe_table(spark, table)
+    keys = described["partitions"]
+    folder = f"{described['location'].rstrip('/')}{N.COMPACTED_SUFFIX}/{name}"
+    pack_partitions(spark, table, parts, folder, target_file_bytes)
+    whole = spark.table(table)
+    packed = spark.read.schema(whole.schema).format(described["provider"]).load(folder)
+    listed = spark.createDataFrame(parts, whole.select(*map(column, keys)).schema)
     with sql_settings(spark, WIDE_TABLES):
-        verdict = validate(whole, packed, keys, max_partitions).first().asDict()
+        verdict = validate(
+            _in_partitions(whole, listed, keys), packed.select(*map(column, whole.columns)), keys, max_partitions
+        )
+        verdict = verdict.first().asDict()
     if not verdict["ok"]:
         raise RuntimeError(f"{'; '.join(verdict['details'])}; packed files kept in {folder}")
     record("COMPACTION_VALIDATED", folder=folder, partitions=len(parts))
-    if keys:
-        for part in parts:
-            before = P.switch_partition(spark, table, part, folder)
-            record("PARTITION_COMPACTED", was=before, now=folder)
-    else:
-        before = describe_table(spark, table)["location"]
-        spark.sql(f"ALTER TABLE {N.quoted_table(table)} SET LOCATION {P.text(folder)}")
-        record("TABLE_COMPACTED", was=before, now=folder)
-    return verdict | {"compacted": len(parts), "bytes": size, "folder": folder}
+    for part in parts:
+        before = P.switch_partition(spark, table, part, folder)
+        record("PARTITION_COMPACTED", was=before, now=folder)
+    return verdict
 
 
 def _in_partitions(df: DataFrame, listed: DataFrame, keys: Sequence[str]) -> DataFrame:
