@@ -74,9 +74,11 @@ def order_maps(value: str, dtype: T.DataType, depth: int = 0) -> str:
         return value
     item = f"x{depth}"
     if isinstance(dtype, T.MapType):
-        inner = order_maps(f"{value}[{item}]", dtype.valueType, depth + 1)
-        entry = f"struct({item} AS key, {inner} AS value)"
-        return f"transform(array_sort(map_keys({value})), {item} -> {entry})"
+        inner = order_maps(f"{item}.value", dtype.valueType, depth + 1)
+        left, right = f"l{depth}", f"r{depth}"
+        order = f"CASE WHEN {left}.key < {right}.key THEN -1 WHEN {left}.key > {right}.key THEN 1 ELSE 0 END"
+        entries = f"array_sort(map_entries({value}), ({left}, {right}) -> {order})"
+        return f"transform({entries}, {item} -> struct({item}.key AS key, {inner} AS value))"
     if isinstance(dtype, T.ArrayType):
         return f"transform({value}, {item} -> {order_maps(item, dtype.elementType, depth + 1)})"
     members = [

@@ -57,12 +57,28 @@ class Assessment:
     summary: DataFrame
     strategies: DataFrame
     plan: DataFrame
+    gib_per_hour: float = A.REWRITE_GIB_PER_HOUR
+
+    def limits(self) -> list[str]:
+        """What the report does not know."""
+        return [
+            "read from the catalogue and the file system; no table was read or changed",
+            f"hours assume {self.gib_per_hour:g} GiB rewritten an hour, which was not measured here",
+            "sizes are those of the files at the time of the listing",
+            "writers, readers, grants and the text of views were not looked at",
+        ]
 
     def write(self, folder: str, databases: str = "") -> None:
-        """The report as JSON below ``folder``, and the plan as CSV."""
+        """The report as JSON below ``folder``, with its scope and limits, and the plan as CSV."""
         stamped = self.summary.selectExpr(
             f"{ASSESSMENT_VERSION} AS assessment_version", "current_timestamp() AS generated_at", "*"
-        ).withColumn("databases", F.lit(databases))
+        ).withColumns(
+            {
+                "databases": F.lit(databases),
+                "scope": F.lit("read-only assessment of whole databases"),
+                "limits": F.array(*map(F.lit, self.limits())),
+            }
+        )
         stamped.write.mode("errorifexists").json(f"{folder}/summary")
         self.tables.write.mode("errorifexists").json(f"{folder}/tables")
         self.strategies.write.mode("errorifexists").json(f"{folder}/strategies")
@@ -86,6 +102,7 @@ def assess_plan(
         summary=A.summary(scored, gib_per_hour),
         strategies=A.strategy_counts(plan),
         plan=plan_fields(sized),
+        gib_per_hour=gib_per_hour,
     )
 
 

@@ -113,6 +113,16 @@ def partition_truncate(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def partition_buckets(spark: SparkSession, sf: str) -> DataFrame:
+    """A key always falls into the same bucket, and all buckets are in use."""
+    lines, names, _ = with_layout(load(spark, sf, "lineitem"), ["bucket(16,l_partkey)"])
+    pairs = lines.groupBy("l_partkey", F.col(names[0]).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    return pairs.agg(
+        F.count(F.lit(1)).alias("n_pairs"), F.sum("n").alias("n_rows"), F.countDistinct("bucket").alias("n_buckets"),
+        F.min("bucket").alias("first"), F.max("bucket").alias("last"),
+    )
+
+
 def journal_latest(spark: SparkSession, sf: str) -> DataFrame:
     return latest_state(load(spark, sf, "journal").withColumnRenamed("table_name", "table"))
 
@@ -136,6 +146,7 @@ QUERIES = {
     "cast_unknown": cast_unknown,
     "partition_transforms": partition_transforms,
     "partition_truncate": partition_truncate,
+    "partition_buckets": partition_buckets,
     "journal_latest": journal_latest,
     "run_summary": run_summary,
 }
@@ -219,6 +230,10 @@ _ORACLE = {
         SELECT substr(p_name, 1, 4) AS prefix, p_partkey - p_partkey % 100 AS hundred, count(*) AS n,
             true AS buckets_in_range
         FROM {part} GROUP BY 1, 2""",
+    "partition_buckets": """
+        SELECT count(DISTINCT l_partkey) AS n_pairs, count(*) AS n_rows, CAST(16 AS BIGINT) AS n_buckets,
+            0 AS first, 15 AS last
+        FROM {lineitem}""",
     "journal_latest": """
         SELECT run_id, table_name AS "table", max(seq) AS seq, arg_max(state, seq) AS state
         FROM {journal} GROUP BY 1, 2 ORDER BY 1, 2""",
