@@ -129,8 +129,78 @@ FROM k LEFT JOIN per USING (r)
 """
 
 
+JACCARD = rf"""
+WITH RECURSIVE d AS (
+    SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'),
+                                                  '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+s AS MATERIALIZED (
+    SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS s
+    FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+shared AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common
+    FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS MATERIALIZED (
+    SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+    WHERE 100 * common >= 90 * (x.n + y.n - common)),
+both_ways AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (
+    SELECT doc_id AS a, doc_id AS b FROM documents
+    UNION SELECT reach.a, both_ways.b FROM reach JOIN both_ways ON reach.b = both_ways.a),
+component AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id
+FROM documents JOIN component USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
+
+_NIBBLE = "(instr('0123456789abcdef', substr(sha1(coalesce(html, '')), CAST({0} AS BIGINT), 1)) - 1)"
+_BASE32 = (
+    "array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((("
+    + _NIBBLE.format("5 * i // 4 + 1") + " * 16 + " + _NIBBLE.format("5 * i // 4 + 2")
+    + ") >> CAST(3 - 5 * i % 4 AS INTEGER)) & 31 AS BIGINT) + 1, 1)), '')"
+)
+
+WARC = f"""
+WITH p AS (
+    SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, {_BASE32} AS payload_digest,
+           min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first
+    FROM pages)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM p
+"""
+
+SUFFIX = """
+WITH d AS (
+    SELECT doc_id, strlen(coalesce(text, '')) AS n_bytes, hex(coalesce(text, '')) AS h FROM documents),
+w AS (
+    SELECT doc_id, i, hash(substr(h, 2 * i + 1, 200)) AS k
+    FROM (SELECT doc_id, h, unnest(range(n_bytes - 99)) AS i FROM d WHERE n_bytes >= 100)),
+later AS (
+    SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS r FROM w)
+    WHERE r > 1),
+marked AS (
+    SELECT doc_id, i, i > coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), -1000) + 100 AS new FROM later),
+numbered AS (SELECT doc_id, i, count(*) FILTER (new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM marked),
+runs AS (SELECT doc_id, run, min(i) AS a, max(i) + 100 AS b FROM numbered GROUP BY doc_id, run),
+edges AS (
+    SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM runs
+    UNION ALL SELECT doc_id, n_bytes, n_bytes, coalesce(max(b), 0) FROM d LEFT JOIN runs USING (doc_id)
+    GROUP BY doc_id, n_bytes),
+kept AS (
+    SELECT doc_id, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a, b) AS h,
+           sum(b - a) AS n_removed, count(*) - 1 AS n_spans
+    FROM edges JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n_bytes, CAST(n_removed AS BIGINT) AS n_removed, n_spans, sha256(unhex(kept.h)) AS kept_sha256
+FROM d JOIN kept USING (doc_id)
+"""
+
+
 SQL = {
+    "op2_jaccard_join": JACCARD,
     "op4_decontamination": DECONTAMINATION,
     "op5_quality_rules": _quality(),
     "op7_secret_scan": _secrets(),
+    "op8_warc": WARC,
+    "op10_suffix_dedup": SUFFIX,
 }

@@ -22,7 +22,7 @@ def test_given_tables(spark, duck, name):
     assert plain(tuple(row) for row in df.select(columns).collect()) == plain(want)
 
 
-@pytest.mark.parametrize("name", sorted(SQL))
+@pytest.mark.parametrize("name", ["op4_decontamination", "op5_quality_rules", "op7_secret_scan"])
 @pytest.mark.parametrize("which", ["odd", "empty"])
 def test_odd_rows(spark, frame, odd_texts, tmp_path, name, which):
     items = [(1, "one id " * 10), (2, None), (None, "the same words in the same row"), (4, ""), (5, "word"), (5, "word")]
