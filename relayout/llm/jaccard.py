@@ -45,6 +45,8 @@ BROADCAST_IDS = 250_000
 SHARED = 0.05
 #: Index rows that a pair which meets by chance costs as much as, most of them being sorted out by parities.
 PAIR_ROWS = 4
+#: Members beyond which a group's pairs are bounded before they are made.
+LARGE_GROUP = 32
 
 
 class Bands:
@@ -131,9 +133,9 @@ def parities(key: np.ndarray, first: np.ndarray, words: np.ndarray) -> np.ndarra
 
 
 def parity_words(number: np.ndarray, bands: Bands) -> np.ndarray:
-    """Words of a set's parities: a power of two, eight bits for each shingle that a similar set may differ by."""
+    """Words of a set's parities: a power of two, three bits at least for each shingle that a similar set may lack."""
     differ = np.maximum(1, number * (bands.den - bands.num) // bands.num)
-    return (1 << np.ceil(np.log2(np.maximum(1, differ / 8))).astype(np.int64)).astype(np.int64)
+    return (1 << np.ceil(np.log2(np.maximum(1, differ / 20))).astype(np.int64)).astype(np.int64)
 
 
 def differ_at_least(x: Column, y: Column) -> Column:
@@ -271,23 +273,34 @@ def linked_components(
         known = stats.get(i + 1)
         plans[high] = bands.allocate(known["size"] if known else low, high, known["sets"] if known else 1)
 
+    same = Window.partitionBy("sig")
     index = segment_index(read, size, bands, plans)
-    shared = index.withColumn("meets", F.count(F.lit(1)).over(Window.partitionBy("sig"))).where("meets > 1")
-    groups = shared.select("sig", "sid").distinct().join(reps.select("sid", "node", "n"), "sid")
-    groups = groups.select("sig", "node", "n")
-    groups = groups.withColumn("meets", F.count(F.lit(1)).over(Window.partitionBy("sig"))).where("meets > 1")
-    groups = stored(groups, "meetings")
+    shared = index.withColumns(
+        {"meets": F.count(F.lit(1)).over(same), "lo": F.min("sid").over(same), "hi": F.max("sid").over(same)}
+    )
+    shared = stored(shared.where("lo < hi"), "meetings")
+    named_nodes = reps.select("sid", "node", "n")
+    # most segments that meet at all join two sets: pairs already. The rest are groups
+    two = shared.where("meets = 2 AND sid = lo").select("lo", "hi").distinct()
+    two = two.join(named_nodes.toDF("lo", "x", "n"), "lo").join(named_nodes.toDF("hi", "y", "hub_n"), "hi")
+    two = two.where(F.least("n", "hub_n") * den >= F.greatest("n", "hub_n") * num)
+    two = stored(
+        two.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "n", "hub_n"), "met-once"
+    )
+    groups = shared.where("meets > 2").select("sig", "sid").distinct().join(named_nodes, "sid")
+    groups = stored(groups.select("sig", "node", "n"), "groups")
     order = Window.partitionBy("sig").orderBy(F.desc("degree"), "node")
     degree = groups.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
     ranked = groups.join(degree, "node").withColumn("rank", F.row_number().over(order))
     ranked = stored(ranked.select("sig", "node", "n", "rank"), "ranked")
 
-    labels = stored(degree.select("node", F.col("node").alias("comp")), "labels")
+    nodes = degree.select("node").unionByName(two.select(F.explode(F.array("x", "y")).alias("node"))).distinct()
+    labels = stored(nodes.select("node", F.col("node").alias("comp")), "labels")
 
     def sets_of(nodes: DataFrame) -> DataFrame:
         return stored(candidate_sets(read, nodes, reps, size), "candidate-sets")
 
-    labels = _connect(ranked, sets_of, reps.select("node", "odd"), labels, num, den)
+    labels = _connect(ranked, two, sets_of, reps.select("node", "odd"), labels, num, den)
 
     least = labels.join(reps.select("node", "rep"), "node")
     comp = least.groupBy("comp").agg(F.min("rep").alias("component"))
@@ -340,46 +353,50 @@ def candidate_sets(read: DataFrame, nodes: DataFrame, reps: DataFrame, size: int
 
 
 def _connect(
-    ranked: DataFrame, sets_of: Callable[[DataFrame], DataFrame], parity: DataFrame, labels: DataFrame,
-    num: int, den: int,
+    ranked: DataFrame, two: DataFrame, sets_of: Callable[[DataFrame], DataFrame], parity: DataFrame,
+    labels: DataFrame, num: int, den: int,
 ) -> DataFrame:
-    """The labels (node, comp) after all pairs that meet, and can be similar, were compared or are connected."""
+    """The labels (node, comp) after all pairs that meet, and can be similar, were compared or are connected.
+
+    ranked: members of groups; two: pairs that meet where nobody else does.
+    """
     unknown = F.lit(None).cast("long")
     members = ranked.select("*", F.lit(0).cast("long").alias("alone"), unknown.alias("more"), unknown.alias("fewer"))
-    sets = done = None
+    done = None
     low, high = 1, 1
     while True:
         here = members.join(labels, "node")
         across = Window.partitionBy("sig")
         live = here.withColumn("apart", F.min("comp").over(across) != F.max("comp").over(across))
         live = live.withColumn("last", F.max("rank").over(across)).where(F.col("apart") & (F.col("last") > low))
-        live = stored(live.drop("apart", "last"), "live")
-        if live.isEmpty():
+        live = stored(live.drop("apart"), "live")
+        if low > 1 and live.isEmpty():
             return labels
         if low == 2:
-            sets = sets_of(live)  # all pairs of later rounds are among these
-            # more shingles of its own than any link allows: nothing left to compare
-            bounded = _bounds(live, ranked, sets, done).where(F.col("alone") * num <= F.col("n") * (den - num))
-            live = stored(bounded, "bounded")
-            members = live.drop("comp")
-        pairs = _pairs(live, low, high, num, den)
-        if done is not None:
+            large = live.where(F.col("last") > LARGE_GROUP)
+            bounded = _bounds(large, sets_of(large)).where(F.col("alone") * num <= F.col("n") * (den - num))
+            live = live.where(F.col("last") <= LARGE_GROUP).unionByName(bounded)
+            live = stored(live, "bounded")
+            members = live.drop("comp", "last")
+        pairs = _pairs(live.drop("last"), low, high, num, den)
+        if done is None:
+            pairs = pairs.unionByName(two).dropDuplicates(["x", "y"])
+        else:
             pairs = pairs.join(done, ["x", "y"], "left_anti")
         # most pairs that met by chance go by their parities, before any set is fetched
         sized = pairs.join(parity.toDF("x", "odd_x"), "x").join(parity.toDF("y", "odd_y"), "y")
         allowed = (F.col("n") + F.col("hub_n")) * (den - num)
         near = sized.where(differ_at_least(F.col("odd_x"), F.col("odd_y")) * (den + num) <= allowed)
         pairs = stored(near.select("x", "y"), "pairs")
-        if low == 1:
+        done = pairs if done is None else stored(done.unionByName(pairs), "compared")
+        if not pairs.isEmpty():
             sets = sets_of(pairs.select(F.explode(F.array("x", "y")).alias("node")))
-        both = pairs.join(sets.toDF("x", "keys_x"), "x").join(sets.toDF("y", "keys_y"), "y")
-        common = F.size(F.array_intersect("keys_x", "keys_y")).cast("long")
-        either = F.size("keys_x") + F.size("keys_y")
-        compared = stored(both.select("x", "y", common.alias("common"), either.alias("either")), "compared")
-        links = compared.where(F.col("common") * (den + num) >= F.col("either") * num)
-        edges = links.join(labels.toDF("x", "a"), "x").join(labels.toDF("y", "b"), "y").where("a <> b")
-        labels = contract(labels, edges.select("a", "b"))
-        done = compared if done is None else stored(done.unionByName(compared), "compared")
+            both = pairs.join(sets.toDF("x", "keys_x"), "x").join(sets.toDF("y", "keys_y"), "y")
+            common = F.size(F.array_intersect("keys_x", "keys_y"))
+            either = F.size("keys_x") + F.size("keys_y")
+            links = both.where(common * (den + num) >= either * num).select("x", "y")
+            edges = links.join(labels.toDF("x", "a"), "x").join(labels.toDF("y", "b"), "y").where("a <> b")
+            labels = contract(labels, edges.select("a", "b"))
         low, high = high + 1, high * 4 + 3
 
 
@@ -406,20 +423,20 @@ def _pairs(live: DataFrame, low: int, high: int, num: int, den: int) -> DataFram
     )
 
 
-def _bounds(live: DataFrame, ranked: DataFrame, sets: DataFrame, compared: DataFrame) -> DataFrame:
-    """The live members with ``alone``, the shingles no other live node has, and ``more`` and ``fewer``, the sizes of
-    the differences to and from their group's first hub (null where the two were not compared)."""
-    nodes = live.select("node").distinct()
-    each = sets.join(nodes, "node", "left_semi").select("node", F.explode("keys").alias("key"))
+def _bounds(live: DataFrame, sets: DataFrame) -> DataFrame:
+    """The members of large groups with ``alone``, the shingles that no other member of any has, and ``more`` and
+    ``fewer``, the sizes of the differences to and from the group's first hub, if that is a member still."""
+    each = sets.select("node", F.explode("keys").alias("key"))
     single = each.groupBy("key").agg(F.count(F.lit(1)).alias("sets"), F.first("node").alias("node")).where("sets = 1")
-    alone = nodes.join(single.groupBy("node").agg(F.count(F.lit(1)).alias("alone")), "node", "left")
-    alone = alone.select("node", F.coalesce("alone", F.lit(0)).alias("alone"))
-    hub = ranked.where("rank = 1").select("sig", F.col("node").alias("hub"), F.col("n").alias("hub_size"))
-    out = live.drop("alone", "more", "fewer").join(alone, "node").join(hub, "sig")
-    known = compared.select("x", "y", "common")
-    out = out.join(known, (F.least("node", "hub") == known["x"]) & (F.greatest("node", "hub") == known["y"]), "left")
-    common = F.when(F.col("node") == F.col("hub"), F.col("n")).otherwise(F.col("common"))
-    return out.select(
-        "sig", "node", "n", "rank", "alone", (F.col("n") - common).alias("more"),
-        (F.col("hub_size") - common).alias("fewer"), "comp",
-    )
+    alone = single.groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
+    hubs = live.where("rank = 1").select("sig", F.col("node").alias("hub"))
+    met = stored(live.join(hubs, "sig").select("node", "hub").distinct(), "hub-members")
+    both = met.join(sets.toDF("node", "mine"), "node").join(sets.toDF("hub", "its"), "hub")
+    common = F.size(F.array_intersect("mine", "its")).cast("long")
+    known = stored(
+        both.select("node", "hub", (F.size("mine") - common).alias("more"), (F.size("its") - common).alias("fewer")),
+        "hub-differences",
+    )
+    out = live.drop("alone", "more", "fewer").join(alone, "node", "left").join(hubs, "sig", "left")
+    out = out.join(known, ["node", "hub"], "left")
+    return out.withColumn("alone", F.coalesce("alone", F.lit(0).cast("long"))).select(*live.columns)
