@@ -41,11 +41,11 @@ class Rule(NamedTuple):
 
 RULES: tuple[Rule, ...] = (
     Rule("mean_word_chars", 2.0, 15.0),
-    Rule("symbol_ratio", None, 0.5),
-    Rule("stop_ratio", 0.02, None),
+    Rule("symbol_ratio", None, 0.25),
+    Rule("stop_ratio", 0.03, None),
     Rule("shout_ratio", None, 0.5),
-    Rule("dup_line_ratio", None, 0.3),
-    Rule("bar_line_ratio", None, 0.5),
+    Rule("dup_line_ratio", None, 0.45),
+    Rule("bar_line_ratio", None, 0.3),
 )
 
 
