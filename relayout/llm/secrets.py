@@ -92,7 +92,8 @@ def scan(docs: DataFrame, id_column: str = "doc_id", owner: str = "source", text
 
 def ownership(candidates: DataFrame, example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
     """n_repositories, n_owners and copied for each value hash; candidates: hash, owner, repository."""
-    by_owner = candidates.groupBy("hash", "owner").agg(F.approx_count_distinct("repository").alias("repositories"))
+    held = candidates.select("hash", "owner", "repository").distinct()  # pre-aggregated before each shuffle
+    by_owner = held.groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("repositories"))
     counted = by_owner.groupBy("hash").agg(
         F.count(F.lit(1)).alias("n_owners"), F.sum("repositories").alias("n_repositories")
     )
