@@ -58,7 +58,7 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(batch: pa.RecordBatch, text: str, limit: int = 4 * BLOCK) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, text: str, limit: int = BLOCK) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about ``limit`` bytes of text each, one row at least."""
     if not batch.num_rows:
         return

@@ -92,7 +92,7 @@ def train(rows: DataFrame) -> tuple[list[str], np.ndarray]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 1 << 19):
                 text, gram, number = grams([value or "" for value in part.column("text").to_pylist()])
                 langs = np.array(part.column("lang").to_pylist(), object)
                 for lang in set(langs):
@@ -185,7 +185,7 @@ def identify(
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 1 << 21):
+            for part in slices(batch, "text", 1 << 19):
                 share = infer([value or "" for value in part.column("text").to_pylist()], model.value)
                 best = share.argmax(1) if names else np.zeros(len(share), int)
                 score = share.max(1) if names else np.zeros(len(share))
@@ -215,7 +215,7 @@ def with_main_language(docs: DataFrame, learn: Column, least: float = 0.5) -> Da
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 1 << 21):
+            for part in slices(batch, "text", 1 << 19):
                 share = infer([value or "" for value in part.column("text").to_pylist()], model.value)
                 best = share.max(1) if share.shape[1] else np.zeros(len(share))
                 yield part.filter(pa.array((best >= least) & (best > 0)))

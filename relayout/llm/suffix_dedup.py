@@ -43,7 +43,7 @@ SORTED_BYTES = 1 << 20
 #: Ids of documents (some 200 bytes each as a hash table) that may be broadcast.
 BROADCAST_IDS = 250_000
 #: Bytes of one text looked at in a round.
-SECTION = 1 << 21
+SECTION = 1 << 20
 
 _VALUE = mix(np.arange(256, dtype=np.uint64), 91)
 
