@@ -41,9 +41,9 @@ STRIDE = WIDTH - SPAN + 1
 ALPHABET = 32
 EDGE, OTHER, SIGN = 30, 31, 32
 LANDMARKS = 256
-TRAINING_TOXIC = 1500
-TRAINING_CLEAN = 3000
-NEGATIVES = 30_000
+TRAINING_TOXIC = 700
+TRAINING_CLEAN = 1400
+NEGATIVES = 12_000
 ALTERNATIONS = 4
 RIDGE = 3e-5
 
