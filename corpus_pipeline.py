@@ -38,7 +38,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     cut = packing.pieces(
         docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
     )
-    return packing.pack(cut, docs.count())
+    return packing.pack(cut)
 
 
 STAGES = [

@@ -1,14 +1,17 @@
 """Packing: documents cut into pieces of token ids, pieces placed by best-fit decreasing.
 
-Overlong documents are first cut into full windows; only what is left over needs placing. Pieces are dealt
-into buckets by a hash of their document and start, and each bucket is packed on its own: pieces in decreasing length,
-each into the tightest open window that still holds it, found by a segment tree over remaining capacity. A
-bucket holds some thousand documents whatever the table's size, so memory stays bounded and the loss at a
-bucket's end is a few windows.
+Overlong documents are first cut into full windows. A full window is a sequence by itself and is never grouped; only
+what is left over needs placing. The pieces are stored, the remainders among them counted and dealt into buckets by a
+hash of their row number in the stored table, so equal ids, null ids and repeated rows spread like any others. Each
+bucket is packed on its own: pieces in decreasing length, each into the tightest open window that still holds it,
+found by a segment tree over remaining capacity. A bucket holds some thousand remainders, each shorter than a
+window, whatever the table's size and its documents' lengths, so memory stays bounded and the loss at a bucket's end
+is a few windows. Which remainders share a bucket depends on how the table is read; every packing is valid.
 
 Defined cases. Null and empty text: one piece holding the end id alone. Repeated rows: each is packed, none
 merged. Null ids are kept. No rows: no pieces. Columns besides id and text are ignored by ``pieces``; ``pack``
-carries every column along and replaces existing ``sequence_id`` and ``offset`` columns.
+carries every column along and replaces existing ``sequence_id`` and ``offset`` columns. Sequences of full windows are
+numbered from FULL on, those of remainders below.
 """
 
 from __future__ import annotations
@@ -24,11 +27,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from relayout.llm.arrow_text import slices
-from relayout.llm.shared import prepare
+from relayout.llm.shared import prepare, stored
 
 WINDOW = 1024
-#: Documents in one bucket of the packing, on average.
-BUCKET_DOCUMENTS = 8192
+#: Remainders in one bucket of the packing, on average.
+BUCKET_PIECES = 8192
+#: The least sequence number of a full window.
+FULL = 1 << 62
 
 #: Texts of these characters only, without the start of a special string, give the same ids by either library.
 _PLAIN = re.compile("[\x00-ɏ]*")
@@ -151,23 +156,30 @@ def best_fit(lengths: list[int], window: int) -> tuple[list[int], list[int]]:
     return numbers, offsets
 
 
-def pack(cut: DataFrame, documents: int, window: int = WINDOW) -> DataFrame:
-    """The pieces with ``sequence_id`` and ``offset``; ``documents``: how many they come from, for the buckets."""
+def pack(cut: DataFrame, documents: int | None = None, window: int = WINDOW) -> DataFrame:
+    """The pieces with ``sequence_id`` and ``offset``. ``documents`` is not needed: the pieces themselves are counted."""
     cut = cut.drop("sequence_id", "offset")
-    buckets = max(1, -(-documents // BUCKET_DOCUMENTS))
+    void = [name for name, kind in cut.dtypes if kind == "void"]  # files hold no such columns
+    kept = stored(cut.drop(*void), "pieces")
+    kept = kept.select("*", *[F.lit(None).alias(name) for name in void]).select(*cut.columns)
+    is_full = F.col("length").eqNullSafe(F.lit(window))
+    full = kept.where(is_full).select(
+        "*", (F.monotonically_increasing_id() + F.lit(FULL)).alias("sequence_id"), F.lit(0).cast("long").alias("offset")
+    )
+    rest = kept.where(~is_full)
+    buckets = max(1, -(-rest.count() // BUCKET_PIECES))
     placed = [T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]
     schema = T.StructType([*cut.schema.fields, *placed])
-    order = [("length", "descending"), ("doc_id", "ascending"), ("start", "ascending")]
-    more = [name for name, kind in cut.dtypes if name not in ("length", "doc_id", "start") and kind != "void"]
 
     def place(key: tuple, table: pa.Table) -> pa.Table:
-        table = table.drop_columns(["__bucket"])
-        table = table.sort_by(order + [(name, "ascending") for name in more])
+        table = table.sort_by([("length", "descending"), ("__row", "ascending")]).drop_columns(["__row", "__bucket"])
         numbers, offsets = best_fit(table.column("length").to_pylist(), window)
         ids = (key[0].as_py() << 40) + np.array(numbers, np.int64)
         return table.append_column("sequence_id", pa.array(ids)).append_column(
             "offset", pa.array(offsets, pa.int64())
         )
 
-    bucket = F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets)).alias("__bucket")
-    return cut.select("*", bucket).groupBy("__bucket").applyInArrow(place, schema)
+    # the row number is that of a stored table, so a task that runs again deals its rows as before
+    rest = rest.select("*", F.monotonically_increasing_id().alias("__row"))
+    bucket = F.pmod(F.xxhash64("__row"), F.lit(buckets)).alias("__bucket")
+    return full.unionByName(rest.select("*", bucket).groupBy("__bucket").applyInArrow(place, schema))

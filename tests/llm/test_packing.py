@@ -1,5 +1,6 @@
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -76,3 +77,21 @@ def test_best_fit_takes_the_tightest_window():
             left = room.pop(number, window)
             assert offset == window - left and (left == min(fits) if fits else left == window)
             room[number] = left - length
+
+
+def test_equal_ids_and_long_texts_do_not_share_a_bucket(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BUCKET_PIECES", 50, raising=False)
+    monkeypatch.setattr(packing, "BUCKET_DOCUMENTS", 50, raising=False)
+    seed = random.Random(3)
+    sizes = [(None, seed.randint(1, 1023)) for _ in range(600)] + [(7, 300)] * 600
+    sizes = [(doc, 0, size) for doc, size in sizes] + [(9, 1024 * i, 1024) for i in range(500)]
+    cut = spark.createDataFrame([(*size, None) for size in sizes], "doc_id long, start long, length long, nothing void")
+    out = packing.pack(cut, len(sizes)).collect()
+    assert sorted(map(repr, sizes)) == sorted(repr(tuple(row)[:3]) for row in out)
+    full = [row for row in out if row.length == 1024]
+    assert len({row.sequence_id for row in full}) == 500 and all(row.offset == 0 for row in full)
+    buckets = Counter(row.sequence_id >> 40 for row in out if row.length < 1024)
+    assert not {row.sequence_id >> 40 for row in full} & set(buckets)
+    assert len(buckets) == 24 and max(buckets.values()) < 100
+    spots = {(row.sequence_id, row.offset + i) for row in out for i in range(row.length)}
+    assert len(spots) == sum(size for *_, size in sizes) and max(spot for _, spot in spots) < 1024
