@@ -5,14 +5,16 @@ MinHash: the hash space is cut into bins, as many as the partition's largest set
 bin keeps its least hash. A test item is sketched with the bins of each partition. A shingle that a document
 shares with an item is the least of its bin on both sides with a probability set by the load alone, however long
 the document is, so the chance to miss an item of q shingles at the wanted containment can be tuned: the
-load is the largest that keeps it under MISS for the smallest item. Pairs that agree in a bin are candidates,
-and the shingles themselves, as text, decide.
+load is the largest that keeps it under MISS for the smallest item sketched. Items of so few shingles that no load down
+to FINEST keeps to MISS (one or two, at the wanted containment) are not sketched: their shingles meet all those of the
+documents. Pairs that agree in a bin, or share enough shingles of such an item, are candidates, and the shingles
+themselves, as text, decide.
 
-Only DataFrame functions run here. Item sketches are broadcast only up to BROADCAST_ROWS rows, counted before;
+Only DataFrame functions run here. Item sketches and the shingles of items with few are broadcast only up to BROADCAST_ROWS rows, counted before;
 beyond that Spark shuffles both sides.
 
 Defined cases. Null or empty texts and items: no shingles, so no pairs. Fewer than five words: the whole sequence
-is the one shingle. Repeated rows and equal ids: one pair, with the highest containment. Null ids: kept. No rows on
+is the one shingle, so such an item matches texts that are nothing else, not passages. Repeated rows and equal ids: one pair, with the highest containment. Null ids: kept. No rows on
 either side: no pairs. Other columns are ignored.
 """
 
@@ -27,8 +29,10 @@ from relayout.llm.shared import stored
 
 WORDS = 5
 CONTAINMENT = 0.8
-#: Chance to miss the smallest item at the wanted containment.
+#: Chance to miss the smallest sketched item at the wanted containment.
 MISS = 1e-6
+#: The least load of a bin; items that would need less are joined on all shingles.
+FINEST = 1 / 64
 #: Item sketch rows (some 30 bytes each) and candidate pairs that may be broadcast.
 BROADCAST_ROWS = 1_000_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -56,13 +60,22 @@ def shingle_texts(found: Column, size: int = WORDS) -> Column:
     return F.array_distinct(F.when(F.size(found) >= size, many).otherwise(few))
 
 
+def _chance(load: float) -> float:
+    """Chance of a shingle not to be the least of a bin with so many others."""
+    return 1 - (1 - math.exp(-load)) / load
+
+
+def least_shared(miss: float = MISS) -> int:
+    """The fewest shared shingles of which one is found with a chance of all but ``miss`` at the finest load."""
+    return math.ceil(math.log(miss) / math.log(_chance(FINEST)))
+
+
 def tuned_load(smallest: int, containment: float = CONTAINMENT, miss: float = MISS) -> float:
     """The most shingles a bin may hold on average so that the smallest item is missed with probability ``miss``."""
     shared = max(1, math.ceil(containment * smallest))
     load = 8.0
-    while load > 1 / 64:
-        least = (1 - math.exp(-load)) / load  # chance to be the least of a bin with so many others
-        if (1 - least) ** shared <= miss:
+    while load > FINEST:
+        if _chance(load) ** shared <= miss:
             return load
         load /= 2
     return load
@@ -99,8 +112,11 @@ def contained_items(
     item_hashes = item_words.select("item_id", "words", F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
     sets = item_hashes.select("item_id", "words", shingle_hashes(F.col("h"), size).alias("set"))
     # no filter on the arrays: pushed below their projections, it would compute them again for every element
-    smallest = sets.agg(F.min(F.when(F.size("set") > 0, F.size("set")))).first()[0]
-    load = tuned_load(smallest or 1, containment)
+    wanted = F.greatest(F.lit(1), F.ceil(F.lit(containment) * F.size("set")))
+    few = wanted < least_shared()
+    there = F.size("set") > 0
+    smallest, n_few = sets.agg(F.min(F.when(there & ~few, F.size("set"))), F.count_if(there & few)).first()
+    load = tuned_load(smallest, containment) if smallest else 8.0
 
     read = docs.select(F.col(id_column).alias("doc_id"), F.col(text).alias("text"))
     found = read.select("doc_id", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("h"))
@@ -111,17 +127,32 @@ def contained_items(
     # an item's row lists the partitions in which a shingle is the least of its bin
     step = math.ceil(-math.log2(load))
     every = F.sequence(F.lit(max(0, step)), F.lit(min(62, 40 + step)))
-    by_bits = sets.select("item_id", "set", F.explode(every).alias("bits"))
+    by_bits = sets.select("item_id", "set", F.explode(F.when(~few, every)).alias("bits"))
     least = by_bits.select("item_id", "bits", F.explode(bin_minima(F.col("set"), F.col("bits"))).alias("hash"))
     index = least.groupBy("item_id", "hash").agg(F.collect_set("bits").alias("in_bits"))
     if _within(index, BROADCAST_ROWS):
         index = F.broadcast(index)
     agree = sketches.join(index, "hash").where(F.array_contains("in_bits", F.col("bits")))
     candidates = agree.select("doc_id", "item_id").distinct()
+    if n_few:
+        candidates = candidates.unionByName(_sharing(found, sets.withColumns({"wanted": wanted, "few": few})))
 
     return verified(read, sets, candidates, containment, size)
 
 
+def _sharing(found: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs of documents and items with few shingles that share as many as wanted."""
+    asked = sets.select("item_id", "wanted", F.explode(F.when(F.col("few"), F.col("set"))).alias("hash")).distinct()
+    if _within(asked, BROADCAST_ROWS):
+        asked = F.broadcast(asked)
+    # an expression, for Spark infers a filter on an array column that is exploded as it is
+    each = found.select("doc_id", F.explode(F.transform("set", lambda x: x)).alias("hash"))
+    shared = each.join(asked, "hash").groupBy("doc_id", "item_id").agg(
+        F.count(F.lit(1)).alias("n"), F.min("wanted").alias("wanted")
+    )
+    return shared.where("n >= wanted").select("doc_id", "item_id")
+
+
 def verified(
     read: DataFrame, sets: DataFrame, candidates: DataFrame, containment: float, size: int
 ) -> DataFrame:
