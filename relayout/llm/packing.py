@@ -1,39 +1,43 @@
 """Packing: documents cut into pieces of token ids, pieces placed by best-fit decreasing.
 
-Overlong documents are first cut into full windows. A full window is a sequence by itself and is never grouped; only
-what is left over needs placing. The pieces are stored, the remainders among them counted and dealt into buckets by a
-hash of their row number in the stored table, so equal ids, null ids and repeated rows spread like any others. Each
-bucket is packed on its own: pieces in decreasing length, each into the tightest open window that still holds it,
-found by a segment tree over remaining capacity. A bucket holds some thousand remainders, each shorter than a
-window, whatever the table's size and its documents' lengths, so memory stays bounded and the loss at a bucket's end
-is a few windows. Which remainders share a bucket depends on how the table is read; every packing is valid.
-
-Defined cases. Null and empty text: one piece holding the end id alone. Repeated rows: each is packed, none
-merged. Null ids are kept. No rows: no pieces. Columns besides id and text are ignored by ``pieces``; ``pack``
-carries every column along and replaces existing ``sequence_id`` and ``offset`` columns. Sequences of full windows are
-numbered from FULL on, those of remainders below.
+Overlong documents are first cut into full windows. A full window is a sequence by itself; only what is left over
+needs placing. The task that cuts a document also places its pieces: it holds some thousand remainders, each
+shorter than a window, places them in decreasing length, each into the tightest open window that still holds it,
+found by a segment tree over remaining capacity, and goes on with the next ones. Nothing is shuffled or stored and
+token ids never move, so memory is bounded whatever the table's size and its documents' lengths, no key can be hot, and
+the loss at a bucket's end is a few windows. Which remainders share a bucket depends on how the table is read; every
+packing is valid. A sequence's number holds the number of the input partition, so a task that runs again gives its
+sequences the same numbers.
+
+Defined cases. Null and empty text: one piece holding the end id alone. Very long texts: cut like any other, their
+windows leave the task as they are cut. Repeated rows: each is packed, none merged. Ties (pieces of one length): in
+the order they were read. Null ids are kept. No rows: no pieces. Columns besides id and text are ignored by
+``pieces``; ``pack`` carries every column along and replaces existing ``sequence_id`` and ``offset`` columns.
 """
 
 from __future__ import annotations
 
 import functools
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from relayout.llm.arrow_text import slices
-from relayout.llm.shared import prepare, stored
+from relayout.llm.shared import prepare
 
 WINDOW = 1024
-#: Remainders in one bucket of the packing, on average.
+#: Remainders placed together, at most; a task holds no more.
 BUCKET_PIECES = 8192
-#: The least sequence number of a full window.
-FULL = 1 << 62
+#: Bits of a sequence's number below the input partition's.
+PARTITION_BITS = 40
+
+Task = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 #: Texts of these characters only, without the start of a special string, give the same ids by either library.
 _PLAIN = re.compile("[\x00-ɏ]*")
@@ -77,12 +81,8 @@ def encode(texts: list[str], vocabulary: str, ranks: str | None) -> list[list[in
     return ids
 
 
-def pieces(
-    docs: DataFrame, vocabulary: str, ranks: str | None = None, window: int = WINDOW, end_id: int = 0,
-    id_column: str = "doc_id", text: str = "text",
-) -> DataFrame:
-    """doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens: full windows, then the rest."""
-    prepare(docs.sparkSession)
+def cutter(vocabulary: str, ranks: str | None, window: int, end_id: int) -> Task:
+    """Batches of doc_id and text to batches of pieces."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -103,9 +103,82 @@ def pieces(
                     ["doc_id", "start", "length", "ids", "doc_tokens"],
                 )
 
+    return cut
+
+
+def placer(window: int, bucket_pieces: int) -> Task:
+    """Batches of pieces to the same with ``sequence_id`` and ``offset``, full windows at once, others by the bucket."""
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        used = TaskContext.get().partitionId() << PARTITION_BITS
+
+        def placed(table: pa.Table, numbers: np.ndarray, offsets: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for name, values in (("sequence_id", numbers), ("offset", offsets)):
+                table = table.append_column(name, pa.array(values, pa.int64()))
+            yield from table.combine_chunks().to_batches()
+
+        def bucket(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            nonlocal used
+            order = np.argsort(-table.column("length").to_numpy(), kind="stable")
+            table = table.take(pa.array(order))
+            numbers, offsets = best_fit(table.column("length").to_pylist(), window)
+            numbers = used + np.array(numbers, np.int64)
+            used = int(numbers.max()) + 1
+            yield from placed(table, numbers, np.array(offsets, np.int64))
+
+        waiting, held = [], 0
+        for batch in batches:
+            full = batch.column("length").to_numpy(zero_copy_only=False) == window
+            whole = pa.Table.from_batches([batch]).filter(pa.array(full))
+            if len(whole):
+                yield from placed(whole, used + np.arange(len(whole)), np.zeros(len(whole), np.int64))
+                used += len(whole)
+            rest = pa.Table.from_batches([batch]).filter(pa.array(~full))
+            while len(rest):
+                part = rest.slice(0, bucket_pieces - held)
+                rest = rest.slice(len(part))
+                waiting.append(part)
+                held += len(part)
+                if held == bucket_pieces:
+                    yield from bucket(pa.concat_tables(waiting))
+                    waiting, held = [], 0
+        if waiting:
+            yield from bucket(pa.concat_tables(waiting))
+
+    return place
+
+
+def _pieces_schema(doc_id: T.DataType) -> str:
+    return f"doc_id {doc_id.simpleString()}, start long, length long, ids binary, doc_tokens long"
+
+
+def pieces(
+    docs: DataFrame, vocabulary: str, ranks: str | None = None, window: int = WINDOW, end_id: int = 0,
+    id_column: str = "doc_id", text: str = "text",
+) -> DataFrame:
+    """doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens: full windows, then the rest."""
+    prepare(docs.sparkSession)
+    read = docs.select(F.col(id_column).alias("doc_id"), F.col(text).alias("text"))
+    return read.mapInArrow(cutter(vocabulary, ranks, window, end_id), _pieces_schema(read.schema["doc_id"].dataType))
+
+
+def pack(cut: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The pieces with ``sequence_id`` and ``offset``, placed by the tasks that make them."""
+    cut = cut.drop("sequence_id", "offset")
+    placed = [T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]
+    return cut.mapInArrow(placer(window, BUCKET_PIECES), T.StructType([*cut.schema.fields, *placed]))
+
+
+def pack_documents(
+    docs: DataFrame, vocabulary: str, ranks: str | None = None, window: int = WINDOW, end_id: int = 0,
+    id_column: str = "doc_id", text: str = "text",
+) -> DataFrame:
+    """``pack(pieces(docs))`` with both steps in one Python worker."""
+    prepare(docs.sparkSession)
     read = docs.select(F.col(id_column).alias("doc_id"), F.col(text).alias("text"))
-    kind = read.schema["doc_id"].dataType.simpleString()
-    return read.mapInArrow(cut, f"doc_id {kind}, start long, length long, ids binary, doc_tokens long")
+    cut, place = cutter(vocabulary, ranks, window, end_id), placer(window, BUCKET_PIECES)
+    schema = f"{_pieces_schema(read.schema['doc_id'].dataType)}, sequence_id long, offset long"
+    return read.mapInArrow(lambda batches: place(cut(batches)), schema)
 
 
 class OpenWindows:
@@ -154,32 +227,3 @@ def best_fit(lengths: list[int], window: int) -> tuple[list[int], list[int]]:
         offsets.append(window - capacity)
         open_windows.put(capacity - length, number)
     return numbers, offsets
-
-
-def pack(cut: DataFrame, documents: int | None = None, window: int = WINDOW) -> DataFrame:
-    """The pieces with ``sequence_id`` and ``offset``. ``documents`` is not needed: the pieces themselves are counted."""
-    cut = cut.drop("sequence_id", "offset")
-    void = [name for name, kind in cut.dtypes if kind == "void"]  # files hold no such columns
-    kept = stored(cut.drop(*void), "pieces")
-    kept = kept.select("*", *[F.lit(None).alias(name) for name in void]).select(*cut.columns)
-    is_full = F.col("length").eqNullSafe(F.lit(window))
-    full = kept.where(is_full).select(
-        "*", (F.monotonically_increasing_id() + F.lit(FULL)).alias("sequence_id"), F.lit(0).cast("long").alias("offset")
-    )
-    rest = kept.where(~is_full)
-    buckets = max(1, -(-rest.count() // BUCKET_PIECES))
-    placed = [T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]
-    schema = T.StructType([*cut.schema.fields, *placed])
-
-    def place(key: tuple, table: pa.Table) -> pa.Table:
-        table = table.sort_by([("length", "descending"), ("__row", "ascending")]).drop_columns(["__row", "__bucket"])
-        numbers, offsets = best_fit(table.column("length").to_pylist(), window)
-        ids = (key[0].as_py() << 40) + np.array(numbers, np.int64)
-        return table.append_column("sequence_id", pa.array(ids)).append_column(
-            "offset", pa.array(offsets, pa.int64())
-        )
-
-    # the row number is that of a stored table, so a task that runs again deals its rows as before
-    rest = rest.select("*", F.monotonically_increasing_id().alias("__row"))
-    bucket = F.pmod(F.xxhash64("__row"), F.lit(buckets)).alias("__bucket")
-    return full.unionByName(rest.select("*", bucket).groupBy("__bucket").applyInArrow(place, schema))

@@ -6,7 +6,10 @@ import atexit
 import os
 import shutil
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,8 +51,34 @@ def folder(spark: SparkSession) -> str:
     return path
 
 
+#: Scratch tables by the label under which they were made, and the label now in use, per thread.
+_made: dict[tuple[str, str], list[str]] = {}
+_now = threading.local()
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The rows of df from a table in the shared folder: computed once, safe from lost executors."""
     path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex[:10]}"
+    label = getattr(_now, "label", None)
+    if label is not None:
+        _made.setdefault((df.sparkSession.sparkContext.applicationId, label), []).append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(label: str) -> Iterator[None]:
+    """Tables stored inside the block belong to the label, until ``release`` deletes them."""
+    before, _now.label = getattr(_now, "label", None), label
+    try:
+        yield
+    finally:
+        _now.label = before
+
+
+def release(spark: SparkSession, label: str) -> None:
+    """Delete the scratch tables of a label, once nothing reads them any more."""
+    context = spark.sparkContext
+    for path in _made.pop((context.applicationId, label), []):
+        place = context._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)

@@ -48,7 +48,7 @@ def test_given_table(spark, documents):
 def test_odd_rows(frame, odd_texts):
     docs = frame(odd_texts)
     cut = packing.pieces(docs, *PATHS)
-    packed = packing.pack(cut.withColumnRenamed("ids", "ids"), docs.count()).collect()
+    packed = packing.pack(cut).collect()
     want = sorted(ids_of(text if not isinstance(text, tuple) else text[1]) for text in odd_texts)
     pieces = {}
     for row in packed:
@@ -61,7 +61,7 @@ def test_odd_rows(frame, odd_texts):
 
 
 def test_no_rows(frame):
-    assert collected(packing.pack(packing.pieces(frame([]), *PATHS), 0)) == []
+    assert collected(packing.pack_documents(frame([]), *PATHS)) == []
 
 
 def test_best_fit_takes_the_tightest_window():
@@ -79,19 +79,32 @@ def test_best_fit_takes_the_tightest_window():
             room[number] = left - length
 
 
-def test_equal_ids_and_long_texts_do_not_share_a_bucket(spark, monkeypatch):
-    monkeypatch.setattr(packing, "BUCKET_PIECES", 50, raising=False)
-    monkeypatch.setattr(packing, "BUCKET_DOCUMENTS", 50, raising=False)
+def spots_of(rows):
+    spots = {(row.sequence_id, row.offset + i) for row in rows for i in range(row.length)}
+    assert len(spots) == sum(row.length for row in rows) and max((spot for _, spot in spots), default=0) < 1024
+    for number in {row.sequence_id for row in rows}:
+        ends = sorted((row.offset, row.length) for row in rows if row.sequence_id == number)
+        assert [at for at, _ in ends] == [sum(size for _, size in ends[:i]) for i in range(len(ends))]
+
+
+def test_buckets_are_bounded_whatever_the_ids(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BUCKET_PIECES", 50)
     seed = random.Random(3)
     sizes = [(None, seed.randint(1, 1023)) for _ in range(600)] + [(7, 300)] * 600
     sizes = [(doc, 0, size) for doc, size in sizes] + [(9, 1024 * i, 1024) for i in range(500)]
-    cut = spark.createDataFrame([(*size, None) for size in sizes], "doc_id long, start long, length long, nothing void")
-    out = packing.pack(cut, len(sizes)).collect()
+    cut = spark.createDataFrame(sizes, "doc_id long, start long, length long").repartition(3)
+    out = packing.pack(cut).collect()
     assert sorted(map(repr, sizes)) == sorted(repr(tuple(row)[:3]) for row in out)
     full = [row for row in out if row.length == 1024]
     assert len({row.sequence_id for row in full}) == 500 and all(row.offset == 0 for row in full)
-    buckets = Counter(row.sequence_id >> 40 for row in out if row.length < 1024)
-    assert not {row.sequence_id >> 40 for row in full} & set(buckets)
-    assert len(buckets) == 24 and max(buckets.values()) < 100
-    spots = {(row.sequence_id, row.offset + i) for row in out for i in range(row.length)}
-    assert len(spots) == sum(size for *_, size in sizes) and max(spot for _, spot in spots) < 1024
+    assert not {row.sequence_id for row in full} & {row.sequence_id for row in out if row.length < 1024}
+    spots_of(out)
+    buckets = Counter(row.sequence_id >> packing.PARTITION_BITS for row in out)
+    assert len(buckets) == 3
+
+
+def test_one_worker_or_two_give_the_same(frame, odd_texts):
+    docs = frame(odd_texts)
+    one = packing.pack_documents(docs, *PATHS).collect()
+    assert sorted(map(repr, one)) == sorted(map(repr, packing.pack(packing.pieces(docs, *PATHS)).collect()))
+    spots_of(one)
