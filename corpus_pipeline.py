@@ -10,12 +10,17 @@ stage. Clashing column names (the operators' own) are not touched, since stages
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relayout.llm import decontamination, jaccard, language, packing, secrets
-from relayout.llm.shared import stored
+from relayout.llm.shared import release, scratch, stored
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,18 +40,34 @@ def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cut = packing.pieces(
+    return packing.pack_documents(
         docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
     )
-    return packing.pack(cut)
+
+
+def _tidy(number: int, stage: Stage) -> Stage:
+    """The stage with scratch tables of its own; those of the one before go, since its result is stored by now."""
+
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(spark, f"pipeline {sf_dir} {number - 1}")
+        with scratch(f"pipeline {sf_dir} {number}"):
+            return stage(spark, docs, sf_dir)
+
+    return run_stage
 
 
 STAGES = [
-    ("language", identified),
-    ("near_duplicates", deduplicated),
-    ("decontamination", decontaminated),
-    ("secrets", redacted),
-    ("packing", packed),
+    (name, _tidy(number, stage))
+    for number, (name, stage) in enumerate(
+        [
+            ("language", identified),
+            ("near_duplicates", deduplicated),
+            ("decontamination", decontaminated),
+            ("secrets", redacted),
+            ("packing", packed),
+        ]
+    )
 ]
 
 #: Learned models and tokenizers have no SQL; the tests hold the stages against brute force instead.
@@ -54,7 +75,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents, each written and read again."""
+    """All stages over the documents, each written and read again; its scratch tables go when the next one begins."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
