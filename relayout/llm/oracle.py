@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from relayout.llm import decontamination, quality, secrets
+from relayout.llm import decontamination, pii, quality, secrets
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -196,6 +196,179 @@ FROM d JOIN kept USING (doc_id)
 """
 
 
+def _personal_data() -> str:
+    """The patterns in their plain form; spans from the pieces between matches, checks and context of each."""
+    plain = {
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+        "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+        "card": r"[0-9]([\x20-]?[0-9])+",
+        "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+        "iban": r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?",
+        "short_card": r"[0-9]([\x20-]?[0-9])+",
+        "ssn": r"[0-9][0-9-]*",
+    }
+    luhn = (
+        "list_sum(list_transform(range(1, length(digits) + 1), lambda i: "
+        "CASE WHEN (length(digits) - i) % 2 = 0 THEN CAST(digits[i] AS INT) "
+        "WHEN CAST(digits[i] AS INT) > 4 THEN 2 * CAST(digits[i] AS INT) - 9 ELSE 2 * CAST(digits[i] AS INT) END)) % 10 = 0"
+    )
+    moved = "substr(replace(value, ' ', ''), 5) || left(replace(value, ' ', ''), 4)"
+    number = (
+        f"array_to_string(list_transform(string_split({moved}, ''), "
+        "lambda c: CASE WHEN c >= 'A' THEN CAST(ascii(c) - 55 AS VARCHAR) ELSE c END), '')"
+    )
+    mod = (
+        f"list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(string_split({number}, ''), "
+        "lambda c: CAST(c AS BIGINT))), lambda a, c: (a * 10 + c) % 97) = 1"
+    )
+    valid = {
+        "email": "true",
+        "ip": f"regexp_matches(value, '{pii.FOUR_BYTES}')",
+        "card": f"CASE WHEN length(digits) BETWEEN 16 AND 19 THEN {luhn} ELSE false END",
+        "phone": "length(digits) BETWEEN 8 AND 15",
+        "iban": f"length(replace(value, ' ', '')) BETWEEN 15 AND 34 AND {mod}",
+        "short_card": f"CASE WHEN length(digits) BETWEEN 13 AND 15 THEN {luhn} ELSE false END",
+        "ssn": f"regexp_matches(value, '{pii.SOCIAL}')",
+    }
+    parts = []
+    for i, kind in enumerate(pii.KINDS):
+        pattern = plain[kind.name]
+        near = f"regexp_matches(before || ' ' || after, '{pii.context(kind.words)}')"
+        parts.append(rf"""
+    SELECT r, {i} AS kind, start, start + length(value) AS stop,
+           least(100, {kind.score} + CASE WHEN {near} THEN {pii.NEARBY} ELSE 0 END) AS score
+    FROM (
+        SELECT r, whole[i] AS value, regexp_replace(whole[i], '[^0-9]+', '', 'g') AS digits,
+               right(gap[i], 32) AS before, left(gap[i + 1], 16) AS after,
+               list_sum(list_transform(gap[1:i], lambda x: length(x)))
+               + coalesce(list_sum(list_transform(whole[1:i - 1], lambda x: length(x))), 0) AS start
+        FROM (
+            SELECT r, gap, whole, unnest(range(1, len(whole) + 1)) AS i
+            FROM (
+                SELECT r, string_split_regex(text, '{pattern}') AS gap, regexp_extract_all(text, '{pattern}', 0) AS whole
+                FROM k WHERE regexp_matches(text, '{pattern}'))))
+    WHERE {valid[kind.name]}""")
+    name = "CASE kind " + " ".join(f"WHEN {i} THEN '{kind.name}'" for i, kind in enumerate(pii.KINDS)) + " END"
+    item = f"{name} || ':' || CAST(start AS BIGINT) || ':' || CAST(stop AS BIGINT)"
+    base = ", ".join(str(i) for i, kind in enumerate(pii.KINDS) if kind.base)
+    counts = ", ".join(f"count(*) FILTER (kind = {i}) AS n_{kind.name}" for i, kind in enumerate(pii.KINDS) if kind.base)
+    zeros = ", ".join(f"coalesce(n_{kind.name}, 0) AS n_{kind.name}" for kind in pii.KINDS if kind.base)
+    return f"""
+WITH k AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+found AS ({" UNION ALL ".join(parts)}),
+per AS (
+    SELECT r, {counts}, string_agg({item}, ',' ORDER BY kind, start) FILTER (kind IN ({base})) AS base,
+           string_agg({item}, ',' ORDER BY kind, start) AS spans,
+           string_agg(CAST(score AS VARCHAR), ',' ORDER BY kind, start) AS scores
+    FROM found WHERE kind IN ({base}) OR score >= {pii.KEPT} GROUP BY r)
+SELECT doc_id, {zeros}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+       coalesce(scores, '') AS scores
+FROM k LEFT JOIN per USING (r)
+"""
+
+
+def _conversations() -> str:
+    """The repair as a recursion over rows from the end; each state carries its cheapest cost and least audit."""
+    crc_table = (
+        "list_transform(range(256), lambda n: list_reduce(list_prepend(n, list_transform(range(8), lambda j: "
+        "CAST(0 AS BIGINT))), lambda c, j: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"
+    )
+    needs, after = "uuau", (2, 2, 3, 2)
+
+    def best(*ways: str) -> str:
+        return f"list_sort(list_filter([{', '.join(ways)}], lambda w: w IS NOT NULL))[1]"
+
+    def way(cost: str, letter: str, state: str, when: str = "") -> str:
+        value = f"{{'c': {cost} + {state}.c, 'a': '{letter}' || {state}.a}}"
+        return f"CASE WHEN {when} THEN {value} END" if when else value
+
+    plain = []
+    for state in range(4):
+        then = f"f{after[state]}"
+        plain.append(
+            best(
+                way("3", "D", f"f{state}"),
+                way("2 + late", "R", then, "NOT forced"),
+                way("late", "K", then, f"NOT forced AND role[1] = '{needs[state]}'"),
+                *([way("late", "K", "f1", "NOT forced AND role[1] = 's'")] if state == 0 else []),
+            )
+            + f" AS h{state}"
+        )
+    more = []
+    for state in range(4):
+        once, twice = f"h{after[state]}", f"h{after[after[state]]}"
+        more.append(best(f"h{state}", way("2", "I", once), way("4", "II", twice)) + f" AS f{state}")
+    return rf"""
+WITH RECURSIVE
+t AS MATERIALIZED (SELECT {crc_table} AS crc),
+harmed AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+           xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(
+               coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''),
+               lambda ch: CAST(ascii(ch) AS BIGINT))),
+               lambda c, b: xor(crc[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % 20 AS harm
+    FROM conversations, t),
+left_over AS (
+    SELECT conv_id, turn, CASE WHEN harm = 4 THEN 'user' ELSE role END AS role,
+           CASE harm WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+           unnest(range(CASE harm WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+    FROM harmed),
+numbered AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role,
+                                 sha256(length(role) || ':' || role || text)) AS i
+    FROM left_over),
+faulty AS (
+    SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 'blank'
+                   WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+                   WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*\z') THEN 'truncated' ELSE '' END AS fault,
+           lead(role) OVER (PARTITION BY conv_id ORDER BY i) AS next_role
+    FROM numbered),
+r AS MATERIALIZED (
+    SELECT *, fault IN ('blank', 'duplicate') AS forced, CAST(fault = 'truncated' AS INT) AS late FROM faulty),
+counted AS (
+    SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+           count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+           count(*) FILTER (fault = 'truncated') AS truncated,
+           count(*) FILTER (next_role IS NOT NULL AND role[1] || next_role[1] NOT IN ('su', 'ua', 'au')) AS illegal,
+           count(*) AS n
+    FROM r GROUP BY conv_id),
+f AS (
+    SELECT conv_id, n AS i, {{'c': 0, 'a': ''}} AS f0, {{'c': 4, 'a': 'II'}} AS f1, {{'c': 2, 'a': 'I'}} AS f2,
+           {{'c': 0, 'a': ''}} AS f3 FROM counted
+    UNION ALL
+    SELECT conv_id, i - 1, {", ".join(more)}
+    FROM (
+        SELECT f.conv_id, f.i, {", ".join(plain)}
+        FROM f JOIN r ON r.conv_id IS NOT DISTINCT FROM f.conv_id AND r.i = f.i)),
+audited AS MATERIALIZED (SELECT conv_id, f0.c AS cost, f0.a AS audit FROM f WHERE i = 0),
+letters AS (SELECT conv_id, unnest(range(1, length(audit) + 1)) AS p, audit FROM audited),
+placed AS (
+    SELECT conv_id, p, audit[p] AS letter,
+           count(*) FILTER (audit[p] <> 'I') OVER (PARTITION BY conv_id ORDER BY p) AS i,
+           count(*) FILTER (audit[p] <> 'D') OVER (PARTITION BY conv_id ORDER BY p) AS line
+    FROM letters),
+kept AS (
+    SELECT placed.conv_id, p, letter, line, role, CASE WHEN letter = 'I' THEN '' ELSE text END AS text,
+           coalesce(bool_or(letter = 'K' AND line = 1 AND role[1] = 's') OVER (PARTITION BY placed.conv_id), false) AS led
+    FROM placed LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM placed.conv_id AND r.i = placed.i
+    WHERE letter <> 'D'),
+repaired AS (
+    SELECT conv_id, string_agg(CASE WHEN letter = 'K' THEN role WHEN (line - CAST(led AS INT)) % 2 = 1 THEN 'user'
+                                    ELSE 'assistant' END || ':' || text, chr(10) ORDER BY p) AS body
+    FROM kept GROUP BY conv_id),
+ids AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT ids.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       CAST(coalesce(cost, 0) AS BIGINT) AS cost, coalesce(audit, '') AS audit,
+       sha256(coalesce(body, '')) AS repaired_sha256
+FROM ids LEFT JOIN counted ON counted.conv_id IS NOT DISTINCT FROM ids.conv_id
+     LEFT JOIN audited ON audited.conv_id IS NOT DISTINCT FROM ids.conv_id
+     LEFT JOIN repaired ON repaired.conv_id IS NOT DISTINCT FROM ids.conv_id
+"""
+
+
 SQL = {
     "op2_jaccard_join": JACCARD,
     "op4_decontamination": DECONTAMINATION,
@@ -203,4 +376,6 @@ SQL = {
     "op7_secret_scan": _secrets(),
     "op8_warc": WARC,
     "op10_suffix_dedup": SUFFIX,
+    "op12_personal_data": _personal_data(),
+    "op13_conversation_repair": _conversations(),
 }

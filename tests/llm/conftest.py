@@ -48,7 +48,7 @@ def odd_texts():
 @pytest.fixture(scope="session")
 def duck():
     connection = duckdb.connect()
-    for name in ("documents", "benchmark", "pages", "labels"):
+    for name in ("documents", "benchmark", "pages", "labels", "conversations", "embeddings"):
         connection.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SF}/{name}.parquet'")
     return connection
 
