@@ -1,27 +1,31 @@
 """Publication by renaming, in-place conversion over the same files, and the ways back.
 
-Two renames are not atomic: between them the published name does not exist. Every step is recorded
-before the next one, so an interrupted run can be finished by hand from the latest state.
+Two renames are not atomic: between them the published name does not exist. What will be done is recorded before
+the first step and that it was done after the last, so ``relayout.plans.recover`` completes or undoes a run that was
+interrupted anywhere between.
 """
 
 from __future__ import annotations
 
-import itertools
 import json
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from contextlib import suppress
-from urllib.parse import unquote
 
-from pyspark.sql import Row, SparkSession
+from pyspark.sql import SparkSession
 
 from relayout.functions.naming import quoted, quoted_table
-from relayout.sources.catalog import describe_table, table_exists
+from relayout.sources.catalog import (
+    describe_table,
+    partition_locations,
+    partition_spec,
+    table_exists,
+    text,
+)
 
 Record = Callable[..., None]
 
-# How a partition without a value is shown, and properties that belong to one table entry.
-NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
+# Properties that belong to one table entry.
 _OWN_PROPERTIES = frozenset(
     {"EXTERNAL", "transient_lastDdlTime", "last_modified_by", "last_modified_time", "numFiles",
      "numPartitions", "numRows", "rawDataSize", "totalSize", "COLUMN_STATS_ACCURATE", "bucketing_version"}
@@ -33,51 +37,28 @@ def no_record(state: str, **extras: object) -> None:
     pass
 
 
-def partition_locations(spark: SparkSession, table: str, calls: int = 8) -> dict[str, str]:
-    """Where each registered partition of a table is stored, by its SQL spec; metastore calls only."""
-    name = quoted_table(table)
-
-    def located(row: Row) -> tuple[str, str]:
-        spec = partition_spec(row[0])
-        return spec, _partition_location(spark, table, spec)
-
-    with ThreadPoolExecutor(calls) as pool:
-        return dict(pool.map(located, spark.sql(f"SHOW PARTITIONS {name}").collect()))
-
-
-def _partition_location(spark: SparkSession, table: str, spec: str) -> str:
-    described = spark.sql(f"DESCRIBE EXTENDED {quoted_table(table)} PARTITION ({spec})").collect()
-    inside = itertools.dropwhile(lambda r: r["col_name"] != "# Detailed Partition Information", described)
-    return next(r["data_type"] for r in inside if r["col_name"] == "Location")
-
-
-def partition_spec(shown: str) -> str:
-    """The SQL spec of a partition as SHOW PARTITIONS prints it: ``a=1/b=x``."""
-    parts = []
-    for part in shown.split("/"):
-        name, value = part.split("=", 1)
-        text = unquote(value).replace("\\", "\\\\").replace("'", "\\'")
-        parts.append(f"`{unquote(name)}`=" + ("NULL" if value == NO_VALUE else f"'{text}'"))
-    return ", ".join(parts)
+def switch_partitions(
+    spark: SparkSession, table: str, places: dict[str, str], folder: str, record: Record = no_record, calls: int = 8
+) -> None:
+    """Let partitions be read from below ``folder``, laid out as partitioned writes do.
 
+    ``places``: where each is now, by its name as SHOW PARTITIONS prints it, which Spark's folders have too. All
+    are recorded before the first one changes, in one record, and once more when all have.
+    """
+    record("SWITCH_INTENDED", folder=folder, places=json.dumps(places))
+    set_places(spark, table, {shown: f"{folder}/{shown}" for shown in places}, calls)
+    record("PARTITIONS_SWITCHED", folder=folder, partitions=len(places))
 
-def switch_partition(spark: SparkSession, table: str, part: Row, folder: str) -> str:
-    """Let a partition be read from below ``folder``, laid out as partitioned writes do; returns where it was.
 
-    ``part`` has the values of the partition columns. The new place is the one that exists, found by
-    the same escaping that Spark uses for folder names.
-    """
-    values = ", ".join(f"`{name}`={_literal(value)}" for name, value in part.asDict().items())
-    name = quoted_table(table)
-    shown = spark.sql(f"SHOW PARTITIONS {name} PARTITION ({values})").head()[0]
-    spec = partition_spec(shown)
-    before = _partition_location(spark, table, spec)
-    spark.sql(f"ALTER TABLE {name} PARTITION ({spec}) SET LOCATION {text(f'{folder}/{shown}')}")
-    return before
+def set_places(spark: SparkSession, table: str, places: dict[str, str], calls: int = 8) -> None:
+    """Set where partitions are stored, some at a time; a place set twice stays as it is."""
 
+    def switch(one: tuple[str, str]) -> None:
+        spec = partition_spec(one[0])
+        spark.sql(f"ALTER TABLE {quoted_table(table)} PARTITION ({spec}) SET LOCATION {text(one[1])}")
 
-def _literal(value: object) -> str:
-    return "NULL" if value is None else text(str(value))
+    with ThreadPoolExecutor(calls) as pool:
+        list(pool.map(switch, places.items()))
 
 
 def rename(spark: SparkSession, old: str, new: str) -> None:
@@ -137,7 +118,8 @@ def swap(
     """
     if table_exists(spark, legacy):
         raise RuntimeError(f"no cutover while an earlier legacy table is there: {legacy}")
-    moved(spark, source, legacy)
+    _intend(spark, record, "swap", [(source, legacy), (target, source)])
+    _first_step(lambda: moved(spark, source, legacy), spark, record)
     published = False
     try:
         record("SOURCE_RENAMED", legacy=legacy)
@@ -165,15 +147,34 @@ def _names_back(
         failure.add_note(f"the way back is not recorded: {second}")
 
 
-def undo_swap(spark: SparkSession, source: str, legacy: str, failed: str) -> None:
+def _intend(spark: SparkSession, record: Record, operation: str, renames: list[tuple[str, str]]) -> None:
+    """Record renames, in order, with where each table is now, before the first one."""
+    moves = [(old, new, describe_table(spark, old)["location"]) for old, new in renames]
+    record("MOVES_INTENDED", operation=operation, moves=json.dumps(moves))
+
+
+def _first_step(step: Callable[[], None], spark: SparkSession, record: Record) -> None:
+    """A first step that fails leaves nothing to recover, which ends the intention."""
+    try:
+        step()
+    except Exception as failure:
+        _names_back(spark, [], record, failure)
+        raise
+
+
+def undo_swap(
+    spark: SparkSession, source: str, legacy: str, failed: str, record: Record = no_record
+) -> None:
     """Put the legacy table back; the replaced one is kept under ``failed``, never dropped."""
     _need_both(spark, source, legacy)
-    moved(spark, source, failed)
+    _intend(spark, record, "undo_swap", [(source, failed), (legacy, source)])
+    _first_step(lambda: moved(spark, source, failed), spark, record)
     try:
         moved(spark, legacy, source)
     except Exception as failure:
-        _names_back(spark, [(failed, source)], no_record, failure)
+        _names_back(spark, [(failed, source)], record, failure)
         raise
+    record("NAMES_RESTORED", failed=failed)
 
 
 def copied_properties(spark: SparkSession, source: str, target: str) -> None:
@@ -191,10 +192,6 @@ def copied_properties(spark: SparkSession, source: str, target: str) -> None:
         spark.sql(f"ALTER TABLE {quoted_table(target)} SET TBLPROPERTIES ({listed})")
 
 
-def text(value: str) -> str:
-    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
 def share_files(spark: SparkSession, source: str, target: str, fmt: str = "") -> None:
     """Create ``target`` as an external table over the files of ``source``; copies no data.
 
@@ -210,20 +207,25 @@ def share_files(spark: SparkSession, source: str, target: str, fmt: str = "") ->
         f" LOCATION {text(described['location'])}"
     )
     try:
-        copied_properties(spark, source, target)
-        if described["partitions"]:
-            places = list(partition_locations(spark, source).items())
-            for start in range(0, len(places), _PARTITIONS_PER_CALL):
-                added = " ".join(
-                    f"PARTITION ({spec}) LOCATION {text(location)}"
-                    for spec, location in places[start : start + _PARTITIONS_PER_CALL]
-                )
-                spark.sql(f"ALTER TABLE {quoted_table(target)} ADD IF NOT EXISTS {added}")
+        complete_share(spark, source, target)
     except Exception:
         spark.sql(f"DROP TABLE {quoted_table(target)}")  # external: an entry without files of its own
         raise
 
 
+def complete_share(spark: SparkSession, source: str, target: str) -> None:
+    """Properties, comment and partitions of ``source`` for an entry over its files; what is there already stays."""
+    copied_properties(spark, source, target)
+    if describe_table(spark, source)["partitions"]:
+        places = list(partition_locations(spark, source).items())
+        for start in range(0, len(places), _PARTITIONS_PER_CALL):
+            added = " ".join(
+                f"PARTITION ({spec}) LOCATION {text(location)}"
+                for spec, location in places[start : start + _PARTITIONS_PER_CALL]
+            )
+            spark.sql(f"ALTER TABLE {quoted_table(target)} ADD IF NOT EXISTS {added}")
+
+
 def convert_in_place(
     spark: SparkSession, source: str, backup: str, fmt: str = "", record: Record = no_record
 ) -> None:
@@ -235,7 +237,8 @@ def convert_in_place(
         raise RuntimeError(f"no conversion while an earlier backup is there: {backup}")
     if "EXTERNAL" not in describe_table(spark, source)["type_raw"].upper():
         raise RuntimeError(f"In-place conversion needs an external table: {source}")
-    moved(spark, source, backup)
+    record("CONVERSION_INTENDED", backup=backup, fmt=fmt, location=describe_table(spark, source)["location"])
+    _first_step(lambda: moved(spark, source, backup), spark, record)
     try:
         share_files(spark, backup, source, fmt)
         record("MIGRATED", backup=backup)
@@ -249,13 +252,18 @@ def convert_in_place(
         raise
 
 
-def undo_in_place(spark: SparkSession, source: str, backup: str) -> None:
+def undo_in_place(spark: SparkSession, source: str, backup: str, record: Record = no_record) -> None:
     """Drop the converted entry, never its files, and give the backup its name back."""
     _need_both(spark, source, backup)
-    if "EXTERNAL" not in describe_table(spark, source)["type_raw"].upper():
-        raise RuntimeError(f"{source} is managed and is not dropped: that would delete its files")
-    spark.sql(
-        f"ALTER TABLE {quoted_table(source)} SET TBLPROPERTIES ('external.table.purge'='false')"
-    )
-    spark.sql(f"DROP TABLE {quoted_table(source)}")
+    record("RESTORATION_INTENDED", backup=backup)
+    _first_step(lambda: drop_entry(spark, source), spark, record)
     moved(spark, backup, source)
+    record("ENTRY_RESTORED", backup=backup)
+
+
+def drop_entry(spark: SparkSession, table: str) -> None:
+    """Drop an external table's entry, never its files."""
+    if "EXTERNAL" not in describe_table(spark, table)["type_raw"].upper():
+        raise RuntimeError(f"{table} is managed and is not dropped: that would delete its files")
+    spark.sql(f"ALTER TABLE {quoted_table(table)} SET TBLPROPERTIES ('external.table.purge'='false')")
+    spark.sql(f"DROP TABLE {quoted_table(table)}")

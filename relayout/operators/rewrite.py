@@ -16,9 +16,9 @@ from relayout.functions.layout import layout_columns
 from relayout.functions.naming import COMPACTED_SUFFIX, quoted_table
 from relayout.session import sql_settings
 from relayout.sources.catalog import describe_table, table_exists
+from relayout.sources.files import TARGET_FILE_BYTES
 
-# Size of the files a rewrite aims at, and the compression of new files.
-TARGET_FILE_BYTES = 512 * 1024 * 1024
+# Fixed value: the compression of new files.
 COMPRESSION = "zstd"
 # Formats whose files compaction can pack.
 FILE_FORMATS = ("parquet", "orc")
@@ -127,18 +127,6 @@ def rewrite_table(
     return derived
 
 
-def stored_files(spark: SparkSession, table: str, keys: Sequence[str]) -> DataFrame:
-    """Bytes and number of the files with rows in each partition, as the table's scan sees them."""
-    with sql_settings(spark, {"spark.sql.readSideCharPadding": "false"}):  # it would hide the files' metadata
-        scan = spark.table(table).select(
-            *map(column, keys),
-            F.col("_metadata.file_path").alias("__path"),
-            F.col("_metadata.file_size").alias("__size"),
-        )
-    each = scan.groupBy(*map(column, keys), "__path").agg(F.max("__size").alias("__size"))
-    return each.groupBy(*map(column, keys)).agg(F.sum("__size").alias("bytes"), F.count(F.lit(1)).alias("files"))
-
-
 def scattered(files: DataFrame, target_file_bytes: int) -> DataFrame:
     """The partitions that files of the target size would hold in at most half as many."""
     needed = F.greatest(F.lit(1), F.ceil(F.col("bytes") / F.lit(target_file_bytes)))

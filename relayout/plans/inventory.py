@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from relayout.operators import assess as A
 from relayout.operators.classify import PLAN_FIELDS, classify, join_sizes, plan_fields, plan_rows, with_sizes
 from relayout.sources.catalog import scan_catalog
-from relayout.sources.files import measure_locations, table_sizes
+from relayout.sources.files import measure_tables, table_sizes
 from relayout.sources.plan_file import write_plan
 
 # Fixed value: layout version of a written assessment.
@@ -45,7 +45,7 @@ def inventory(
     if not with_size:
         return plan_rows(classified)
     work = classified.where("strategy NOT IN ('skip', 'manual')")
-    facts = measure_locations(spark, work.select("table_name", "location"))
+    facts = measure_tables(spark, work.select("table_name", "location", "partitions"))
     return plan_with_sizes(catalog, facts, **rules)
 
 
@@ -113,6 +113,6 @@ def assess(
     **rules: object,
 ) -> Assessment:
     """Readiness assessment of whole databases; ``rules`` are the options of ``classify``."""
-    plan = plan_rows(classify(scan_catalog(spark, databases), **rules))
-    facts = measure_locations(spark, plan.selectExpr("table AS table_name", "location"))
-    return assess_plan(plan, facts, gib_per_hour)
+    catalog = scan_catalog(spark, databases)
+    facts = measure_tables(spark, catalog.select("table_name", "location", "partitions"))
+    return assess_plan(plan_rows(classify(catalog, **rules)), facts, gib_per_hour)

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import partial
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from relayout.functions import naming as N
@@ -25,11 +25,11 @@ from relayout.operators.rewrite import (
     rewrite_table,
     rows_out_of_sight,
     scattered,
-    stored_files,
 )
 from relayout.session import sql_settings
-from relayout.sources.catalog import describe_table
-from relayout.sources.evidence import EvidenceFile, append_journal
+from relayout.sources.catalog import describe_table, partition_places
+from relayout.sources.evidence import EvidenceFile
+from relayout.sources.manifest import files_by_partition, list_files, relative_path
 from relayout.sources.store import default_filesystem
 
 RESULT_SCHEMA = (
@@ -171,7 +171,7 @@ class _TableRun:
             note = f"{backup} has the same files: keep it, and delete none of them"
             self.finish("CUTOVER_VALIDATED", "CUTOVER_VALIDATED", note, backup=backup)
         elif self.options.auto_rollback:
-            P.undo_in_place(self.spark, self.table, backup)
+            P.undo_in_place(self.spark, self.table, backup, self.record)
             self.finish("AUTO_ROLLED_BACK", "AUTO_ROLLED_BACK", details, reason=details)
         else:
             note = f"{details}; the old entry is {backup}"
@@ -196,7 +196,7 @@ class _TableRun:
             self.finish("CUTOVER_VALIDATED", "CUTOVER_VALIDATED", note, legacy=legacy)
         elif self.options.auto_rollback:
             failed = N.failed_name(self.table, self.options.run_id)
-            P.undo_swap(self.spark, self.table, legacy, failed)
+            P.undo_swap(self.spark, self.table, legacy, failed, self.record)
             note = f"{details}; the replaced table is kept as {failed}"
             self.finish("AUTO_ROLLED_BACK", "AUTO_ROLLED_BACK", note, failed_target=failed)
         else:
@@ -286,18 +286,18 @@ def run_plan(spark: SparkSession, plan: DataFrame, options: RunOptions) -> DataF
 
 def rollback(spark: SparkSession, table: str, strategy: str, journal: str, run_id: str = "") -> str:
     """Put back the table a cutover replaced; returns what was done."""
-    run_id = run_id or new_run_id()
+    record = partial(EvidenceFile(spark, journal, run_id or new_run_id()).event, table)
     if strategy == "migrate":
         backup = f"{table}{N.BACKUP_SUFFIX}"
-        P.undo_in_place(spark, table, backup)
+        P.undo_in_place(spark, table, backup, record)
         note = f"{table} is {backup} again"
     elif strategy == "ctas":
         legacy, failed = f"{table}{N.LEGACY_SUFFIX}", N.failed_name(table, new_run_id())
-        P.undo_swap(spark, table, legacy, failed)
+        P.undo_swap(spark, table, legacy, failed, record)
         note = f"{table} is {legacy} again; the replaced table is kept as {failed}"
     else:
         raise ValueError(f"Unknown strategy: {strategy}")
-    append_journal(spark, journal, run_id, table, "OPERATOR_ROLLBACK_COMPLETE", note=note)
+    record("OPERATOR_ROLLBACK_COMPLETE", note=note)
     return note
 
 
@@ -310,14 +310,14 @@ def compact_table(
 ) -> dict:
     """Pack the files of a table's scattered partitions, prove the new ones equal, and switch to them.
 
-    Of a partitioned table only the catalogue's location of each packed partition changes; its other
+    Which partitions are scattered is read from the file manifest, without a look at any row. Of a partitioned table only the catalogue's location of each packed partition changes; its other
     partitions, properties and comment are untouched. A table without partitions is swapped for a packed
     copy with the same properties and comment. Old files are kept for a way back; the journal says where.
-    A run that stops half-way leaves every partition with either its old or its proved new files. It can be
-    repeated, and finds nothing to do where files are good.
+    A run that stops half-way leaves every partition with either its old or its proved new files; ``recover`` then
+    completes or undoes it. A run can be repeated, and finds nothing to do where files are good.
     """
     keys = packable(spark, table)["partitions"]
-    chosen = scattered(stored_files(spark, table, keys), target_file_bytes).collect()
+    chosen = scattered(files_by_partition(spark, table, keys), target_file_bytes).collect()
     size = sum(row["bytes"] for row in chosen)
     found = {"compacted": len(chosen), "bytes": size}
     if not chosen:
@@ -325,7 +325,7 @@ def compact_table(
         return {"ok": True, "details": [], **found}
     name = uuid.uuid4().hex[:12]
     if keys:
-        parts = [Row(**{key: row[key] for key in keys}) for row in chosen]
+        parts = {row["partition"]: Row(**{key: row[key] for key in keys}) for row in chosen}
         return _compact_partitions(spark, table, parts, name, target_file_bytes, max_partitions, record) | found
     copy = f"{table}{N.COMPACTED_SUFFIX}_{name}"
     packed_copy(spark, table, copy, size, target_file_bytes)
@@ -338,16 +338,17 @@ def compact_table(
 
 
 def _compact_partitions(
-    spark: SparkSession, table: str, parts: list[Row], name: str, target_file_bytes: int,
+    spark: SparkSession, table: str, parts: dict[str, Row], name: str, target_file_bytes: int,
     max_partitions: int | None, record: P.Record,
 ) -> dict:
     described = describe_table(spark, table)
     keys = described["partitions"]
     folder = f"{described['location'].rstrip('/')}{N.COMPACTED_SUFFIX}/{name}"
-    pack_partitions(spark, table, parts, folder, target_file_bytes)
+    rows = list(parts.values())
+    pack_partitions(spark, table, rows, folder, target_file_bytes)
     whole = spark.table(table)
     packed = spark.read.schema(whole.schema).format(described["provider"]).load(folder)
-    listed = spark.createDataFrame(parts, whole.select(*map(column, keys)).schema)
+    listed = spark.createDataFrame(rows, whole.select(*map(column, keys)).schema)
     with sql_settings(spark, WIDE_TABLES):
         verdict = validate(
             _in_partitions(whole, listed, keys), packed.select(*map(column, whole.columns)), keys, max_partitions
@@ -356,12 +357,17 @@ def _compact_partitions(
     if not verdict["ok"]:
         raise RuntimeError(f"{'; '.join(verdict['details'])}; packed files kept in {folder}")
     record("COMPACTION_VALIDATED", folder=folder, partitions=len(parts))
-    for part in parts:
-        before = P.switch_partition(spark, table, part, folder)
-        record("PARTITION_COMPACTED", was=before, now=folder)
+    # files without rows are not written again: such a partition stays where it is
+    made = {row[0] for row in list_files(spark, [(table, "", folder)]).select(_folder_below()).distinct().collect()}
+    now = {shown: place for shown, place in partition_places(spark, table) if shown in parts and shown in made}
+    P.switch_partitions(spark, table, now, folder, record)
     return verdict
 
 
+def _folder_below() -> Column:
+    return F.regexp_replace(relative_path(), "/[^/]*$", "")
+
+
 def _in_partitions(df: DataFrame, listed: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The rows of the listed partitions; the scan is pruned to them at run time."""
     names = [f"__{i}" for i in range(len(keys))]

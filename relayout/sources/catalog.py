@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 from collections.abc import Iterable
 from concurrent.futures import ThreadPoolExecutor
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from relayout.functions.naming import quoted, quoted_table
@@ -18,6 +20,9 @@ CATALOG_SCHEMA = (
     "location string, error string"
 )
 
+# Fixed value: how a partition without a value is shown.
+NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
+
 
 def list_tables(spark: SparkSession, databases: Iterable[str] | str) -> DataFrame:
     """Tables and views of the databases as ``table_name``; temporary views are left out."""
@@ -76,3 +81,38 @@ def scan_catalog(spark: SparkSession, databases: Iterable[str] | str, calls: int
 def table_exists(spark: SparkSession, table: str) -> bool:
     quoted_table(table)
     return spark.catalog.tableExists(table)
+
+
+def partition_places(spark: SparkSession, table: str, calls: int = 8) -> list[tuple[str, str]]:
+    """Each registered partition as SHOW PARTITIONS prints it, and where it is stored; metastore calls only."""
+
+    def located(row: Row) -> tuple[str, str]:
+        return row[0], partition_location(spark, table, partition_spec(row[0]))
+
+    with ThreadPoolExecutor(calls) as pool:
+        return list(pool.map(located, spark.sql(f"SHOW PARTITIONS {quoted_table(table)}").collect()))
+
+
+def partition_locations(spark: SparkSession, table: str, calls: int = 8) -> dict[str, str]:
+    """Where each registered partition of a table is stored, by its SQL spec."""
+    return {partition_spec(shown): place for shown, place in partition_places(spark, table, calls)}
+
+
+def partition_location(spark: SparkSession, table: str, spec: str) -> str:
+    described = spark.sql(f"DESCRIBE EXTENDED {quoted_table(table)} PARTITION ({spec})").collect()
+    inside = itertools.dropwhile(lambda r: r["col_name"] != "# Detailed Partition Information", described)
+    return next(r["data_type"] for r in inside if r["col_name"] == "Location")
+
+
+def partition_spec(shown: str) -> str:
+    """The SQL spec of a partition as SHOW PARTITIONS prints it: ``a=1/b=x``."""
+    parts = []
+    for part in shown.split("/"):
+        name, value = part.split("=", 1)
+        text = unquote(value).replace("\\", "\\\\").replace("'", "\\'")
+        parts.append(f"`{unquote(name)}`=" + ("NULL" if value == NO_VALUE else f"'{text}'"))
+    return ", ".join(parts)
+
+
+def text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"

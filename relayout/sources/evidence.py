@@ -14,7 +14,7 @@ from urllib.parse import quote
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relayout.sources.store import default_filesystem, qualified, write_whole
+from relayout.sources.store import default_filesystem, delete_file, qualified, write_whole
 
 JOURNAL_SCHEMA = (
     "run_id string, table string, state string, timestamp_utc string, seq bigint, "
@@ -29,6 +29,9 @@ VALIDATION_SCHEMA = (
     f"validation {VALIDATION_STRUCT}"
 )
 
+# Segments of a level that are merged into one of the next.
+FAN = 16
+
 _counter = itertools.count()
 
 
@@ -38,25 +41,51 @@ def _sequence() -> int:
 
 
 class EvidenceFile:
-    """The records of one writer in one run: a file of its own, which no other writer touches.
+    """The records of one writer in one run, in segments that no other writer touches.
 
-    Each record is there, whole, when ``add`` returns. The file is rewritten with every record, which is
-    cheap for the few steps of one table; nothing here is a Spark job.
+    Each record is there, whole, when ``add`` returns: it is a segment of its own, level 0. FAN segments of a level are
+    merged into one of the next, so a record is written again once a level, a logarithmic number of times, and a
+    writer with n records has some FAN segments a level. A segment's name says which records it holds, ``from-to``;
+    merged segments are written before those they replace are deleted, and the deletion waits for the next merge of that level, so a
+    reader that has listed them still finds them. A record that a reader sees twice is one record, by writer and number.
     """
 
     def __init__(self, spark: SparkSession, path: str, run_id: str):
         folder = qualified(path.rstrip("/"), default_filesystem(spark))
         name = quote(run_id, safe="") or "__HIVE_DEFAULT_PARTITION__"
-        self.uri = f"{folder}/run_id={name}/{uuid.uuid4().hex}.json"
-        self.lines: list[str] = []
+        self.base = f"{folder}/run_id={name}/{uuid.uuid4().hex}"
+        self.count = 0
+        self.levels: list[list[tuple[int, int, str]]] = []  # first and last record, and the lines
+        self.replaced: dict[int, list[str]] = {}  # by level
         self.lock = threading.Lock()
 
+    def _uri(self, first: int, last: int) -> str:
+        return f"{self.base}.{first}-{last}.json"
+
     def add(self, **record: object) -> None:
         now = datetime.now(UTC).isoformat(timespec="microseconds")
         with self.lock:
-            line = json.dumps({**record, "timestamp_utc": now, "seq": _sequence()}, ensure_ascii=False)
-            write_whole(self.uri, "".join(f"{one}\n" for one in [*self.lines, line]))
-            self.lines.append(line)
+            number = self.count
+            line = json.dumps(
+                {**record, "timestamp_utc": now, "seq": _sequence(), "number": number}, ensure_ascii=False
+            )
+            write_whole(self._uri(number, number), f"{line}\n")
+            self.count += 1
+            self._put(0, (number, number, f"{line}\n"))
+
+    def _put(self, level: int, segment: tuple[int, int, str]) -> None:
+        if level == len(self.levels):
+            self.levels.append([])
+        self.levels[level].append(segment)
+        if len(self.levels[level]) < FAN:
+            return
+        merged, self.levels[level] = self.levels[level], []
+        whole = merged[0][0], merged[-1][1], "".join(text for *_, text in merged)
+        write_whole(self._uri(*whole[:2]), whole[2])
+        for uri in self.replaced.get(level, []):
+            delete_file(uri)
+        self.replaced[level] = [self._uri(*part[:2]) for part in merged]
+        self._put(level + 1, whole)
 
     def event(self, table: str, state: str, **extras: object) -> None:
         """One state of one table; further facts go to ``extras``."""
@@ -79,13 +108,26 @@ def append_validation(
     EvidenceFile(spark, path, run_id).validation(source, target, verdict)
 
 
+def _union_of_segments(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """All records below a path once each; a record may be in a segment and in the one it was merged into.
+
+    Records without a number, of writers that know no segments, stay as they are.
+    """
+    read = spark.read.schema(f"{schema}, number bigint").option("mode", "FAILFAST").json(path)
+    columns = [F.col(name) for name in read.columns if name != "number"]
+    named = read.select(*columns, "number", F.substring_index("_metadata.file_name", ".", 1).alias("writer"))
+    single = named.where("number IS NULL").select(*columns)
+    several = named.where("number IS NOT NULL").groupBy("writer", "number")
+    return single.unionByName(several.agg(F.any_value(F.struct(*columns)).alias("r")).select("r.*"))
+
+
 def read_journal(spark: SparkSession, path: str) -> DataFrame:
-    """All journal events. A malformed line is an error, found when the events are read."""
-    return spark.read.schema(JOURNAL_SCHEMA).option("mode", "FAILFAST").json(path)
+    """All journal events, the union of all segments. A malformed line is an error, found when the events are read."""
+    return _union_of_segments(spark, path, JOURNAL_SCHEMA)
 
 
 def read_validations(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(VALIDATION_SCHEMA).option("mode", "FAILFAST").json(path)
+    return _union_of_segments(spark, path, VALIDATION_SCHEMA)
 
 
 def malformed_lines(spark: SparkSession, path: str) -> DataFrame:

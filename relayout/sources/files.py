@@ -7,16 +7,20 @@ from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from relayout.functions.naming import COMPACTED_SUFFIX
 from relayout.session import scratch_folder, ship
-from relayout.sources.store import default_filesystem, folder_entries, opened, qualified, walk
+from relayout.sources.catalog import partition_places
+from relayout.sources.store import default_filesystem, folder_entries, headed, is_folder, opened, qualified, walk
 
-# Average file size in MiB below which a table should be compacted, and the text
-# for a table without a location.
+# Average file size in MiB below which a table should be compacted, size of the files that a rewrite or a
+# compaction aims at, and the text for a table without a location.
 SMALL_FILE_MB = 64
+TARGET_FILE_BYTES = 512 * 1024 * 1024
 NO_LOCATION = "Hive metastore did not return a table location"
+NOT_FOUND = "location not found: "
 
 _FOLDERS = "location string, directory string, bytes bigint, files bigint, error string"
 # Levels of folders that are listed in jobs of their own before a task follows what lies below.
@@ -72,15 +76,15 @@ def _listing(whole: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
     def one(location: str, directory: str) -> Iterator[tuple]:
         try:
             store, path = opened(directory)
-            # a store names its folders without the scheme: put back what stood before
-            head = directory[: len(directory.rstrip("/")) - len(path.rstrip("/"))]
-            head = "file:" if directory.startswith("file:") else head
             if whole:
                 for folder, size, files in walk(store, path):
-                    yield location, head + folder, size, files, None, []
+                    yield location, headed(directory, path, folder), size, files, None, []
             else:
                 below, size, files = folder_entries(store, path)
-                yield location, head + path, size, files, None, [head + folder for folder in below]
+                named = [headed(directory, path, folder) for folder in below]
+                yield location, headed(directory, path, path), size, files, None, named
+        except FileNotFoundError:
+            yield location, directory, None, None, f"{NOT_FOUND}{directory}", []
         except Exception as failure:
             yield location, directory, None, None, str(failure) or type(failure).__name__, []
 
@@ -127,6 +131,80 @@ def measure_locations(spark: SparkSession, tables: DataFrame) -> DataFrame:
     return spark.createDataFrame(facts.collect(), facts.schema)
 
 
+def measure_tables(spark: SparkSession, tables: DataFrame) -> DataFrame:
+    """``measure_locations`` of whole tables, where the catalogue says that they are.
+
+    ``places`` is the number of locations. ``tables`` has ``table_name``, ``location`` and ``partitions``. The files of a partitioned table are those at its
+    partitions' locations, wherever these lie; other files below its folder or the one beside it that compaction
+    writes to are ``replaced_files`` with ``replaced_bytes``: old versions, and folders that are not registered.
+    """
+    rows = tables.select("table_name", "location", "partitions").collect()
+    split = [row["table_name"] for row in rows if row["partitions"] and row["location"]]
+    places: list[tuple[str, str, str]] = []
+    for row in rows:
+        if row["table_name"] in split:
+            beside = f"{row['location'].rstrip('/')}{COMPACTED_SUFFIX}"
+            places.append((row["table_name"], "folder", row["location"]))
+            if is_folder(qualified(beside, default_filesystem(spark))):
+                places.append((row["table_name"], "beside", beside))
+            named = partition_places(spark, row["table_name"])
+            places += [(row["table_name"], "partition", place) for _, place in named]
+        else:
+            places.append((row["table_name"], "whole", row["location"]))
+    listed = spark.createDataFrame([(str(i), place) for i, (_, _, place) in enumerate(places)], "table_name string, location string")
+    measured = {int(row["table_name"]): row for row in measure_locations(spark, listed).collect()}
+    found = {row["table_name"]: _Sum(row["location"]) for row in rows}
+    for i, (name, role, _) in enumerate(places):
+        found[name].add(role, measured[i])
+    out = spark.createDataFrame([(name, *one.facts()) for name, one in found.items()], _TABLE_FACTS)
+    return out.withColumn("average_file_mb", F.round(_mean_mib(), 2))
+
+
+_TABLE_FACTS = (
+    "table_name string, location string, bytes bigint, files bigint, error string, places bigint, "
+    "replaced_bytes bigint, replaced_files bigint"
+)
+
+
+class _Sum:
+    """Sizes of one table's locations. Its folder and the one beside it hold partitions and what is left over."""
+
+    def __init__(self, location: str):
+        self.location = location
+        self.own, self.heads, self.inner, self.places = [0, 0], [0, 0], [0, 0], 0
+        self.split, self.found, self.error, self.folder_error = False, False, None, None
+        self.folders: list[str] = []
+
+    def add(self, role: str, facts: Row) -> None:
+        sizes = [facts["bytes"] or 0, facts["files"] or 0]
+        if role in ("folder", "beside"):
+            self.split = True
+            self.folder_error = self.folder_error or (facts["error"] if role == "folder" else None)
+            self.folders.append(_plain(facts["location"]))
+            self.heads = [a + b for a, b in zip(self.heads, sizes)]
+            return
+        self.places += 1
+        self.own = [a + b for a, b in zip(self.own, sizes)]
+        if any(_plain(facts["location"]).startswith(f"{folder}/") for folder in self.folders):
+            self.inner = [a + b for a, b in zip(self.inner, sizes)]
+        # a registered partition needs no folder as long as it is empty
+        if facts["error"] is None:
+            self.found = True
+        elif not (role == "partition" and facts["error"].startswith(NOT_FOUND)):
+            self.error = min(self.error or facts["error"], facts["error"])
+
+    def facts(self) -> tuple:
+        # a partitioned table without partitions holds nothing, if its folder is there
+        error = self.error or (None if self.found else self.folder_error)
+        sizes = [None, None] if error else self.own
+        rest = [max(a - b, 0) for a, b in zip(self.heads, self.inner)] if self.split else [None, None]
+        return self.location, *sizes, error, self.places, *rest
+
+
+def _plain(location: str) -> str:
+    return re.sub(r"\Afile:/+", "file:/", location.rstrip("/"))
+
+
 def _facts_of(tables: DataFrame, sizes: DataFrame, failed: DataFrame, filesystem: str) -> DataFrame:
     """Facts from folder totals; a folder that failed fails every location at, above or below it."""
     full = F.when(
@@ -140,7 +218,7 @@ def _facts_of(tables: DataFrame, sizes: DataFrame, failed: DataFrame, filesystem
     errors = failed.select(above.alias("directory"), "error").groupBy("directory").agg(F.min("error").alias("message"))
     joined = named.join(sizes, "directory", "left").join(errors, "directory", "left")
     blank = F.coalesce("location", F.lit("")) == ""
-    missing = F.when(F.col("files").isNull(), F.concat(F.lit("location not found: "), F.col("location")))
+    missing = F.when(F.col("files").isNull(), F.concat(F.lit(NOT_FOUND), F.col("location")))
     error = F.when(blank, NO_LOCATION).otherwise(F.coalesce("message", missing))
     found = error.isNull()
     return joined.select(
@@ -202,7 +280,7 @@ def location_facts(
     joined = named.join(directory_totals(files), "directory", "left")
     if errors is None:
         failure = F.when(
-            F.col("files").isNull(), F.concat(F.lit("location not found: "), F.col("location"))
+            F.col("files").isNull(), F.concat(F.lit(NOT_FOUND), F.col("location"))
         )
     else:
         joined = joined.join(errors, "location", "left")
@@ -223,16 +301,23 @@ def _mean_mib() -> Column:
     return F.col("bytes").cast("double") / F.greatest("files", F.lit(1)) / mib
 
 
-def size_columns() -> dict[str, Column]:
-    """Plan sizes from ``bytes`` and ``files``; ``compact`` judges the rounded average."""
+def size_columns(places: bool = False) -> dict[str, Column]:
+    """Plan sizes from ``bytes`` and ``files``; ``compact`` judges the rounded average.
+
+    With ``places``, the number of locations that need a file each, a table is not marked where packing could not even
+    halve its files: one that was compacted is done, however small it is.
+    """
     average = F.round(_mean_mib(), 1)
     gib = F.lit(1024.0 * 1024.0 * 1024.0).cast("double")
+    small = average < SMALL_FILE_MB
+    if places:
+        small &= F.col("files") > 2 * F.greatest("places", F.ceil(F.col("bytes") / F.lit(TARGET_FILE_BYTES)))
     return {
         "size_gb": F.round(F.col("bytes").cast("double") / gib, 2),
         "avg_file_mb": average,
-        "compact": F.when(average < SMALL_FILE_MB, "Y").when(average.isNotNull(), "N"),
+        "compact": F.when(small, "Y").when(average.isNotNull(), "N"),
     }
 
 
 def table_sizes(facts: DataFrame) -> DataFrame:
-    return facts.withColumns(size_columns())
+    return facts.withColumns(size_columns("places" in facts.columns))

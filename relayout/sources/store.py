@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Iterator
+from contextlib import suppress
 
 from pyarrow import fs
 from pyspark.sql import SparkSession
@@ -36,6 +37,15 @@ def opened(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(f"{scheme}:{rest}")
 
 
+def is_folder(uri: str) -> bool:
+    """True if there is such a folder; a store that cannot be asked has none."""
+    try:
+        store, path = opened(uri)
+        return store.get_file_info(path).type == fs.FileType.Directory
+    except Exception:
+        return False
+
+
 def folder_entries(store: fs.FileSystem, path: str) -> tuple[list[str], int, int]:
     """Folders directly below a folder, and the bytes and number of its own files.
 
@@ -63,6 +73,34 @@ def walk(store: fs.FileSystem, path: str) -> Iterator[tuple[str, int, int]]:
         yield folder, size, files
 
 
+def files_below(store: fs.FileSystem, path: str) -> Iterator[tuple[str, int, int, bool]]:
+    """Path, size, modification time in microseconds and whether it is hidden of every file at any depth."""
+    local = isinstance(store, fs.LocalFileSystem)
+    waiting = [(path, False)]
+    while waiting:
+        folder, hidden = waiting.pop()
+        for entry in store.get_file_info(fs.FileSelector(folder)):
+            unseen = hidden or entry.base_name[:1] in ("_", ".")
+            if entry.type == fs.FileType.Directory:
+                waiting.append((entry.path, unseen))
+            elif not (local and entry.base_name.startswith(".") and entry.base_name.endswith(".crc")):
+                yield entry.path, entry.size or 0, (entry.mtime_ns or 0) // 1000, unseen
+
+
+def headed(uri: str, path: str, found: str) -> str:
+    """A path that the store found, as the URI it was looked for: a store names its files without the scheme."""
+    if uri.startswith("file:"):
+        return f"file:{found}"
+    return uri[: len(uri.rstrip("/")) - len(path.rstrip("/"))] + found
+
+
+def delete_file(uri: str) -> None:
+    """Delete a file, which may be gone already."""
+    store, path = opened(uri)
+    with suppress(FileNotFoundError):
+        store.delete_file(path)
+
+
 def write_whole(uri: str, text: str) -> None:
     """Write a small file so that readers see all of it or the one before."""
     store, path = opened(uri)

@@ -13,7 +13,7 @@ from contextlib import contextmanager
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from relayout.functions.fingerprint import fingerprint
@@ -25,7 +25,7 @@ from relayout.plans.migrate import RunOptions, compact_table, rollback, run_plan
 from relayout.session import ship
 from relayout.sources import catalog as S
 from relayout.sources.evidence import latest_state, read_journal, read_validations
-from relayout.sources.files import measure_locations
+from relayout.sources.files import measure_locations, measure_tables, table_sizes
 from relayout.sources.plan_file import read_plan, write_plan, write_results
 from relayout.sources.store import opened
 from workload import estate
@@ -298,6 +298,14 @@ def _files(spark: SparkSession, table: str, where: str = "true") -> set[str]:
     return {row[0] for row in spark.table(table).where(where).select(F.input_file_name()).distinct().collect()}
 
 
+def _sizes(spark: SparkSession, table: str) -> Row:
+    """Files, bytes, files that nothing refers to any more, and whether an inventory would compact the table."""
+    columns = "table_name string, location string, partitions array<string>"
+    row = S.describe_table(spark, table)
+    tables = spark.createDataFrame([(table, row["location"], row["partitions"])], columns)
+    return table_sizes(measure_tables(spark, tables)).first()
+
+
 def compact_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     """Scattered files packed, good ones left alone, and a second run that finds nothing to do."""
     with scratch(spark, sf) as work:
@@ -308,9 +316,17 @@ def compact_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
         good.select(spark.table(split).columns).write.insertInto(split)
         spark.sql(f"ALTER TABLE {split} SET TBLPROPERTIES ('owner_team' = 'loads')")
         kept, before = _files(spark, split, "l_returnflag = 'R'"), len(_files(spark, split))
+        sizes = [_sizes(spark, split)]
         first = {table: compact_table(spark, table) for table in (flat, split)}
         again = {table: compact_table(spark, table) for table in (flat, split)}
+        sizes.append(_sizes(spark, split))
+        old, new = sizes
+        replaced = new["replaced_files"] - old["replaced_files"] - 1  # and the mark of the new files' own job
         facts = [
+            _fact(spark, "split", "measured files now, before", new["files"], old["files"]),
+            _fact(spark, "split", "to compact now, before", new["compact"] == "Y", old["compact"] == "Y"),
+            _fact(spark, "split", "files replaced", replaced),
+            _fact(spark, "split", "fewer bytes", 0 < new["bytes"] < old["bytes"]),
             _fact(spark, "flat", "files", len(_files(spark, flat)), 20),
             _fact(spark, "split", "files", len(_files(spark, split)), before),
             _fact(spark, "split", "good files kept", kept == _files(spark, split, "l_returnflag = 'R'")),
@@ -635,6 +651,13 @@ ORACLE = {
                     "split", "files", "(SELECT count(DISTINCT l_returnflag) FROM {lineitem})",
                     "(SELECT 6 * (count(DISTINCT l_returnflag) - 1) + 1 FROM {lineitem})",
                 ),
+                _fact_sql(
+                    "split", "measured files now, before", "(SELECT count(DISTINCT l_returnflag) FROM {lineitem})",
+                    "(SELECT 6 * (count(DISTINCT l_returnflag) - 1) + 1 FROM {lineitem})",
+                ),
+                _fact_sql("split", "to compact now, before", "0", "1"),
+                _fact_sql("split", "files replaced", "(SELECT 6 * (count(DISTINCT l_returnflag) - 1) FROM {lineitem})"),
+                _fact_sql("split", "fewer bytes", "1"),
                 _fact_sql("split", "good files kept", "1"),
                 _fact_sql("split", "property kept", "1"),
                 _fact_sql("flat", "packed, packed again", "1"),
