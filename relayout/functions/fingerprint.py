@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Collection, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from relayout.functions.canonical import by_position, hash_arguments, quote
 
@@ -19,9 +20,12 @@ _PIECE_BITS = 16
 _PIECES = 64 // _PIECE_BITS
 
 
-def row_hashes(df: DataFrame, keys: Sequence[str] = (), as_text: Collection[int] = ()) -> DataFrame:
-    """The key columns and both hashes of every row."""
-    arguments = ", ".join(hash_arguments(df.schema, as_text))
+def row_hashes(
+    df: DataFrame, keys: Sequence[str] = (), as_text: Collection[int] = (), unhashed: int = 0
+) -> DataFrame:
+    """The key columns and both hashes of every row; the last ``unhashed`` columns may be keys, but are not hashed."""
+    hashed = T.StructType(df.schema.fields[: len(df.columns) - unhashed])
+    arguments = ", ".join(hash_arguments(hashed, as_text))
     return by_position(df).selectExpr(
         *[f"_{df.columns.index(key)} AS {quote(key)}" for key in keys],
         f"xxhash64({arguments}) AS hash_a",
@@ -44,25 +48,46 @@ def _joined(name: str) -> str:
     return f"CAST({' + '.join(weighted)} AS DECIMAL(38,0)) AS {name}"
 
 
-def fingerprint(df: DataFrame, keys: Sequence[str] = (), as_text: Collection[int] = ()) -> DataFrame:
+def _measures() -> list[Column]:
+    sums = [f"sum({_piece(name, index)}) AS {name}_{index}" for name in _HASHES for index in range(_PIECES)]
+    return [F.expr(measure) for measure in ("count(1) AS row_count", *sums)]
+
+
+def fingerprint(
+    df: DataFrame, keys: Sequence[str] = (), as_text: Collection[int] = (), unhashed: int = 0
+) -> DataFrame:
     """Row count and hash sums, for the whole table or for each value of ``keys``.
 
     An empty table gives zero rows and NULL sums.
     """
     key_names = [quote(key) for key in keys]
-    sums = [
-        F.expr(f"sum({_piece(name, index)}) AS {name}_{index}")
-        for name in _HASHES
-        for index in range(_PIECES)
-    ]
     return (
-        row_hashes(df, keys, as_text)
+        row_hashes(df, keys, as_text, unhashed)
         .groupBy(*key_names)
-        .agg(F.expr("count(1) AS row_count"), *sums)
+        .agg(*_measures())
         .selectExpr(*key_names, "row_count", *map(_joined, _HASHES))
     )
 
 
+def observed(df: DataFrame, observation: Observation, as_text: Collection[int] = ()) -> DataFrame:
+    """The rows of df; whatever job reads them leaves their fingerprint in the observation."""
+    arguments = ", ".join(hash_arguments(df.schema, as_text))
+    named = by_position(df)
+    hashed = named.selectExpr(
+        "*", f"xxhash64({arguments}) AS hash_a", f"xxhash64('{_SALT}', {arguments}) AS hash_b"
+    ).observe(observation, *_measures())
+    return hashed.select(*named.columns).toDF(*df.columns)
+
+
+def observed_fingerprint(spark: SparkSession, observation: Observation) -> DataFrame:
+    """``fingerprint`` of what a finished job has read, from its observation."""
+    kinds = ", ".join(f"{name}_{index} bigint" for name in _HASHES for index in range(_PIECES))
+    found = observation.get
+    names = ["row_count", *[f"{name}_{index}" for name in _HASHES for index in range(_PIECES)]]
+    row = spark.createDataFrame([tuple(found[name] for name in names)], f"row_count bigint, {kinds}")
+    return row.selectExpr("row_count", *map(_joined, _HASHES))
+
+
 def total_fingerprint(per_key: DataFrame) -> DataFrame:
     """Fingerprint of the whole table from the fingerprints of its parts; reads no data again."""
     sums = [F.expr(f"CAST(sum({name}) AS DECIMAL(38,0)) AS {name}") for name in _HASHES]

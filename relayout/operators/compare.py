@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Collection, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -119,11 +119,16 @@ def compare_fingerprints(source: DataFrame, target: DataFrame, keys: Sequence[st
     return paired.withColumn("matches", F.expr(same))
 
 
-def compare_contents(source: DataFrame, target: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+def compare_contents(
+    source: DataFrame,
+    target: DataFrame,
+    keys: Sequence[str] = (),
+    fingerprints: Callable[[DataFrame, Sequence[str], Collection[int]], DataFrame] = fingerprint,
+) -> DataFrame:
     """Fingerprint each side once and pair the results per key value."""
     as_text = retyped_positions(source.schema, target.schema)
     return compare_fingerprints(
-        fingerprint(source, keys, as_text), fingerprint(target, keys, as_text), keys
+        fingerprints(source, keys, as_text), fingerprints(target, keys, as_text), keys
     )
 
 
@@ -165,9 +170,12 @@ def validate(
     target: DataFrame,
     keys: Sequence[str] = (),
     max_partitions: int | None = None,
+    fingerprints: Callable[[DataFrame, Sequence[str], Collection[int]], DataFrame] = fingerprint,
 ) -> DataFrame:
     """One row: is the target a faithful copy of the source?
 
+    ``fingerprints`` makes the fingerprints of a side, from a scan of it if nothing else is given.
+
     Any number of groups is compared; ``max_partitions`` is a limit only the caller may want.
     ``ok`` needs compatible schemas, equal contents and no mismatching group. ``partition_ok`` is
     NULL where no keys were asked for. ``details`` tells what failed: schema, groups, totals.
@@ -175,7 +183,7 @@ def validate(
     schema_found = schema_details(source.schema, target.schema)
     missing = [k for k in keys if k not in source.columns or k not in target.columns]
     grouped = bool(keys) and not missing
-    compared = compare_contents(source, target, keys if grouped else ())
+    compared = compare_contents(source, target, keys if grouped else (), fingerprints)
     totals = content_totals(compared)
     if grouped:
         # A scalar subquery over the same fingerprints; at most SHOWN_EXAMPLES rows.

@@ -8,12 +8,14 @@ from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 
 from relayout.functions.canonical import column
+from relayout.functions.fingerprint import observed
 from relayout.functions.layout import layout_columns
 from relayout.functions.naming import COMPACTED_SUFFIX, quoted_table
+from relayout.operators.compare import retyped_positions
 from relayout.session import sql_settings
 from relayout.sources.catalog import describe_table, table_exists
 from relayout.sources.files import TARGET_FILE_BYTES
@@ -99,9 +101,12 @@ def rewrite_table(
     size_bytes: int = 0,
     target_file_bytes: int = TARGET_FILE_BYTES,
     small_files: bool = True,
+    observation: Observation | None = None,
 ) -> list[str]:
     """Copy ``source`` into the new table ``target``; returns the derived partition columns.
 
+    ``observation`` gets the fingerprint of the rows as they are read for the copy, without a scan of its own.
+
     Refuses to overwrite. ``size_bytes``, where known, sets how finely partitions are shuffled. A
     source that is stored by the target's partitions, in files that are not small, is copied
     without a shuffle. So is any source without partitions in the target: there, each task packs
@@ -109,7 +114,11 @@ def rewrite_table(
     """
     if table_exists(spark, target):
         raise RuntimeError(f"{target} exists already and is not overwritten")
-    projected = cast_projection(spark.table(source), casts or {})
+    read = spark.table(source)
+    projected = cast_projection(read, casts or {})
+    if observation is not None:
+        as_text = retyped_positions(read.schema, projected.schema)
+        projected = cast_projection(observed(read, observation, as_text), casts or {})
     laid_out, keys, derived = with_layout(projected, spec)
     settings = _write_settings(target_file_bytes)
     stored_by = describe_table(spark, source)["partitions"]

@@ -53,7 +53,7 @@ def list_folders(spark: SparkSession, locations: Sequence[str]) -> DataFrame:
         last = level == _SPREAD_LEVELS
         found = _spread(waiting).mapInArrow(_listing(whole=last), f"{_FOLDERS}, below array<string>")
         if not last:  # listed once: what lies below is listed next, what was found is kept
-            found = _kept(found)
+            found = kept(found)
             waiting = found.select("location", F.explode("below").alias("directory"))
         done.append(found.drop("below"))
     return reduce(DataFrame.unionByName, done)
@@ -63,7 +63,8 @@ def _spread(folders: DataFrame) -> DataFrame:
     return folders.repartition(F.col("directory"))
 
 
-def _kept(found: DataFrame) -> DataFrame:
+def kept(found: DataFrame) -> DataFrame:
+    """The rows from a table of their own in the shared folder, computed once."""
     spark = found.sparkSession
     path = f"{scratch_folder(spark)}/folders"
     found.write.parquet(path)
@@ -122,7 +123,7 @@ def measure_locations(spark: SparkSession, tables: DataFrame) -> DataFrame:
     if not plain:
         plain_folders = spark.createDataFrame([], _FOLDERS)
     else:
-        plain_folders = _kept(list_folders(spark, plain))
+        plain_folders = kept(list_folders(spark, plain))
     sizes = folder_totals(plain_folders.where("error IS NULL").select("directory", "bytes", "files"))
     failed = plain_folders.where("error IS NOT NULL").select(
         normalized_location(F.col("directory")).alias("failed"), "error"
