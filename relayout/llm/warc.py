@@ -233,6 +233,10 @@ def merge_runs(runs: DataFrame, captures: int) -> DataFrame:
     return dealt.mapInArrow(merge, runs.schema)
 
 
+#: Bytes of archives that a task reads, on average.
+READ_BYTES = 8 << 20
+
+
 def read_archives(index: DataFrame, path: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to and payload of each indexed record."""
     prepare(index.sparkSession)
@@ -261,9 +265,11 @@ def read_archives(index: DataFrame, path: str) -> DataFrame:
         if source is not None:
             source.close()
 
-    # a file's records lie in a few tasks in the order of the file; salted, as files can be large
-    block = F.floor(F.col("offset") / F.lit(8 << 20))
-    placed = index.select("file", "offset", "length").repartition(F.col("file"), block)
+    # a file's records lie in a few tasks in the order of the file; salted, as files can be large. The number of tasks
+    # goes by the archives' bytes, which the index's own few bytes say nothing about
+    block = F.floor(F.col("offset") / F.lit(READ_BYTES))
+    tasks = max(1, -(-(index.agg(F.sum("length")).first()[0] or 0) // READ_BYTES))
+    placed = index.select("file", "offset", "length").repartition(tasks, F.col("file"), block)
     return placed.sortWithinPartitions("file", "offset").mapInArrow(
         read,
         "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary",
