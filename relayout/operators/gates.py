@@ -73,7 +73,7 @@ def route() -> Column:
         F.when(strategy.isin("skip", "manual"), "SKIPPED")
         .when(strategy == "hive_ctas", MANUAL_STATUS)
         .when(strategy.isin("migrate", "ctas"), strategy)
-        .otherwise(F.concat(F.lit("Unknown strategy: "), strategy))
+        .otherwise(F.concat(F.lit("no such strategy: "), strategy))
     )
 
 

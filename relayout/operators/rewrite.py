@@ -35,7 +35,7 @@ def cast_projection(df: DataFrame, casts: Mapping[str, str]) -> DataFrame:
     """Every column in its place, the listed ones cast."""
     unknown = sorted(set(casts) - set(df.columns))
     if unknown:
-        raise ValueError(f"cast_columns contains unknown columns: {unknown}")
+        raise ValueError(f"columns to cast that the table lacks: {unknown}")
     return df.select(
         *[
             column(name).cast(casts[name]).alias(name) if name in casts else column(name)

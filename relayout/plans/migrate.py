@@ -334,7 +334,7 @@ def rollback(spark: SparkSession, table: str, strategy: str, journal: str, run_i
         P.undo_swap(spark, table, legacy, failed, record)
         note = f"{table} is {legacy} again; the replaced table is kept as {failed}"
     else:
-        raise ValueError(f"Unknown strategy: {strategy}")
+        raise ValueError(f"no such strategy: {strategy}")
     record("OPERATOR_ROLLBACK_COMPLETE", note=note)
     return note
 

@@ -17,7 +17,7 @@ def files_of(spark, table):
 def test_cast_projection(spark):
     df = spark.sql("SELECT CAST(1 AS SMALLINT) AS a, 2 AS b")
     assert R.cast_projection(df, {"a": "int", "b": "string"}).dtypes == [("a", "int"), ("b", "string")]
-    with pytest.raises(ValueError, match=r"unknown columns: \['x', 'y'\]"):
+    with pytest.raises(ValueError, match=r"that the table lacks: \['x', 'y'\]"):
         R.cast_projection(df, {"y": "int", "x": "int"})
 
 

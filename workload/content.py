@@ -86,10 +86,10 @@ def canonical_negative(spark: SparkSession, sf: str) -> DataFrame:
     events = load(spark, sf, "events")
 
     def nested(df: DataFrame) -> DataFrame:
-        return df.select(F.struct("event_id", "ts").alias("nested"))
+        return df.select(F.struct(*df.columns).alias("nested"))
 
     def listed(df: DataFrame) -> DataFrame:
-        return df.select(F.array(F.struct("event_id", "ts")).alias("nested"))
+        return df.select(F.array(F.struct(*df.columns)).alias("nested"))
 
     def mapped(df: DataFrame, *names: str) -> DataFrame:
         entries = [part for name in names for part in (F.lit(name), F.col(name))]
@@ -113,13 +113,12 @@ def canonical_negative(spark: SparkSession, sf: str) -> DataFrame:
 
 def canonical_rows(spark: SparkSession, sf: str) -> DataFrame:
     events = load(spark, sf, "events")
+    entries = [part for name in events.columns for part in (F.lit(name), F.col(name).cast("string"))]
     inputs = {
         "array": load(spark, sf, "embeddings"),
-        "struct": events.select(F.struct("user_id", "event_type").alias("v")),
-        "map": events.select(
-            F.create_map(F.lit("t"), "event_type", F.lit("u"), F.col("user_id").cast("string")).alias("v")
-        ),
-        "flat": events.select("user_id", "event_type"),
+        "struct": events.select(F.struct(*events.columns).alias("v")),
+        "map": events.select(F.create_map(*entries).alias("v")),
+        "flat": events,
     }
 
     def counted(scenario: str, df: DataFrame) -> DataFrame:
@@ -226,7 +225,7 @@ _CHANGED_GROUPS = """
     )"""
 
 _EVENTS = "SELECT * FROM {events}"
-_FLAT_TS = "SELECT event_id, ts FROM {events}", "SELECT event_id, ts FROM {events_us}"
+_MOVED_TS = _EVENTS, "SELECT * FROM {events_us}"
 
 
 def _distinct_sql(scenario: str, rows: str) -> str:
@@ -250,8 +249,8 @@ ORACLE = {
         ("one_empty", _EVENTS, _EVENTS + " WHERE event_id < 0"),
     ),
     "canonical_negative": _verdicts_sql(
-        ("nested_microsecond", *_FLAT_TS),
-        ("listed_microsecond", *_FLAT_TS),
+        ("nested_microsecond", *_MOVED_TS),
+        ("listed_microsecond", *_MOVED_TS),
         ("swapped_cells", _EVENTS, "SELECT * FROM {events_swap}"),
         ("null_marker", "SELECT * FROM {marker_null}", "SELECT * FROM {marker_text}"),
         ("map_entry_order", _EVENTS, _EVENTS),
@@ -261,7 +260,7 @@ ORACLE = {
             [
                 _distinct_sql("array", "SELECT * FROM {embeddings}"),
                 *[
-                    _distinct_sql(s, "SELECT user_id, event_type FROM {events}")
+                    _distinct_sql(s, _EVENTS)
                     for s in ("struct", "map", "flat")
                 ],
             ]

@@ -176,8 +176,8 @@ _ORACLE = {
             CASE cast_columns WHEN '' THEN '' WHEN 'a:int' THEN 'a:int'
                 WHEN 'a:int;b:STRING' THEN 'a:int;b:string' END AS casts,
             CASE cast_columns WHEN 'a' THEN 'Invalid cast_columns item: ''a'''
-                WHEN 'a:bigint' THEN 'Disallowed automatic cast target: ''bigint'''
-                WHEN 'a b:int' THEN 'Unsafe identifier: ''a b''' END AS error
+                WHEN 'a:bigint' THEN 'no automatic cast to: ''bigint'''
+                WHEN 'a b:int' THEN 'not a plain identifier: ''a b''' END AS error
         FROM {plan}""",
     "plan_parse_partition_spec": """
         SELECT table_name AS "table",
@@ -186,7 +186,7 @@ _ORACLE = {
                 WHEN '' THEN '' WHEN 'region' THEN 'region'
                 WHEN 'TRUNCATE(4,name)' THEN 'TRUNCATE(4,name)' END AS expressions,
             CASE WHEN target_partition_spec IN ('bucket(0,id)', 'day(ts)', 'x) DROP')
-                THEN 'Unsafe/unsupported partition expression: ''' || target_partition_spec || '''' END
+                THEN 'no such partition transform: ''' || target_partition_spec || '''' END
                 AS error
         FROM {plan}""",
     "plan_identifiers": r"""
