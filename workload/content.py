@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from relayout.functions.canonical import canonical_rows as as_text
 from relayout.functions.fingerprint import row_hashes
 from relayout.operators import compare as C
+from relayout.operators import drilldown
 from workload.fixtures import as_sql, load
 
 LINE_KEYS = ["l_returnflag", "l_linestatus"]
@@ -147,6 +148,11 @@ def partition_diff(spark: SparkSession, sf: str) -> DataFrame:
     return _rows_of_both(C.mismatch_examples(compared, LINE_KEYS), *LINE_KEYS)
 
 
+def differing_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """The rows that a damaged copy of lineitem changed, dropped or added."""
+    return drilldown.differing_rows(load(spark, sf, "lineitem"), load(spark, sf, "lineitem_bad"), LINE_KEYS)
+
+
 def partition_diff_nullkey(spark: SparkSession, sf: str) -> DataFrame:
     source = load(spark, sf, "events_nullkey")
 
@@ -203,6 +209,7 @@ QUERIES = {
     "canonical_rows": canonical_rows,
     "partition_diff": partition_diff,
     "partition_diff_nullkey": partition_diff_nullkey,
+    "differing_rows": differing_rows,
     "partition_mismatch_count": partition_mismatch_count,
     "partition_guard": partition_guard,
     "validate_tables": validate_tables,
@@ -235,6 +242,13 @@ def _distinct_sql(scenario: str, rows: str) -> str:
 
 
 ORACLE = {
+    "differing_rows": as_sql(
+        " UNION ALL ".join(
+            f"""SELECT '{side}' AS side, count(*) AS copies, d.*
+            FROM (SELECT * FROM {{{one}}} EXCEPT ALL SELECT * FROM {{{other}}}) d GROUP BY ALL"""
+            for side, one, other in (("source", "lineitem", "lineitem_bad"), ("target", "lineitem_bad", "lineitem"))
+        )
+    ),
     "fingerprint_verdict": _verdicts_sql(
         ("reordered", "SELECT * FROM {lineitem}", "SELECT * FROM {lineitem_reordered}"),
         ("changed", "SELECT * FROM {lineitem}", "SELECT * FROM {lineitem_bad}"),

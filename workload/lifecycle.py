@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from relayout.functions.fingerprint import fingerprint
 from relayout.operators import publish as P
 from relayout.operators.classify import PLAN_FIELDS, classify
+from relayout.operators.known import Store
 from relayout.operators.rewrite import rewrite_table
 from relayout.plans.inventory import assess, inventory
 from relayout.plans.migrate import RunOptions, compact_table, rollback, run_plan, validate_tables
@@ -570,6 +571,25 @@ def validate_with_evidence(spark: SparkSession, sf: str) -> DataFrame:
         return spark.createDataFrame(found.collect(), found.schema)
 
 
+def validate_again(spark: SparkSession, sf: str) -> DataFrame:
+    """Two tables validated four times with kept fingerprints: a file is read when it is new, and never again."""
+    with scratch(spark, sf) as work:
+        one, other = work.copy("lineitem", "one", "l_returnflag"), work.copy("lineitem", "other", files=3)
+        store, found, read = Store(spark, f"{work.folder}/_fingerprints"), [], 0
+        for scenario in ("first", "again", "changed", "renamed"):
+            if scenario == "changed":
+                spark.table(other).limit(1).write.insertInto(other)
+            if scenario == "renamed":
+                spark.sql(f"ALTER TABLE {other} RENAME TO {other}_new")
+                other = f"{other}_new"
+            seen = validate_tables(spark, one, other, ["l_returnflag"], derived=(), store=store)
+            found.append(_fact(spark, scenario, "verdict", seen["ok"], seen["source_rows"], seen["target_rows"]))
+            if scenario != "first":
+                found.append(_fact(spark, scenario, "files read", store.hashed - read))
+            read = store.hashed
+        return _collected(found)
+
+
 QUERIES = {
     "catalog_scan": catalog_scan,
     "catalog_describe": catalog_describe,
@@ -587,6 +607,7 @@ QUERIES = {
     "result_file_round_trip": result_file_round_trip,
     "assess_database": assess_database,
     "validate_with_evidence": validate_with_evidence,
+    "validate_again": validate_again,
 }
 
 
@@ -608,7 +629,22 @@ def _run_sql(migrated: tuple[str, str, int], rewritten: tuple[str, str, int], fa
     return as_sql(" UNION ALL ".join(found))
 
 
+_LINES = "(SELECT count(*) FROM {lineitem})"
+
 ORACLE = {
+    "validate_again": as_sql(
+        " UNION ALL ".join(
+            [
+                _fact_sql("first", "verdict", "1", _LINES, _LINES),
+                _fact_sql("again", "verdict", "1", _LINES, _LINES),
+                _fact_sql("again", "files read", "0"),
+                _fact_sql("changed", "verdict", "0", _LINES, f"1 + {_LINES}"),
+                _fact_sql("changed", "files read", "1"),
+                _fact_sql("renamed", "verdict", "0", _LINES, f"1 + {_LINES}"),
+                _fact_sql("renamed", "files read", "0"),
+            ]
+        )
+    ),
     "catalog_scan": " UNION ALL ".join(
         [
             f"""SELECT '{name}' AS table_name, 'MANAGED' AS source_type, 'ctas' AS strategy,
