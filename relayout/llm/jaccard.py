@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from relayout.llm.arrow_text import buffers, mix, shingle_sets, slices, word_hashes
 from relayout.llm.components import contract
-from relayout.llm.shared import prepare, stored
+from relayout.llm.shared import prepare, stored, tidy
 
 #: Ids of candidate documents (some 200 bytes each as a hash table) that may be broadcast.
 BROADCAST_IDS = 250_000
@@ -196,7 +196,7 @@ def text_sets(docs: DataFrame, size: int, bands: Bands) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("content"))
-    return docs.mapInArrow(name, f"doc_id {kind}, content long, sid long, chk long, n long, odd array<long>")
+    return docs.mapInArrow(tidy(name), f"doc_id {kind}, content long, sid long, chk long, n long, odd array<long>")
 
 
 def segment_index(docs: DataFrame, size: int, bands: Bands, plans: dict[int, tuple[int, int, int]]) -> DataFrame:
@@ -229,7 +229,7 @@ def segment_index(docs: DataFrame, size: int, bands: Bands, plans: dict[int, tup
                     sig, at = signatures(keys, owner, len(text), allocated[level[text]], level[text])
                     yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(sid[text][at])], ["sig", "sid"])
 
-    return docs.mapInArrow(index, "sig long, sid long")
+    return docs.mapInArrow(tidy(index), "sig long, sid long")
 
 
 def set_rows(docs: DataFrame, size: int) -> DataFrame:
@@ -243,7 +243,7 @@ def set_rows(docs: DataFrame, size: int) -> DataFrame:
                 keys = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(key.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array(sid), pa.array(chk), keys], ["sid", "chk", "keys"])
 
-    return docs.mapInArrow(rows, "sid long, chk long, keys array<long>")
+    return docs.mapInArrow(tidy(rows), "sid long, chk long, keys array<long>")
 
 
 def linked_components(

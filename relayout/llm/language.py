@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from relayout.llm.arrow_text import mix, slices
-from relayout.llm.shared import prepare
+from relayout.llm.shared import prepare, tidy
 
 UNDETERMINED = "und"
 BITS = 16
@@ -107,7 +107,7 @@ def train(rows: DataFrame) -> tuple[list[str], np.ndarray]:
             )
 
     # languages x table size rows at most reach the driver
-    sums = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    sums = rows.mapInArrow(tidy(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     found = sums.toArrow()
     names = sorted(set(found.column("lang").to_pylist()))
     counts = np.zeros((size, len(names)))
@@ -220,4 +220,4 @@ def with_main_language(docs: DataFrame, learn: Column, least: float = 0.5) -> Da
                 best = share.max(1) if share.shape[1] else np.zeros(len(share))
                 yield part.filter(pa.array((best >= least) & (best > 0)))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(tidy(keep), docs.schema)

@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import functools
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from relayout.llm.arrow_text import slices
-from relayout.llm.shared import prepare
+from relayout.llm.shared import Task, prepare, tidy
 
 WINDOW = 1024
 #: Remainders placed together, at most; a task holds no more.
@@ -37,8 +37,6 @@ BUCKET_PIECES = 8192
 #: Bits of a sequence's number below the input partition's.
 PARTITION_BITS = 40
 
-Task = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
-
 #: Texts of these characters only, without the start of a special string, give the same ids by either library.
 _PLAIN = re.compile("[\x00-ɏ]*")
 
@@ -178,7 +176,7 @@ def pack_documents(
     read = docs.select(F.col(id_column).alias("doc_id"), F.col(text).alias("text"))
     cut, place = cutter(vocabulary, ranks, window, end_id), placer(window, BUCKET_PIECES)
     schema = f"{_pieces_schema(read.schema['doc_id'].dataType)}, sequence_id long, offset long"
-    return read.mapInArrow(lambda batches: place(cut(batches)), schema)
+    return read.mapInArrow(tidy(lambda batches: place(cut(batches))), schema)
 
 
 class OpenWindows:
