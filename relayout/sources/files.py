@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from relayout.functions.naming import COMPACTED_SUFFIX
 from relayout.session import scratch_folder, ship
 from relayout.sources.catalog import partition_places
-from relayout.sources.store import default_filesystem, folder_entries, headed, is_folder, opened, qualified, walk
+from relayout.sources.store import default_filesystem, folder_entries, headed, is_folder, opened, qualified
 
 # Average file size in MiB below which a table should be compacted, size of the files that a rewrite or a
 # compaction aims at, and the text for a table without a location.
@@ -23,8 +23,10 @@ NO_LOCATION = "Hive metastore did not return a table location"
 NOT_FOUND = "location not found: "
 
 _FOLDERS = "location string, directory string, bytes bigint, files bigint, error string"
-# Levels of folders that are listed in jobs of their own before a task follows what lies below.
-_SPREAD_LEVELS = 2
+# Entries that a task looks at in the first job, folders that wait for each task of the next, and tasks at most.
+_FIRST_ENTRIES = 1000
+_TASK_FOLDERS = 32
+_TASKS = 2000
 
 
 def outermost(locations: Sequence[str]) -> list[str]:
@@ -42,25 +44,26 @@ def list_folders(spark: SparkSession, locations: Sequence[str]) -> DataFrame:
     """Every folder at or below the locations with the bytes and number of its own files.
 
     Executors list, the driver holds the given locations only. A folder is listed once however many
-    locations it lies below: give ``outermost`` ones. The first levels are spread over tasks again, so one table
-    with very many partitions is not one task. A location that cannot be listed is a row with an error.
+    locations it lies below: give ``outermost`` ones. Trees may have any shape: a task stops after a number of entries and
+    leaves the folders that it has not come to yet to the next job, which deals them out again; what a task may look at
+    doubles from job to job, so their number grows with the logarithm of a tree's size. A location that cannot
+    be listed is a row with an error.
     """
     filesystem = default_filesystem(spark)
     roots = [(name, qualified(name, filesystem)) for name in locations]
     waiting = spark.createDataFrame(roots, "location string, directory string")
-    done = []
-    for level in range(_SPREAD_LEVELS + 1):
-        last = level == _SPREAD_LEVELS
-        found = _spread(waiting).mapInArrow(_listing(whole=last), f"{_FOLDERS}, below array<string>")
-        if not last:  # listed once: what lies below is listed next, what was found is kept
-            found = kept(found)
-            waiting = found.select("location", F.explode("below").alias("directory"))
-        done.append(found.drop("below"))
-    return reduce(DataFrame.unionByName, done)
+    number, entries, done = len(roots), _FIRST_ENTRIES, []
+    while number:
+        found = kept(_spread(waiting, number).mapInArrow(_listing(entries), f"{_FOLDERS}, waiting boolean"))
+        done.append(found.where("NOT waiting").drop("waiting"))
+        waiting = found.where("waiting").select("location", "directory")
+        number, entries = waiting.count(), 2 * entries
+    return reduce(DataFrame.unionByName, done) if done else spark.createDataFrame([], _FOLDERS)
 
 
-def _spread(folders: DataFrame) -> DataFrame:
-    return folders.repartition(F.col("directory"))
+def _spread(folders: DataFrame, number: int) -> DataFrame:
+    """Folders dealt to tasks by their number; left to itself, the planner would go by the few bytes of their names."""
+    return folders.repartition(min(_TASKS, -(-number // _TASK_FOLDERS)), F.col("directory"))
 
 
 def kept(found: DataFrame) -> DataFrame:
@@ -71,35 +74,33 @@ def kept(found: DataFrame) -> DataFrame:
     return spark.read.schema(found.schema).parquet(path)
 
 
-def _listing(whole: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """List the folders of a batch, or all that lies below them; errors become rows."""
-
-    def one(location: str, directory: str) -> Iterator[tuple]:
-        try:
-            store, path = opened(directory)
-            if whole:
-                for folder, size, files in walk(store, path):
-                    yield location, headed(directory, path, folder), size, files, None, []
-            else:
-                below, size, files = folder_entries(store, path)
-                named = [headed(directory, path, folder) for folder in below]
-                yield location, headed(directory, path, path), size, files, None, named
-        except FileNotFoundError:
-            yield location, directory, None, None, f"{NOT_FOUND}{directory}", []
-        except Exception as failure:
-            yield location, directory, None, None, str(failure) or type(failure).__name__, []
+def _listing(most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """List folders and what lies below them until ``most`` entries are seen; the rest waits. Errors become rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.string())]
-        names = ["location", "directory", "bytes", "files", "error", "below"]
+        kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_()]
+        names = ["location", "directory", "bytes", "files", "error", "waiting"]
         rows: list[tuple] = []
-        for batch in batches:
-            for location, directory in zip(*(batch.column(n).to_pylist() for n in names[:2])):
-                for row in one(location, directory):
-                    rows.append(row)
-                    if len(rows) >= 10_000:
-                        yield _record(rows, kinds, names)
-                        rows = []
+        queue = [pair for batch in batches for pair in zip(*(batch.column(n).to_pylist() for n in names[:2]))]
+        seen = 0
+        while queue:
+            location, directory = queue.pop()
+            if seen >= most:
+                rows.append((location, directory, None, None, None, True))
+            else:
+                try:
+                    store, path = opened(directory)
+                    below, size, files = folder_entries(store, path)
+                    queue += [(location, headed(directory, path, folder)) for folder in below]
+                    seen += 1 + len(below) + files
+                    rows.append((location, headed(directory, path, path), size, files, None, False))
+                except FileNotFoundError:
+                    rows.append((location, directory, None, None, f"{NOT_FOUND}{directory}", False))
+                except Exception as failure:
+                    rows.append((location, directory, None, None, str(failure) or type(failure).__name__, False))
+            if len(rows) >= 10_000:
+                yield _record(rows, kinds, names)
+                rows = []
         if rows:
             yield _record(rows, kinds, names)
 
@@ -135,7 +136,7 @@ def measure_locations(spark: SparkSession, tables: DataFrame) -> DataFrame:
 def measure_tables(spark: SparkSession, tables: DataFrame) -> DataFrame:
     """``measure_locations`` of whole tables, where the catalogue says that they are.
 
-    ``places`` is the number of locations. ``tables`` has ``table_name``, ``location`` and ``partitions``. The files of a partitioned table are those at its
+    ``places`` is the number of these locations. ``tables`` has ``table_name``, ``location`` and ``partitions``. The files of a partitioned table are those at its
     partitions' locations, wherever these lie; other files below its folder or the one beside it that compaction
     writes to are ``replaced_files`` with ``replaced_bytes``: old versions, and folders that are not registered.
     """
@@ -199,7 +200,7 @@ class _Sum:
         error = self.error or (None if self.found else self.folder_error)
         sizes = [None, None] if error else self.own
         rest = [max(a - b, 0) for a, b in zip(self.heads, self.inner)] if self.split else [None, None]
-        return self.location, *sizes, error, self.places, *rest
+        return self.location, *sizes, error, self.places if self.split else None, *rest
 
 
 def _plain(location: str) -> str:
@@ -305,14 +306,15 @@ def _mean_mib() -> Column:
 def size_columns(places: bool = False) -> dict[str, Column]:
     """Plan sizes from ``bytes`` and ``files``; ``compact`` judges the rounded average.
 
-    With ``places``, the number of locations that need a file each, a table is not marked where packing could not even
-    halve its files: one that was compacted is done, however small it is.
+    With ``places``, the number of a table's partitions, which need a file each, a partitioned table is not marked where
+    packing could not even halve its files: one that was compacted is done, however small it is.
     """
     average = F.round(_mean_mib(), 1)
     gib = F.lit(1024.0 * 1024.0 * 1024.0).cast("double")
     small = average < SMALL_FILE_MB
     if places:
-        small &= F.col("files") > 2 * F.greatest("places", F.ceil(F.col("bytes") / F.lit(TARGET_FILE_BYTES)))
+        needed = F.greatest("places", F.ceil(F.col("bytes") / F.lit(TARGET_FILE_BYTES)))
+        small &= F.col("places").isNull() | (F.col("files") > 2 * needed)
     return {
         "size_gb": F.round(F.col("bytes").cast("double") / gib, 2),
         "avg_file_mb": average,

@@ -63,16 +63,6 @@ def folder_entries(store: fs.FileSystem, path: str) -> tuple[list[str], int, int
     return folders, size, files
 
 
-def walk(store: fs.FileSystem, path: str) -> Iterator[tuple[str, int, int]]:
-    """Every folder at or below a path, with the bytes and number of its own files."""
-    waiting = [path]
-    while waiting:
-        folder = waiting.pop()
-        below, size, files = folder_entries(store, folder)
-        waiting += below
-        yield folder, size, files
-
-
 def files_below(store: fs.FileSystem, path: str) -> Iterator[tuple[str, int, int, bool]]:
     """Path, size, modification time in microseconds and whether it is hidden of every file at any depth."""
     local = isinstance(store, fs.LocalFileSystem)

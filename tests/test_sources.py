@@ -223,3 +223,25 @@ def test_unreadable_directory_leaves_the_table_to_review(spark, database, tmp_pa
     found = {r["table"][len(database) + 1 :]: r for r in inventory(spark, database, with_size=True).collect()}
     assert (found["t"]["strategy"], found["t"]["compact"]) == ("migrate", "Y")
     assert found["u"]["strategy"] == "manual" and found["u"]["note"].startswith("inventory error: ")
+
+
+@pytest.mark.parametrize("entries", [1, 40, 10**6])
+def test_folders_of_any_shape(spark, tmp_path, monkeypatch, entries):
+    """Very many folders below one, a deep chain, and a file in each: listed by many tasks, each folder once."""
+    monkeypatch.setattr(FS, "_FIRST_ENTRIES", entries)
+    wide, deep = tmp_path / "a" / "b", tmp_path / "deep"
+    for i in range(700):
+        (wide / f"k={i}").mkdir(parents=True)
+        (wide / f"k={i}" / "f").write_text("x" * (i % 9))
+    for i in range(60):
+        deep /= str(i)
+    deep.mkdir(parents=True)
+    tasks = []
+    spread = FS._spread
+    monkeypatch.setattr(FS, "_spread", lambda df, n: tasks.append(out := spread(df, n)) or out)
+    found = FS.list_folders(spark, [str(tmp_path)]).collect()
+    assert len(found) == len({r["directory"] for r in found}) == 1 + 2 + 700 + 61
+    assert sum(r["files"] for r in found) == 700 and sum(r["bytes"] for r in found) == sum(i % 9 for i in range(700))
+    most = max(df.rdd.getNumPartitions() for df in tasks)
+    assert (most >= 20) == (entries < 100) and len(tasks) <= 12
+    assert FS.list_folders(spark, []).count() == 0
