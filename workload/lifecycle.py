@@ -514,6 +514,26 @@ def plan_file_round_trip(spark: SparkSession, sf: str) -> DataFrame:
         return spark.createDataFrame(plan.collect(), plan.schema)
 
 
+#: Columns that a plan file has lost, by scenario.
+LOST = {"none": (), "one": ("approved",), "several": ("table", "strategy")}
+
+
+def plan_lacks_columns(spark: SparkSession, sf: str) -> DataFrame:
+    """The estate's plan written without some of its columns, and what reading it says."""
+    with scratch(spark, sf) as work:
+        plan, found = estate.build_plan(spark, sf), []
+        for scenario, lost in LOST.items():
+            path = f"{work.folder}/_plan_{scenario}"
+            plan.select(*[name for name in PLAN_FIELDS if name not in lost]).write.options(
+                header=True, multiLine=True, escape='"'
+            ).csv(path)
+            try:
+                found.append((scenario, "", read_plan(spark, path).count()))
+            except ValueError as failure:
+                found.append((scenario, str(failure), 0))
+        return spark.createDataFrame(found, "scenario string, refused string, n_rows bigint")
+
+
 def result_file_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     """Results of a run written as a report, and counted from it."""
     with scratch(spark, sf) as work:
@@ -604,6 +624,7 @@ QUERIES = {
     "run_dry": run_dry,
     "run_execute": run_execute,
     "plan_file_round_trip": plan_file_round_trip,
+    "plan_lacks_columns": plan_lacks_columns,
     "result_file_round_trip": result_file_round_trip,
     "assess_database": assess_database,
     "validate_with_evidence": validate_with_evidence,
@@ -733,6 +754,15 @@ ORACLE = {
     "plan_file_round_trip": "SELECT " + ", ".join(
         f"""coalesce(CAST("{name}" AS VARCHAR), '') AS "{name}" """ for name in PLAN_FIELDS
     ) + f" FROM ({estate.ORACLE['build_plan']})",
+    "plan_lacks_columns": " UNION ALL ".join(
+        "SELECT '{0}' AS scenario, '{1}' AS refused, {2} AS n_rows FROM ({3})".format(
+            scenario,
+            f"the plan lacks columns: {[name for name in PLAN_FIELDS if name in lost]}".replace("'", "''") if lost else "",
+            "CAST(0 * count(*) AS BIGINT)" if lost else "count(*)",
+            estate.ORACLE["build_plan"],
+        )
+        for scenario, lost in LOST.items()
+    ),
     "result_file_round_trip": as_sql(
         """SELECT status, '7' AS source_rows, '1.5' AS seconds, count(*) AS n,
             CAST(sum(24 + length(table_name)) AS BIGINT) AS note_chars
