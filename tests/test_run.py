@@ -304,8 +304,8 @@ def test_failed_check_after_cutover(spark, database, options, tmp_path, monkeypa
     fill(spark, t, path=f"{tmp_path}/t")
     real = M.validate_tables
 
-    def late_write(spark, source, target, *rest):
-        verdict = real(spark, source, target, *rest)
+    def late_write(spark, source, target, *rest, **named):
+        verdict = real(spark, source, target, *rest, **named)
         if target == t:
             verdict |= {"ok": False, "details": ["late write"]}
         return verdict
