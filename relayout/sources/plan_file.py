@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relayout.operators.classify import PLAN_FIELDS, plan_fields
+from relayout.session import sql_settings
 
 # The columns of a run report.
 RESULT_FIELDS = (
@@ -15,10 +16,26 @@ RESULT_FIELDS = (
 
 _CSV = {"header": True, "multiLine": True, "escape": '"'}
 
-
-def write_plan(plan: DataFrame, path: str) -> None:
-    """One CSV file in the folder ``path``, for people to edit: a row per table."""
-    plan_fields(plan).coalesce(1).write.mode("errorifexists").options(**_CSV).csv(path)
+# Shuffled bytes of one plan file. Values with line breaks keep a file from being read by several tasks.
+PLAN_FILE_BYTES = 16 * 1024 * 1024
+
+
+def write_plan(plan: DataFrame, path: str, file_bytes: int = PLAN_FILE_BYTES) -> None:
+    """A CSV file in the folder ``path``, for people to edit: a row per table, in the plan's order.
+
+    A plan too large for one task becomes several files of ``file_bytes``, each in the plan's order.
+    """
+    settings = {
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+        "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(file_bytes),
+    }
+    placed = plan_fields(plan).withColumn("__place", F.monotonically_increasing_id())
+    dealt = placed.hint("rebalance").sortWithinPartitions("__place").drop("__place")
+    with sql_settings(plan.sparkSession, settings):
+        dealt.write.mode("errorifexists").options(**_CSV).csv(path)
 
 
 def read_plan(spark: SparkSession, path: str) -> DataFrame:

@@ -12,6 +12,7 @@ from relayout.sources import catalog as S
 from relayout.sources import evidence as E
 from relayout.sources import files as FS
 from relayout.sources import plan_file as P
+from workload.lifecycle import plan_file_round_trip
 
 
 def rows(df, *names):
@@ -141,6 +142,23 @@ def test_plan_round_trip(spark, tmp_path):
     ]
 
 
+def test_large_plan_is_several_files(spark, tmp_path):
+    plan = spark.range(20_000).selectExpr("concat('db.t', id) AS table", "concat('a\n', sha2(string(id), 256)) AS note")
+    P.write_plan(plan, f"{tmp_path}/small")
+    P.write_plan(plan, f"{tmp_path}/large", file_bytes=64 * 1024)
+    small, large = (P.read_plan(spark, f"{tmp_path}/{name}") for name in ("small", "large"))
+    assert len(small.inputFiles()) == 1 and len(large.inputFiles()) > 3
+    order = [row["table"] for row in small.select("table").collect()]
+    assert order == [f"db.t{n}" for n in range(20_000)]  # a plan is run in its order
+    assert small.exceptAll(large).isEmpty() and large.exceptAll(small).isEmpty()
+
+
+def test_plan_round_trip_query_reads_its_files(spark, sf_dir):
+    plan = plan_file_round_trip(spark, sf_dir)
+    assert plan.inputFiles()  # not rows that went through the driver
+    assert plan.count() == spark.read.parquet(f"{sf_dir}/part.parquet").count()
+
+
 def test_plan_without_columns(spark, tmp_path):
     (tmp_path / "plan.csv").write_text("table,strategy\ndb.t,ctas\n")
     with pytest.raises(ValueError, match="source_type.*note"):

@@ -23,7 +23,7 @@ from relayout.operators.known import Store
 from relayout.operators.rewrite import rewrite_table
 from relayout.plans.inventory import assess, inventory
 from relayout.plans.migrate import RunOptions, compact_table, rollback, run_plan, validate_tables
-from relayout.session import ship
+from relayout.session import scratch_folder, ship
 from relayout.sources import catalog as S
 from relayout.sources.evidence import latest_state, read_journal, read_validations
 from relayout.sources.files import measure_locations, measure_tables, table_sizes
@@ -506,12 +506,10 @@ def run_execute(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def plan_file_round_trip(spark: SparkSession, sf: str) -> DataFrame:
-    """The estate's plan written for editing, and read back."""
-    with scratch(spark, sf) as work:
-        path = f"{work.folder}/_plan"
-        write_plan(estate.build_plan(spark, sf), path)
-        plan = read_plan(spark, path)
-        return spark.createDataFrame(plan.collect(), plan.schema)
+    """The estate's plan written for editing, and read back; its rows stay in the shared scratch folder."""
+    path = f"{scratch_folder(spark)}/plan"
+    write_plan(estate.build_plan(spark, sf), path)
+    return read_plan(spark, path)
 
 
 #: Columns that a plan file has lost, by scenario.
