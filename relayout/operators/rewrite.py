@@ -25,6 +25,10 @@ COMPRESSION = "zstd"
 # Formats whose files compaction can pack.
 FILE_FORMATS = ("parquet", "orc")
 
+# A task of a partitioned write holds this many files open and streams its rows into them, where sorting them by
+# partition first would take several times the memory of the file; rows of any further partition are sorted.
+OPEN_FILES = {"spark.sql.optimizer.plannedWrite.enabled": "false", "spark.sql.maxConcurrentOutputFileWriters": "8"}
+
 # A reader task takes at most target / _OPEN_COST_BYTES files.
 _OPEN_COST_BYTES = 64 * 1024
 # Partitions compacted in one job; bounds the size of its plan.
@@ -78,6 +82,7 @@ def _write_settings(target_file_bytes: int) -> dict[str, str]:
         "spark.sql.parquet.compression.codec": COMPRESSION,
         "spark.sql.orc.compression.codec": COMPRESSION,
         "hive.exec.dynamic.partition.mode": "nonstrict",
+        **OPEN_FILES,
     }
 
 

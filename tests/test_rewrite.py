@@ -148,6 +148,22 @@ def paths_of(spark, table, where="true"):
     return {r[0] for r in spark.table(table).where(where).select(F.input_file_name()).distinct().collect()}
 
 
+def test_partitioned_writes_hold_no_sorted_rows(spark, database):
+    spark.sql(f"CREATE TABLE {database}.t (a BIGINT, k INT) USING parquet PARTITIONED BY (k)")
+    with R.sql_settings(spark, R._write_settings(R.TARGET_FILE_BYTES)):
+        plan = spark.sql(f"EXPLAIN INSERT INTO {database}.t SELECT id, CAST(id % 3 AS INT) FROM range(9)").first()[0]
+        assert int(spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")) > 3
+    assert "InsertIntoHadoopFsRelationCommand" in plan and "Sort" not in plan
+
+
+def test_more_partitions_than_open_files(spark, database):
+    rows = spark.range(0, 5000, 1, 2).selectExpr("id", "CASE WHEN id % 40 > 0 THEN CAST(id % 40 AS INT) END AS k")
+    rows.write.saveAsTable(f"{database}.many")
+    R.rewrite_table(spark, f"{database}.many", f"{database}.split", ["k"])
+    copy = spark.table(f"{database}.split").select("id", "k")
+    assert copy.count() == 5000 and copy.exceptAll(rows).isEmpty()
+
+
 def test_compaction(spark, database):
     table = f"{database}.t"
     spark.sql(

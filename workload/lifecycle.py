@@ -20,10 +20,10 @@ from relayout.functions.fingerprint import fingerprint
 from relayout.operators import publish as P
 from relayout.operators.classify import PLAN_FIELDS, classify
 from relayout.operators.known import Store
-from relayout.operators.rewrite import rewrite_table
+from relayout.operators.rewrite import OPEN_FILES, rewrite_table
 from relayout.plans.inventory import assess, inventory
 from relayout.plans.migrate import RunOptions, compact_table, rollback, run_plan, validate_tables
-from relayout.session import scratch_folder, ship
+from relayout.session import scratch_folder, ship, sql_settings
 from relayout.sources import catalog as S
 from relayout.sources.evidence import latest_state, read_journal, read_validations
 from relayout.sources.files import measure_locations, measure_tables, table_sizes
@@ -71,7 +71,8 @@ class Scratch:
         elif files:
             rows = rows.repartition(files)
         writer = rows.write.partitionBy(*partition_by) if partition_by else rows.write
-        writer.saveAsTable(self.table(name))
+        with sql_settings(self.spark, OPEN_FILES):
+            writer.saveAsTable(self.table(name))
         return self.table(name)
 
     def external(self, given: str, name: str, *partition_by: str) -> str:
@@ -84,9 +85,10 @@ class Scratch:
         """An external copy of lineitem by l_returnflag, one partition stored elsewhere, with properties."""
         table = self.table(name)
         rows = load(self.spark, self.sf, "lineitem")
-        rows.where("l_returnflag <> 'R'").write.partitionBy("l_returnflag").option(
-            "path", f"{self.folder}/{name}_files"
-        ).saveAsTable(table)
+        with sql_settings(self.spark, OPEN_FILES):
+            rows.where("l_returnflag <> 'R'").write.partitionBy("l_returnflag").option(
+                "path", f"{self.folder}/{name}_files"
+            ).saveAsTable(table)
         elsewhere = f"{self.folder}/{name}_elsewhere"
         rows.where("l_returnflag = 'R'").drop("l_returnflag").write.parquet(elsewhere)
         self.spark.sql(f"ALTER TABLE {table} ADD PARTITION (l_returnflag = 'R') LOCATION '{elsewhere}'")
