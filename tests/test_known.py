@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 
 from relayout.functions.fingerprint import fingerprint, observed, observed_fingerprint
 from relayout.operators import known as K
+from relayout.operators.compare import validate
 from relayout.plans import migrate as M
 from relayout.plans.migrate import validate_tables
+from relayout.session import sql_settings
 from relayout.sources.catalog import describe_table
 from tests.test_run import options, run  # noqa: F401
+from workload import lifecycle
 
 
 def fill(spark, table, by=()):
@@ -112,3 +115,15 @@ def test_a_cutover_reads_each_file_once(spark, database, options, monkeypatch):
     found = run(spark, options, {"table": table, "strategy": "ctas"})["t"]
     assert found["status"] == "CUTOVER_VALIDATED" and found["source_rows"] == 400
     assert hashed == [f"{table}__ice", table]  # the source is known from the copy both times
+
+
+def test_files_of_a_large_copy_have_the_advisory_size(spark, tmp_path):
+    given = spark.range(0, 40_000, 1, 8).selectExpr("id", "sha2(string(id), 256) AS code")
+    given.write.parquet(f"{tmp_path}/lineitem.parquet")
+    with lifecycle.scratch(spark, str(tmp_path)) as work:
+        few = work.copy("lineitem", "few", at_least=3)
+        with sql_settings(spark, {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k"}):
+            many = work.copy("lineitem", "many", at_least=3)
+        files = [len(spark.table(name).inputFiles()) for name in (few, many)]
+        assert files[0] == 3 and files[1] > 3
+        assert validate(given, spark.table(many)).first()["ok"]

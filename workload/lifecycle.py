@@ -64,14 +64,24 @@ class Scratch:
     def table(self, name: str) -> str:
         return f"{self.name}.{name}"
 
-    def copy(self, given: str, name: str, *partition_by: str, files: int = 0) -> str:
-        rows = load(self.spark, self.sf, given)
+    def copy(self, given: str, name: str, *partition_by: str, files: int = 0, at_least: int = 0) -> str:
+        """A managed copy, in a number of files or in ``at_least`` as many; each of a large table is as large as Spark's
+        advisory size of a task.
+        """
+        rows, settings = load(self.spark, self.sf, given), dict(OPEN_FILES)
         if partition_by:
             rows = rows.hint("rebalance", *partition_by)
         elif files:
             rows = rows.repartition(files)
+        elif at_least:
+            rows = rows.hint("rebalance", at_least)
+            settings |= {
+                "spark.sql.adaptive.enabled": "true",
+                "spark.sql.adaptive.coalescePartitions.enabled": "false",
+                "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
+            }
         writer = rows.write.partitionBy(*partition_by) if partition_by else rows.write
-        with sql_settings(self.spark, OPEN_FILES):
+        with sql_settings(self.spark, settings):
             writer.saveAsTable(self.table(name))
         return self.table(name)
 
@@ -594,7 +604,7 @@ def validate_with_evidence(spark: SparkSession, sf: str) -> DataFrame:
 def validate_again(spark: SparkSession, sf: str) -> DataFrame:
     """Two tables validated four times with kept fingerprints: a file is read when it is new, and never again."""
     with scratch(spark, sf) as work:
-        one, other = work.copy("lineitem", "one", "l_returnflag"), work.copy("lineitem", "other", files=3)
+        one, other = work.copy("lineitem", "one", "l_returnflag"), work.copy("lineitem", "other", at_least=3)
         store, found, read = Store(spark, f"{work.folder}/_fingerprints"), [], 0
         for scenario in ("first", "again", "changed", "renamed"):
             if scenario == "changed":
