@@ -73,34 +73,47 @@ class Store:
         spark, path = self.spark, self._path(df, keys, as_text)
         names = [f"k{i}" for i in range(len(keys))]
         files = current_files(spark, table)
-        rows = spark.table(table).select(*map(column, df.columns), _file_path().alias("__path"))
-        made = fingerprint(rows, [*keys, "__path"], as_text, unhashed=1).toDF(*names, "path", *MEASURES)
-        schema = files.select(*_FILE).join(made.drop("path")).schema
+        rows = spark.table(table).select(*map(column, df.columns), F.col("_metadata.file_path").alias("__file"))
+        schema = files.select(*_FILE).join(_by_file(rows, keys, as_text).drop("path")).schema
         known = self._read(path, schema)
         new = kept(files.join(known.select(*_FILE).distinct(), list(_FILE), "left_anti"))
         count = new.count()
         if count:
             self.hashed += count
-            if count <= _NAMED_FILES:
+            if count == files.count():  # the whole table: no row has to be asked for its file's name
+                pass
+            elif count <= _NAMED_FILES:
                 wanted = [row["path"] for row in new.select("path").collect()]
-                rows = rows.where(F.col("__path").isin(wanted))
+                rows = rows.where(_plain_path("__file").isin(wanted))
             else:
-                rows = rows.join(new.select(F.col("path").alias("__path")), "__path", "left_semi").select(*rows.columns)
-            made = fingerprint(rows, [*keys, "__path"], as_text, unhashed=1).toDF(*names, "path", *MEASURES)
+                rows = rows.join(new.select("path"), _plain_path("__file") == F.col("path"), "left_semi")
+            made = _by_file(rows, keys, as_text)
             # a file without rows is known too; one that changed while it was read is not
             found = new.join(made, "path", "left").join(current_files(spark, table).select(*_FILE), list(_FILE), "left_semi")
             found.select(*[F.col(field.name).cast(field.dataType) for field in schema]).na.fill(0, ["row_count"]).write.mode("append").parquet(path)
             known = self._read(path, schema)
         mine = known.dropDuplicates([*_FILE, *names]).join(files.select(*_FILE), list(_FILE), "left_semi")
-        sums = [F.sum(name).cast("decimal(38,0)").alias(name) for name in MEASURES[1:]]
         grouped = mine.where("row_count > 0").groupBy(*names)
         total = F.coalesce(F.sum("row_count"), F.lit(0)).alias("row_count")
         # kept: two readings of one folder at different times look alike to the planner, which would share them
-        return kept(grouped.agg(total, *sums)).toDF(*keys, *MEASURES)
+        return kept(grouped.agg(total, *_hash_sums())).toDF(*keys, *MEASURES)
 
 
-def _file_path() -> Column:
-    """The scan's own name of a row's file, in the manifest's spelling."""
-    plain = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-    return normalized_location(plain)
+def _hash_sums() -> list[Column]:
+    return [F.sum(name).cast("decimal(38,0)").alias(name) for name in MEASURES[1:]]
 
+
+def _by_file(rows: DataFrame, keys: Sequence[str], as_text: Collection[int]) -> DataFrame:
+    """Fingerprints by the keys, called k0, k1, …, and ``path``; the last column is the scan's name of a row's file.
+
+    Rows are grouped by that name as it is: it is brought to the manifest's spelling once a group, not once a row.
+    """
+    names = [f"k{i}" for i in range(len(keys))]
+    named = fingerprint(rows, [*keys, "__file"], as_text, unhashed=1).toDF(*names, "__file", *MEASURES)
+    grouped = named.groupBy(*names, _plain_path("__file").alias("path"))
+    return grouped.agg(F.sum("row_count").alias("row_count"), *_hash_sums())
+
+
+def _plain_path(name: str) -> Column:
+    """The scan's name of a file in the manifest's spelling."""
+    return normalized_location(F.url_decode(F.replace(F.col(name), F.lit("+"), F.lit("%2B"))))

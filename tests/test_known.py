@@ -117,6 +117,22 @@ def test_a_cutover_reads_each_file_once(spark, database, options, monkeypatch):
     assert hashed == [f"{table}__ice", table]  # the source is known from the copy both times
 
 
+def test_rows_of_new_tables_are_not_asked_for_their_files_names(spark, database, tmp_path, monkeypatch):
+    table, plans = f"{database}.one", []
+    fill(spark, table, ("k",))
+
+    def seen(df, *arguments, **options):
+        plans.append(df._jdf.queryExecution().analyzed().toString())
+        return fingerprint(df, *arguments, **options)
+
+    monkeypatch.setattr(K, "fingerprint", seen)
+    store = K.Store(spark, f"{tmp_path}/store")
+    found = store.fingerprints(table, spark.table(table), ["k"])
+    wanted = fingerprint(spark.table(table), ["k"])
+    assert found.exceptAll(wanted).isEmpty() and found.count() == 3
+    assert plans and not any("url_decode" in plan or "regexp_replace" in plan for plan in plans)
+
+
 def test_files_of_a_large_copy_have_the_advisory_size(spark, tmp_path):
     given = spark.range(0, 40_000, 1, 8).selectExpr("id", "sha2(string(id), 256) AS code")
     given.write.parquet(f"{tmp_path}/lineitem.parquet")
